@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from tickloom.llm.decontamination import op6_decontamination
+from tickloom.llm.language_id import op2_language_id
+from tickloom.llm.main_text import op3_main_text
 from tickloom.llm.sharding import op10_sharding
 from tickloom.llm.token_counts import op7_token_counts
+from tickloom.llm.toxicity import op1_toxicity
 
 
 def queries():
-    return {"op7_token_counts": op7_token_counts, "op10_sharding": op10_sharding}
+    found = [op1_toxicity, op2_language_id, op3_main_text, op6_decontamination, op7_token_counts, op10_sharding]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql():
