@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,12 @@ PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 
 
-def features_of(chunk: str) -> tuple[str, ...]:
-    """Features of one white-space-separated part of a lower-cased text."""
+def features_of(chunk: str) -> tuple[int, ...]:
+    """Feature numbers of one white-space-separated part of a lower-cased text: even for words, odd for beginnings."""
     out = []
     for word in _WORD.findall(chunk):
-        out.append(word)
-        out.extend(word[:n] + "*" for n in PREFIXES if len(word) >= n)
+        out.append(xxhash.xxh64_intdigest(word) >> 1 & ~1)
+        out.extend(xxhash.xxh64_intdigest(word[:n]) >> 1 | 1 for n in PREFIXES if len(word) >= n)
     return tuple(dict.fromkeys(out))
 
 
@@ -47,11 +48,27 @@ def document_features(text: str | None) -> Counter:
     return found
 
 
+@dataclass
+class Sample:
+    """Features of the sampled documents: row, number and value of each, and 0/1 labels by row."""
+
+    row: np.ndarray
+    feature: np.ndarray
+    value: np.ndarray
+    toxic: np.ndarray
+
+    @classmethod
+    def of(cls, features: list[Counter], toxic) -> Sample:
+        row = np.repeat(np.arange(len(features)), [len(x) for x in features])
+        keys = np.fromiter((f for x in features for f in x), np.int64, len(row))
+        return cls(row, keys, np.fromiter((n for x in features for n in x.values()), np.float64, len(row)), np.asarray(toxic, int))
+
+
 @dataclass
 class OrdinalModel:
     """Non-zero weights and the ordered thresholds."""
 
-    weights: dict[str, float]
+    weights: dict[int, float]
     thresholds: np.ndarray
 
     def grade_probabilities(self, margins: np.ndarray) -> np.ndarray:
@@ -63,7 +80,7 @@ class OrdinalModel:
 class _Margins(dict):
     """w.x of one part of a text, kept for the parts met before."""
 
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[int, float]):
         super().__init__()
         self.weights = weights
 
@@ -72,77 +89,86 @@ class _Margins(dict):
         return value
 
 
-def fit_ordinal(features: list[Counter], grades: np.ndarray, weight: np.ndarray, levels: int, l1: float = 2e-4, rounds: int = 150) -> OrdinalModel:
-    """Proximal adaptive-gradient descent; thresholds are kept in order by fitting the logarithms of their gaps."""
-    df = Counter(f for x in features for f in x)
-    most = 0.5 * len(features)
-    names = sorted(f for f, n in df.items() if 5 <= n <= most)
-    number = {f: i for i, f in enumerate(names)}
-    row, column, value = [], [], []
-    for i, x in enumerate(features):
-        for f, n in x.items():
-            if f in number:
-                row.append(i)
-                column.append(number[f])
-                value.append(n)
-    row, column, value = np.array(row, np.int64), np.array(column, np.int64), np.array(value, float)
-    share = weight / weight.sum()
-    below = np.clip(np.array([share[grades <= k].sum() for k in range(levels - 1)]), 1e-3, 1 - 1e-3)
+def fit_ordinal(sample: Sample, grades: np.ndarray, levels: int, screen: float = 1e-3, relax: float = 1e-5) -> OrdinalModel:
+    """Proximal adaptive-gradient descent: a strong L1 penalty picks the features, a weak one then sets their weights.
+
+    Weights are 0 or more, a feature can only add severity, so that a long text does not outweigh what is toxic in it.
+    Thresholds stay in order, since the logarithms of their gaps are fitted.
+    """
+    whole, column, df = np.unique(sample.feature, return_inverse=True, return_counts=True)
+    names = np.flatnonzero((df >= 5) & (df <= 0.5 * len(grades)))
+    for l1, rounds in ((screen, 100), (relax, 300)):
+        place = np.full(len(whole), -1)
+        place[names] = np.arange(len(names))
+        use = place[column] >= 0
+        w, t = _descend(sample.row[use], place[column[use]], sample.value[use], len(names), grades, levels, l1, rounds)
+        names, w = names[w > 0], w[w > 0]
+    return OrdinalModel(dict(zip(whole[names].tolist(), w.tolist(), strict=True)), t)
+
+
+def _descend(row, column, value, features, grades, levels, l1, rounds):
+    n = len(grades)
+    below = np.clip(np.array([(grades <= k).mean() for k in range(levels - 1)]), 1e-3, 1 - 1e-3)
     start = np.log(below / (1 - below))
     base, gaps = start[0], np.log(np.maximum(np.diff(start), 1e-2))
-    w, seen = np.zeros(len(names)), np.full(len(names), 1e-8)
+    w, seen = np.zeros(features), np.full(features, 1e-8)
     seen_t = np.full(levels - 1, 1e-8)
     for _ in range(rounds):
         t = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-        m = np.bincount(row, value * w[column], len(features))
-        edge = np.concatenate((t, [np.inf]))
-        low = np.concatenate(([-np.inf], t))
-        up_s = 1 / (1 + np.exp(-np.clip(edge[grades] - m, -40, 40)))
-        low_s = 1 / (1 + np.exp(-np.clip(low[grades] - m, -40, 40)))
-        p = np.maximum(up_s - low_s, 1e-12)
-        up_d, low_d = up_s * (1 - up_s), low_s * (1 - low_s)
-        g_m = share * (up_d - low_d) / p  # of the loss by the margin
-        g_w = np.bincount(column, value * g_m[row], len(names))
-        g_t = np.array([-(share * up_d / p)[grades == k].sum() + (share * low_d / p)[grades == k + 1].sum() for k in range(levels - 1)])
+        m = np.bincount(row, value * w[column], n)
+        high, low = np.concatenate((t, [np.inf]))[grades], np.concatenate(([-np.inf], t))[grades]
+        high_s, low_s = (1 / (1 + np.exp(-np.clip(e - m, -40, 40))) for e in (high, low))
+        p = np.maximum(high_s - low_s, 1e-12) * n
+        high_d, low_d = high_s * (1 - high_s), low_s * (1 - low_s)
+        g_w = np.bincount(column, value * ((high_d - low_d) / p)[row], features)
+        g_t = np.array([(low_d / p)[grades == k + 1].sum() - (high_d / p)[grades == k].sum() for k in range(levels - 1)])
         g = np.concatenate(([g_t.sum()], [g_t[k + 1 :].sum() * np.exp(gaps[k]) for k in range(levels - 2)]))
         seen_t += g * g
         step = 0.2 * g / np.sqrt(seen_t)
         base, gaps = base - step[0], gaps - step[1:]
         seen += g_w * g_w
-        rate = 0.3 / np.sqrt(seen)
-        w = w - rate * g_w
-        w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(rate * l1, np.abs(w)), 0)
-    t = base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
-    return OrdinalModel({f: float(x) for f, x in zip(names, w, strict=True) if x}, t)
-
-
-def severity_grades(features: list[Counter], toxic: np.ndarray) -> np.ndarray:
-    """Grades 0 to 3 from 0/1 labels: a toxic document is graded by how many distinct words carry a feature that toxic documents favour by far (log odds over 3): up to 2, up to 5, or more."""
-    yes, no = Counter(), Counter()
-    for x, t in zip(features, toxic, strict=True):
-        (yes if t else no).update(x.keys())
-    n_yes, n_no = int(toxic.sum()), int((1 - toxic).sum())
-    odds = {f: np.log((n + 0.5) / (n_yes + 1)) - np.log((no[f] + 0.5) / (n_no + 1)) for f, n in yes.items() if n >= 5}
-    telling = {f for f, x in odds.items() if x > 3 and not f.endswith("*")} | {f for f, x in odds.items() if x > 4}
-    hits = np.array([max([0, sum(n for f, n in x.items() if f in telling and not f.endswith("*")), *(n for f, n in x.items() if f in telling)]) for x in features])
+        w = np.maximum(w - 0.3 / np.sqrt(seen) * (g_w + l1), 0)
+    return w, base + np.concatenate(([0.0], np.cumsum(np.exp(gaps))))
+
+
+def severity_grades(sample: Sample) -> np.ndarray:
+    """Grades 0 to 3 from 0/1 labels: a toxic document is graded by how many distinct words carry a feature that toxic documents favour by far (log odds over 3 for a word, 4 for a beginning): up to 2, up to 5, or more."""
+    toxic = sample.toxic
+    names, column = np.unique(sample.feature, return_inverse=True)
+    yes = np.bincount(column[toxic[sample.row] == 1], minlength=len(names))
+    no = np.bincount(column[toxic[sample.row] == 0], minlength=len(names))
+    odds = np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / ((1 - toxic).sum() + 1))
+    words, starts = (yes >= 5) & (odds > 3) & (names % 2 == 0), (yes >= 5) & (odds > 4) & (names % 2 == 1)
+    hits = np.bincount(sample.row[words[column]], sample.value[words[column]], len(toxic))
+    np.maximum.at(hits, sample.row[starts[column]], sample.value[starts[column]])
     return np.where(toxic == 0, 0, np.where(hits <= 2, 1, np.where(hits <= 5, 2, 3)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> OrdinalModel:
+    """About `per_label` labelled documents of either label are read; as many of both, so that rarity doesn't hide toxic ones."""
     known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(counts) < 2:
         return OrdinalModel({}, np.array([40.0, 41.0, 42.0]))
-    share = {t: min(1.0, per_label / n) for t, n in counts.items()}
-    limit = F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share[0])) * 1_000_000
+    limit = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_label / counts[1]))).otherwise(F.lit(min(1.0, per_label / counts[0]))) * 1_000_000
     drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).limit(4 * per_label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "toxic").collect()
-    features = [document_features(r["text"]) for r in rows]
-    toxic = np.array([r["toxic"] for r in rows], int)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            found = [document_features(t) for t in texts]
+            columns = [part.column("doc_id"), part.column("toxic"), pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "features", "values"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
+    table = rows.mapInArrow(run, f"doc_id {kind}, toxic int, features array<bigint>, values array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    toxic = table.column("toxic").to_numpy()
     if len(set(toxic.tolist())) < 2:
         return OrdinalModel({}, np.array([40.0, 41.0, 42.0]))
-    weight = np.array([1 / share[t] for t in toxic.tolist()])
-    return fit_ordinal(features, severity_grades(features, toxic), weight, 4)
+    sizes = table.column("features").combine_chunks().value_lengths().to_numpy()
+    flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("features", "values")]
+    sample = Sample(np.repeat(np.arange(len(toxic)), sizes), flat[0], flat[1].astype(float), toxic)
+    return fit_ordinal(sample, severity_grades(sample), 4)
 
 
 def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
