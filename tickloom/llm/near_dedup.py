@@ -146,9 +146,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, percen
     """Likely links between different components inside buckets, found in blocks of signatures.
 
     A bucket's members outside its commonest component meet all its members; a pair is likely if its signatures agree in
-    at least the threshold less five standard deviations.
+    at least the threshold less five standard deviations. A pair that shares several bands is looked at in the first only.
     """
-    rows = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("component", "cls").alias("component"))
+    rows = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "band", "cls", F.coalesce("component", "cls").alias("component"))
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     open_ = sizes.where("parts > 1 AND total > 2").select("key", "total", F.col("main.component").alias("main"), (F.col("total") - F.col("main.n")).alias("minor"))
@@ -157,9 +157,9 @@ def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, percen
 
     def blocks(df, name, count):
         salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col(count) / BLOCK)).alias("salt")
-        return df.groupBy("key", salt).agg(F.collect_list(entry).alias(name)).drop("salt")
+        return df.groupBy("key", "band", salt).agg(F.collect_list(entry).alias(name)).drop("salt")
 
-    met = blocks(rows.where("component <> main"), "minor_rows", "minor").join(blocks(rows, "all_rows", "total"), "key")
+    met = blocks(rows.where("component <> main"), "minor_rows", "minor").join(blocks(rows, "all_rows", "total"), ["key", "band"])
     share = percent / 100
     least = (share - 5 * (share * (1 - share) / SLOTS) ** 0.5) * SLOTS
     kind = members.schema["cls"].dataType.simpleString()
@@ -171,17 +171,18 @@ def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, percen
 
         for batch in batches:
             a, b = [], []
-            for x, y in zip(batch.column("minor_rows"), batch.column("all_rows"), strict=True):
+            for x, y, band in zip(batch.column("minor_rows"), batch.column("all_rows"), batch.column("band").to_pylist(), strict=True):
                 xi, xc, xs = matrix(x)
                 yi, yc, ys = matrix(y)
                 for i in range(len(xi)):
-                    for k in np.flatnonzero((ys == xs[i]).sum(1) >= least):
-                        if yc[k] != xc[i]:
+                    same = ys == xs[i]
+                    for k in np.flatnonzero(same.sum(1) >= least):
+                        if yc[k] != xc[i] and not same[k, : band * BAND_ROWS].reshape(band, BAND_ROWS).all(1).any():
                             a.append(min(xi[i], yi[k]))
                             b.append(max(xi[i], yi[k]))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if a else pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    return met.select("minor_rows", "all_rows").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return met.select("band", "minor_rows", "all_rows").mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = member_of.where("doc_id = cls").select("cls").distinct()
     one = staged(full.join(first, F.col("doc_id") == F.col("cls"), "left_semi").select(F.col("doc_id").alias("cls"), "bands", "sig"), "first")
 
-    banded = one.select("cls", F.explode("bands").alias("key"))
+    banded = one.select("cls", F.posexplode("bands").alias("band", "key"))
     turn = F.xxhash64("key")  # the pivot is the least member after a turn that each bucket draws
     buckets = banded.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(turn)).alias("least"), F.max(F.col("cls").bitwiseXOR(turn)).alias("most"))
     buckets = staged(buckets.where("least < most").select("key", F.col("least").bitwiseXOR(turn).alias("pivot")), "buckets")
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         if step == "pairs":
             rest = pairs.select("a", "b").distinct()
         else:
-            rest = _open_pairs(members.select("key", "cls"), labels, one.select("cls", "sig"), percent)
+            rest = _open_pairs(members.select("key", "band", "cls"), labels, one.select("cls", "sig"), percent)
         rest = rest.join(tried, ["a", "b"], "left_anti")
         for end in ("a", "b"):
             rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
