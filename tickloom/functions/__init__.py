@@ -1 +1 @@
-"""functions of the market-panel engine."""
+"""Column functions of the market-panel engine."""

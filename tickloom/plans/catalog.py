@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from tickloom.plans import prices, radar  # noqa: F401
+from tickloom.plans.registry import ORACLES, QUERIES
+
 
 def flagship(spark, sf_dir):
     raise NotImplementedError
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
