@@ -22,6 +22,8 @@ cte(
     "slots",
 )
 
+cte("b2", "SELECT * FROM bars WHERE symbol NOT LIKE '^%3' AND day(dt) <> 13", "bars")
+
 
 def slot_trades(spark, sf):
     """Trades that can't overlap: every seventh session of a symbol, five sessions long, each symbol in a slot of its own."""
@@ -63,7 +65,6 @@ def j05_price_audit(spark, sf):
     return X.price_issues(trades, bars)
 
 
-cte("b2", "SELECT * FROM bars WHERE symbol NOT LIKE '^%3' AND day(dt) <> 13", "bars")
 MOVE = "coalesce(open / lag(open) OVER (PARTITION BY trade_id ORDER BY b.dt) - 1, 0)"
 PATH = """SELECT trade_id, portfolio, slot, dt, position * mv - c AS position_return, mv - c AS long_return, CAST(dt = entry_dt AS INTEGER) AS entry, CAST(dt = exit_dt AS INTEGER) AS exit FROM (SELECT t.trade_id, t.portfolio, t.slot, t.position, t.entry_dt, t.exit_dt, b.dt,
  {move} AS mv, CASE WHEN b.dt = entry_dt THEN abs(position) * cost ELSE 0 END AS c FROM trades t JOIN bars b ON b.symbol = {priced} AND b.dt BETWEEN t.entry_dt AND t.exit_dt)"""
@@ -111,7 +112,7 @@ LW = "(PARTITION BY portfolio, slot ORDER BY dt ROWS UNBOUNDED PRECEDING)"
 def ledger_sql(paths, column):
     return f"""SELECT *, equity / coalesce(lag(equity) OVER (PARTITION BY portfolio ORDER BY dt), 1) - 1 AS daily_return, (equity - cash) / equity AS gross_exposure FROM (
     SELECT portfolio, dt, sum(value) AS equity, sum(CASE WHEN held = 0 THEN value ELSE 0 END) AS cash, sum(held) AS active_positions FROM (SELECT portfolio, slot, dt, exp(sum(coalesce(g, 0)) OVER {LW}) / 5 AS value,
-    CASE WHEN sum(coalesce(d, 0)) OVER {LW} > 0 THEN 1 ELSE 0 END AS held FROM curve_days, (SELECT unnest([1, 2, 3, 4, 5]) AS slot)
+    CASE WHEN sum(coalesce(d, 0)) OVER {LW} > 0 THEN 1 ELSE 0 END AS held FROM (SELECT portfolio, dt, slot FROM curve_days, (SELECT unnest([1, 2, 3, 4, 5]) AS slot)) g0
     LEFT JOIN (SELECT portfolio, slot, dt, sum(ln(1 + {column})) AS g FROM {paths} GROUP BY ALL) USING (portfolio, slot, dt)
     LEFT JOIN (SELECT portfolio, slot, dt, sum(d) AS d FROM (SELECT portfolio, slot, entry_dt AS dt, 1 AS d FROM trades UNION ALL SELECT portfolio, slot, exit_dt, -1 FROM trades) GROUP BY ALL) USING (portfolio, slot, dt)) GROUP BY portfolio, dt)"""
 
