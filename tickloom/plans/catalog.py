@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import prices, radar, reality, validation  # noqa: F401
+from tickloom.plans import ledger, prices, radar, reality, validation  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES
 
 
