@@ -7,7 +7,7 @@ first j that exceeds all its slots, after few rounds for all but tiny sets.
 
 Documents with equal sets are one class. Classes that share a band of the signature are candidates; within a bucket each
 is compared with one pivot drawn per bucket, in order of the bands shared: first the best pair of each class, then
-what is still unconnected, then all members of buckets that hold several components, in blocks of signatures. Every link is
+what is still unconnected, then all members of buckets that hold several components, in blocks. Every link is
 confirmed on the full sets before it counts, and the links' components are the groups. No step lists all pairs of a group.
 
 Cases: null, empty and word-free texts have an empty set and link with nothing; a text of fewer than n words is one shingle;
@@ -32,8 +32,8 @@ BANDS, BAND_ROWS = 28, 5
 SLOTS = BANDS * BAND_ROWS
 #: Pairs that are sent to the sets instead of both being shuffled: a checked bound of under 1 MB.
 FEW_PAIRS = 30_000
-#: Members of an open bucket in one block of signatures.
-BLOCK = 512
+#: Members of an open bucket in one block of signatures, and bytes of sets in one block of sets.
+BLOCK, SET_BYTES = 512, 1 << 20
 _U = np.uint64
 
 
@@ -125,14 +125,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return staged(both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed")
@@ -142,47 +135,95 @@ def _ordered(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _open_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Likely links between different components inside buckets, found in blocks of signatures.
+class _Groups:
+    """Components that links of one task have joined."""
 
-    A bucket's members outside its commonest component meet all its members; a pair is likely if its signatures agree in
-    at least the threshold less five standard deviations. A pair that shares several bands is looked at in the first only.
+    def __init__(self):
+        self.up: dict = {}
+
+    def find(self, x):
+        while self.up.get(x, x) != x:
+            self.up[x] = self.up.get(self.up[x], self.up[x])
+            x = self.up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _likely(x: list[dict], y: list[dict], band: int, least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of different components whose signatures agree in `least` slots, and in no band before this one."""
+    xs, ys = (np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (x, y))
+    for i, row in enumerate(xs):
+        same = ys == row
+        for k in np.flatnonzero(same.sum(1) >= least):
+            if x[i]["component"] != y[k]["component"] and not same[k, : band * BAND_ROWS].reshape(band, BAND_ROWS).all(1).any():
+                yield i, int(k)
+
+
+def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components inside buckets, confirmed in blocks of members.
+
+    A bucket's members outside its commonest component meet all its members, first by signature: likely are pairs that agree
+    in at least the threshold less five standard deviations. The members that have a likely partner, not the pairs, then
+    meet with their sets, and a task reports a link only where it joins components that its links have not joined yet.
     """
     rows = members.join(labels, F.col("cls") == F.col("node"), "left").select("key", "band", "cls", F.coalesce("component", "cls").alias("component"))
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     open_ = sizes.where("parts > 1 AND total > 2").select("key", "total", F.col("main.component").alias("main"), (F.col("total") - F.col("main.n")).alias("minor"))
     rows = staged(rows.join(open_, "key").join(signed, "cls"), "open")
-    entry = F.struct("cls", "component", "sig")
-
-    def blocks(df, name, count):
-        salt = F.pmod(F.xxhash64("cls"), F.ceil(F.col(count) / BLOCK)).alias("salt")
-        return df.groupBy("key", "band", salt).agg(F.collect_list(entry).alias(name)).drop("salt")
-
-    met = blocks(rows.where("component <> main"), "minor_rows", "minor").join(blocks(rows, "all_rows", "total"), ["key", "band"])
     share = percent / 100
     least = (share - 5 * (share * (1 - share) / SLOTS) ** 0.5) * SLOTS
     kind = members.schema["cls"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def matrix(cell):
-            rows = cell.as_py()
-            return [r["cls"] for r in rows], [r["component"] for r in rows], np.frombuffer(b"".join(r["sig"] for r in rows), np.uint8).reshape(len(rows), -1)
+    def blocks(df, name, count, *fields):
+        salt = F.pmod(F.xxhash64("cls"), F.col(count)).alias(f"{name}_salt")
+        return df.groupBy("key", "band", salt).agg(F.collect_list(F.struct("cls", "component", *fields)).alias(name))
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, cls = [], []
+            for k, band, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "few", "every")), strict=True):
+                found = {c for i, j in _likely(x, y, band, least) for c in (x[i]["cls"], y[j]["cls"])}
+                key += [k] * len(found)
+                cls += found
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(cls, pa.int64())], names=["key", "cls"])
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Groups()
         for batch in batches:
             a, b = [], []
-            for x, y, band in zip(batch.column("minor_rows"), batch.column("all_rows"), batch.column("band").to_pylist(), strict=True):
-                xi, xc, xs = matrix(x)
-                yi, yc, ys = matrix(y)
-                for i in range(len(xi)):
-                    same = ys == xs[i]
-                    for k in np.flatnonzero(same.sum(1) >= least):
-                        if yc[k] != xc[i] and not same[k, : band * BAND_ROWS].reshape(band, BAND_ROWS).all(1).any():
-                            a.append(min(xi[i], yi[k]))
-                            b.append(max(xi[i], yi[k]))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]) if a else pa.RecordBatch.from_pylist([], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-
-    return met.select("band", "minor_rows", "all_rows").mapInArrow(run, f"a {kind}, b {kind}").distinct()
+            for band, x, y in zip(*(batch.column(c).to_pylist() for c in ("band", "left", "right")), strict=True):
+                for i, k in _likely(x, y, band, least):
+                    if joined.find(x[i]["component"]) == joined.find(y[k]["component"]):
+                        continue
+                    if _similar(x[i]["set"], y[k]["set"], percent):
+                        joined.join(x[i]["component"], y[k]["component"])
+                        a.append(min(x[i]["cls"], y[k]["cls"]))
+                        b.append(max(x[i]["cls"], y[k]["cls"]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    cut = rows.withColumns({c: F.ceil(F.col(c) / BLOCK) for c in ("minor", "total")})
+    met = blocks(cut.where("component <> main"), "few", "minor", "sig").join(blocks(cut, "every", "total", "sig"), ["key", "band"])
+    marked = staged(met.select("key", "band", "few", "every").mapInArrow(mark, f"key bigint, cls {kind}").distinct(), "marked")
+
+    chosen = rows.select("key", "band", "cls", "component", "sig").join(marked, ["key", "cls"]).join(sets, "cls")
+    weight = chosen.groupBy("key").agg(F.ceil(F.sum(F.octet_length("set")) / SET_BYTES).alias("blocks"))
+    chosen = staged(chosen.join(weight, "key"), "chosen")
+    pairs = blocks(chosen, "left", "blocks", "sig", "set").join(blocks(chosen, "right", "blocks", "sig", "set"), ["key", "band"]).where("left_salt <= right_salt")
+    return staged(pairs.select("band", "left", "right").mapInArrow(confirm, f"a {kind}, b {kind}").distinct(), "open_links")
+
+
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -212,17 +253,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     best = pairs.groupBy("cls").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), "b")).alias("m")).select((-F.col("m.a")).alias("a"), F.col("m.b").alias("b")).distinct()
     links = _confirmed(best, sets, percent)
     labels = components(links)
-    tried = best
+    rest = pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     for step in ("pairs", "open"):
         if step == "pairs":
-            rest = pairs.select("a", "b").distinct()
+            more = _confirmed(rest, sets, percent)
         else:
-            rest = _open_pairs(members.select("key", "band", "cls"), labels, one.select("cls", "sig"), percent)
-        rest = rest.join(tried, ["a", "b"], "left_anti")
-        for end in ("a", "b"):
-            rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = _confirmed(rest, sets, percent)
+            more = _open_links(members.select("key", "band", "cls"), labels, one.select("cls", "sig"), sets, percent)
         if not more.isEmpty():
             links = links.union(more)
             labels = components(links)
