@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import rules
 from tickloom.functions.columns import r6 as R
 from tickloom.operators import radar as X
+from tickloom.plans import prices as _prices  # noqa: F401  its common table expressions are used below
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.sources import bars as B
