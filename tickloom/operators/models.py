@@ -118,7 +118,7 @@ def pooled_trees(frame: DataFrame, cut, trees: int = 20) -> DataFrame:
     data = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(frame).withColumn("label", F.col("y").cast("double"))
     train, rest = data.where(F.col("dt") < cut), data.where(F.col("dt") >= cut)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=6, minInstancesPerNode=24, featureSubsetStrategy="0.65", seed=7, probabilityCol="pf", rawPredictionCol="rf", predictionCol="cf").fit(train)
-    boosted = GBTClassifier(maxIter=trees, stepSize=0.04, maxDepth=4, minInstancesPerNode=24, seed=7, rawPredictionCol="rg", predictionCol="cg").setProbabilityCol("pg").fit(train)
+    boosted = GBTClassifier(maxIter=trees, stepSize=0.04, maxDepth=4, minInstancesPerNode=24, seed=7, predictionCol="cg").setProbabilityCol("pg").setRawPredictionCol("rg").fit(train)
     out = boosted.transform(forest.transform(rest))
     return out.select("symbol", "horizon", "dt", "y", "forward_return", vector_to_array("pf")[1].alias("p_forest"), vector_to_array("pg")[1].alias("p_boosted"))
 
