@@ -28,7 +28,7 @@ TABLES, BLOCK = 8, 512
 ROUNDS = 4
 #: Reverse neighbours that meet at a node in one round; the rest meet it in later rounds, or through others.
 REVERSE = 20
-LIST, EXPANDED, MOST_ROUNDS = 96, 12, 30
+LIST, EXPANDED, MOST_ROUNDS = 144, 24, 30
 _SEED = 20240229
 
 
