@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import slices
+from tickloom.llm.shared import bounded_batches, slices
 from tickloom.llm.words import shingles_of, words_of
 
 SEED_WORDS = 3
@@ -165,7 +165,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     spark = docs.sparkSession
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, item_id {item_type}, score double, first_word int, end_word int"
-    docs = docs.select("doc_id", "text")
+    docs = bounded_batches(docs).select("doc_id", "text")
     out = None
     for ids, texts in _blocks(benchmark):
         seeds = Seeds(ids, texts)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import slices
+from tickloom.llm.shared import bounded_batches, slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -101,7 +101,7 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, n = np.zeros(BUCKETS, np.int64), 0
         seen = np.zeros(BUCKETS, bool)
-        for _, part in slices(batches, text):
+        for _, part in slices(batches, text, 1 << 18):
             n += len(part)
             grams = [(d, b, np.searchsorted(d, np.arange(len(part) + 1))) for d, b in _grams(part)]
             for i in range(len(part)):
@@ -112,7 +112,7 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], names=["bucket", "n"])
 
-    counts = texts.select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = bounded_batches(texts).select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS, np.int64)
     real = counts[counts.bucket >= 0]
     df[real.bucket.to_numpy()] = real.n.to_numpy()
@@ -192,11 +192,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     fields = [f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in slices(batches, names[at]):
+        for part, texts in slices(batches, names[at], 1 << 18):
             langs, scores = shipped.value.predict(texts)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
-    out = docs.toDF(*names).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
+    out = bounded_batches(docs).toDF(*names).mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double"]))
     return out.toDF(*docs.columns, "lang_pred", "score")
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm.shared import slices
+from tickloom.llm.shared import bounded_batches, slices
 
 #: Element names of HTML, by the part that they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,7 +242,7 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             out = [main_text(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, html).mapInArrow(run, ", ".join([*fields, "text string", "n_chars bigint"]))
+    return bounded_batches(pages).select(*keep, html).mapInArrow(run, ", ".join([*fields, "text string", "n_chars bigint"]))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import slices, staged
+from tickloom.llm.shared import bounded_batches, slices, staged
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 BANDS, BAND_ROWS = 28, 5
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "f1", "f2", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
 
 
 def _packed_sets(docs: DataFrame, n: int) -> DataFrame:

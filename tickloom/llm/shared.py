@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes of text that a task holds as arrays at once; a longer single text is still taken whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's Arrow batches were bounded to BATCH_ROWS rows, unless the session names a number of its own.
+
+    Ten thousand whole texts, the default, can be more than a Python worker has room for.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name, "10000") == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about `size` characters of text each, and their texts (null as empty)."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tickloom.llm.shared import slices
+from tickloom.llm.shared import bounded_batches, slices
 
 #: The byte-level pre-token pattern and the printable stand-ins of bytes in the vocabulary.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -100,7 +100,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] |
     spark = df.sparkSession
     whole = spark.sparkContext.broadcast(proven_whole(path))  # at most the vocabulary
     keep = [c for c in df.columns if c != text] if keep is None else keep
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    source = bounded_batches(df).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

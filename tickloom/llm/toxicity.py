@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import slices
+from tickloom.llm.shared import bounded_batches, slices
 
 #: Bound of the labelled sample, per label value; the classifier alone is fitted on it.
 SAMPLE_PER_LABEL = 2000
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "features", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
+    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
     table = rows.mapInArrow(run, f"doc_id {kind}, toxic int, features array<bigint>, values array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     toxic = table.column("toxic").to_numpy()
     if len(set(toxic.tolist())) < 2:
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str =
             columns = [part.column("__key"), pa.array(p.argmax(1).astype(np.int32)), pa.array(p @ np.arange(p.shape[1])), pa.array(1 - p[:, 0]), pa.array(p[:, 0] <= 0.5)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "grade", "expected_severity", "p_toxic", "toxic"])
 
-    source = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    source = bounded_batches(docs).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     kind = docs.schema[key].dataType.simpleString()
     out = source.mapInArrow(run, f"key {kind}, grade int, expected_severity double, p_toxic double, toxic boolean")
     return out.withColumnRenamed("key", key)
