@@ -63,8 +63,8 @@ def members(spark, sf):
 cte("memb", "SELECT symbol, horizon, dt, actual_up AS y, buy_hold_return AS r, unnest(['linear', 'factor', 'coin']) AS member, unnest([lp, r.probability_up, 0.5::DOUBLE]) AS p FROM records r JOIN (SELECT symbol, dt, horizon, lp FROM fcast) USING (symbol, dt, horizon)", "records", "fcast")
 cte(
     "bweights",
-    """SELECT horizon, member, brier, w / sum(w) OVER (PARTITION BY horizon) AS weight FROM (SELECT *, 0.08 + 0.92 * raw / sum(raw) OVER (PARTITION BY horizon) AS w FROM (SELECT *, exp(-(brier - min(brier) OVER (PARTITION BY horizon)) / 0.012) AS raw
-    FROM (SELECT horizon, member, avg(power(y - p, 2)) AS brier FROM memb GROUP BY ALL)))""",
+    """SELECT horizon, member, brier, CASE WHEN min(n) OVER (PARTITION BY horizon) < 50 THEN CASE member WHEN 'linear' THEN 0.45::DOUBLE WHEN 'factor' THEN 0.35::DOUBLE ELSE 0.2::DOUBLE END ELSE w / sum(w) OVER (PARTITION BY horizon) END AS weight FROM (SELECT *, 0.08 + 0.92 * raw / sum(raw) OVER (PARTITION BY horizon) AS w FROM (SELECT *, exp(-(brier - min(brier) OVER (PARTITION BY horizon)) / 0.012) AS raw
+    FROM (SELECT horizon, member, avg(power(y - p, 2)) AS brier, count(*) AS n FROM memb GROUP BY ALL)))""",
     "memb",
 )
 
