@@ -264,6 +264,29 @@ def test_contaminated(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("beside", [[], [0], [0, 1]])
+def test_contaminated_by_an_edited_copy_only(spark, beside):
+    """Copies with 20 % of the words replaced, evenly, so that most three-word runs are broken; `beside`: exact copies elsewhere."""
+    rng = random.Random(22)
+    items = [(i, " ".join(words(rng, 30))) for i in range(4)]
+    plain = [words(rng, 120) for _ in range(8)]
+
+    def edited(text):
+        w = text.split()
+        for k in range(2, 30, 5):
+            w[k] = f"new{k}"
+        return w
+
+    texts = [(i, " ".join(plain[i][:60] + edited(items[i][1]) + plain[i][60:])) for i in range(4)]
+    texts += [(10 + k, " ".join(plain[4 + k] + items[0][1].split())) for k in beside]
+    short = "ene mene miste es rappelt kiste".split()
+    texts.append((20, " ".join(plain[6] + ["ene", "xx", *short[2:5], "yy"] + plain[7])))
+    bench = spark.createDataFrame([*items, (9, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(table(spark, texts), bench).collect()}
+    assert set(got) == {*((i, i) for i in range(4)), *((10 + k, 0) for k in beside), (20, 9)}
+    assert all(got[i, i] == 0.7 for i in range(4)) and all(got[10 + k, 0] == 1 for k in beside)
+
+
 # 7 token counts
 
 

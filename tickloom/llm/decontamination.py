@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is taken in blocks of a bounded number of words, each block in one pass over the corpus. The documents that
-hold each three-word run of the block's items are counted over the whole corpus, and each item keeps as seeds its rarer
-runs: those in no more documents than its median run. A document that meets an item in two seeds (one, if the item has no
-more) near one diagonal is aligned with the item there: Smith-Waterman on words, 2 for a match, -1 for a mismatch or a
-gap, over the passage with a margin on both sides. The score is divided by that of the whole item, so that an
-exact copy has 1; copies with words replaced, put in or left out score in between.
+The benchmark is taken in blocks of a bounded number of words, each block in one pass over the corpus. Every three-word run
+of an item is a seed, however many documents hold it: which runs outlive the edits of a copy can't be told from how rare
+they are. Where a document meets an item in a seed, the passage along that diagonal, with a margin on both sides, is aligned
+with the item if enough of its words are the item's for the score to be reached: Smith-Waterman on words, 2 for a match,
+-1 for a mismatch or a gap. The score is divided by that of the whole item, so that an exact copy has 1; copies with words
+replaced, put in or left out score in between. A copy without three words in a row of the item is not seen.
 
 Cases: null or empty texts and items match nothing; an item of fewer than three words has itself as its one seed;
 copies of an item in one document give one row, the best, the first on ties; repeated items are each reported;
@@ -41,14 +41,11 @@ class Seeds:
         place = np.arange(len(grams)) - ptr[:-1][item]
         order = np.argsort(grams, kind="stable")
         self.ids, self.words = ids, [w.hashes[w.ptr[i] : w.ptr[i + 1]] for i in range(len(ids))]
+        self.sorted_words = [np.sort(own) for own in self.words]
         self.hashes, self.item, self.place = grams[order], item[order], place[order]
-        self._index()
-
-    def _index(self) -> None:
         self.distinct, self.first, self.times = np.unique(self.hashes, return_index=True, return_counts=True)
         self.table = np.zeros(1 << _BITS, bool)
         self.table[self.distinct >> np.uint64(64 - _BITS)] = True
-        self.least = np.minimum(2, np.bincount(self.item, minlength=len(self.ids)))
 
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in grams that hold a seed, and the number of the seed."""
@@ -59,19 +56,6 @@ class Seeds:
         ok = self.distinct[seed] == grams[at]
         return at[ok], seed[ok]
 
-    def keep_rare(self, df: np.ndarray) -> None:
-        """df: documents with each distinct seed; each item keeps its runs with at most its median df."""
-        of = df[np.searchsorted(self.distinct, self.hashes)]
-        keep = np.zeros(len(of), bool)
-        order = np.argsort(self.item, kind="stable")
-        limits = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        for i in range(len(self.ids)):
-            own = order[limits[i] : limits[i + 1]]
-            if len(own):
-                keep[own] = of[own] <= np.median(of[own])
-        self.hashes, self.item, self.place = self.hashes[keep], self.item[keep], self.place[keep]
-        self._index()
-
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best Smith-Waterman score of two word sequences, and the span of the passage that has it."""
@@ -114,10 +98,10 @@ def _matches(seeds: Seeds, words: np.ndarray, place: np.ndarray, seed: np.ndarra
         diagonal, found = p[low:high] - q[low:high], None
         jumps = np.flatnonzero(np.diff(diagonal) > slack)  # hits along near diagonals are one passage
         for a, b in zip(np.append(0, jumps + 1), np.append(jumps + 1, len(diagonal)), strict=True):
-            if len(np.unique(q[low + a : low + b])) < seeds.least[i]:
-                continue
             start = max(0, int(diagonal[a]) - slack)
             end = min(len(words), int(diagonal[b - 1]) + size + slack)
+            if 2 * _shared(seeds.sorted_words[i], words[start:end]) < least * 2 * size:  # no alignment can score enough
+                continue
             s, x, y = align(seeds.words[i], words[start:end])
             if s >= least * 2 * size and (found is None or s > found[1]):
                 found = (i, s, start + x, start + y)
@@ -126,6 +110,13 @@ def _matches(seeds: Seeds, words: np.ndarray, place: np.ndarray, seed: np.ndarra
     return out
 
 
+def _shared(ordered: np.ndarray, passage: np.ndarray) -> int:
+    """How many words of the passage are among the item's."""
+    at = np.searchsorted(ordered, passage)
+    at[at == len(ordered)] = 0
+    return int(np.count_nonzero(ordered[at] == passage))
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
     """Items of a block at a time; the driver holds one block."""
     ids, texts, held = [], [], 0
@@ -140,26 +131,6 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-def _document_frequencies(docs: DataFrame, seeds: Seeds) -> np.ndarray:
-    shipped = docs.sparkSession.sparkContext.broadcast(seeds)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = shipped.value
-        counts = np.zeros(len(seeds.distinct), np.int64)
-        for _, texts in slices(batches, "text"):
-            grams, ptr = shingles_of(words_of(texts), SEED_WORDS)
-            at, seed = seeds.find(grams)
-            pair = np.unique((np.searchsorted(ptr, at, "right") - 1) * len(counts) + seed)
-            counts += np.bincount(pair % max(len(counts), 1), minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-    found = docs.select("text").mapInArrow(run, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toPandas()
-    df = np.zeros(len(seeds.distinct), np.int64)
-    df[found.seed.to_numpy(dtype=np.int64)] = found.n.to_numpy()
-    return df
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score double, first_word int, end_word int of passages that score at least `least`."""
     spark = docs.sparkSession
@@ -169,7 +140,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     out = None
     for ids, texts in _blocks(benchmark):
         seeds = Seeds(ids, texts)
-        seeds.keep_rare(_document_frequencies(docs, seeds))
         shipped = spark.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
