@@ -205,6 +205,26 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_repeated_passages_behind_a_head_that_fails(spark):
+    """A holds a part of the passage only, or first elsewhere; B and C hold the whole."""
+    rng = random.Random(12)
+    texts, expected = [], {}
+    for i in range(0, 120, 4):
+        whole = words(rng, 55)
+        part = whole[:48] if i % 8 else whole[7:]
+        texts.append((1000 * i, " ".join(words(rng, 40) + part + words(rng, 40) + (part + words(rng, 30)) * (i % 3))))
+        texts.append((1000 * i + 1, " ".join(words(rng, 60) + whole + words(rng, 30))))
+        texts.append((1000 * i + 2, " ".join(words(rng, 20) + whole + words(rng, 50))))
+        expected[1000 * i + 2] = [(20, 75, 1000 * i + 1)]
+    got = {}
+    for r in substring_dedup.repeated_passages(table(spark, texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.first_word, r.end_word, r.of_doc))
+    assert got.keys() <= expected.keys() and all(got[d] == expected[d] for d in got)
+    # what is missed is the chance of fewer than ENOUGH hash functions with a window, as without the heads
+    pairs = table(spark, [t for t in texts if t[0] % 1000])
+    assert got.keys() == {r.doc_id for r in substring_dedup.repeated_passages(pairs).collect()} and len(got) >= 27
+
+
 def test_compact_windows_cover_every_passage():
     rng = np.random.default_rng(4)
     grams = rng.integers(1, 1 << 60, 300, dtype=np.uint64)

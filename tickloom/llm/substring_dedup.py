@@ -4,9 +4,10 @@ Tokens are the hashes of five-word runs. Under each of HASHES hash functions, th
 `min_words` words stand for all stretches that they are least in: a Cartesian tree over these positions gives each its
 compact window, the widest span in which it is least. Windows whose token occurs in two documents or more meet, by hash
 function, if they also share the token 20 places to one side (a passage of 50 words reaches that far to one side at least);
-each meets the earliest document's window of its group, never all others. An interval join keeps pairs whose aligned
+each meets the earliest document's window of its group. An interval join keeps pairs whose aligned
 windows overlap by a whole passage, pairs that enough hash functions support are verified on the texts, and what is verified is
-merged to passages. The earliest document keeps a passage; it is reported for the others.
+merged to passages. Windows that no verified passage holds then meet again without that head: the next earliest of the group
+are its heads, until no group has two documents. The earliest document keeps a passage; it is reported for the others.
 
 Cases: null, empty and short texts have no passage; passages that repeat only inside one document are left alone; repeated
 rows of one doc_id are one document; rows with a null id take no part; texts of any length are read whole; ties between
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import bounded_batches, slices, staged
@@ -29,6 +30,8 @@ SHINGLE = 5
 HASHES, ENOUGH = 4, 2
 SIDE = 20
 SIMILARITY = 0.8
+#: Groups that are left have so many times the heads in the next round, so that few rounds end them.
+MORE_HEADS = 8
 _SLACK = 16
 _U = np.uint64
 
@@ -177,30 +180,67 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     live = staged(_windows(docs, width).join(shared, "key").drop("key"), "windows")
 
     sided = live.select("doc_id", "at", "back", "ahead", "j", F.explode(F.array("lefts", "rights")).alias("g")).where("g IS NOT NULL")
-    heads = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last"))
-    heads = staged(heads.where("head.doc_id < last").select("g", "head"), "heads")
-    met = sided.join(heads, "g").where("doc_id <> head.doc_id")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    spans = found = None
+    many = 1
+    while True:
+        heads = staged(_heads(sided, many), "heads")
+        if found is not None and heads.isEmpty():
+            return _merged(found, kind)
+        new = staged(_spans(sided, heads, width), "spans")
+        spans = new if spans is None else spans.unionByName(new)
+        support = spans.groupBy("doc_id", "of_doc").agg(F.bit_count(F.bit_or("hashes")).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
+        if found is None:
+            wanted, held = spans.join(support, ["doc_id", "of_doc"]), None
+        else:
+            # pairs that this round's windows support, with what earlier rounds saw of them
+            support = support.join(new.select("doc_id", "of_doc").distinct(), ["doc_id", "of_doc"])
+            wanted, held = _outside(spans.join(support, ["doc_id", "of_doc"]), _held(found, kind)), found
+        wanted = staged(_cover_first(wanted.drop("hashes")), "wanted")
+
+        # first the spans that cover a document's candidates, then those whose tokens no verified passage holds
+        first = staged(_verified_spans(wanted.where("cover"), texts, width), "verified")
+        found = first if held is None else held.unionByName(first)
+        rest = staged(_outside(wanted.where("NOT cover"), _held(found, kind)), "rest")
+        if not rest.isEmpty():
+            found = found.unionByName(staged(_verified_spans(rest, texts, width), "verified"))
+        # windows that no verified passage holds meet again, without the heads
+        gone = heads.select("g", F.col("head.doc_id").alias("doc_id"), F.col("head.at").alias("at"))
+        sided = sided.join(heads.select("g"), "g", "left_semi").join(gone, ["g", "doc_id", "at"], "left_anti").distinct()
+        sided = _outside(sided.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}), _held(found, kind)).drop("first_at", "last_at")
+        sided = staged(sided, "windows")
+        many *= MORE_HEADS
+
+
+def _heads(sided: DataFrame, many: int) -> DataFrame:
+    """g, head: the earliest `many` windows of each group with two documents or more."""
+    ends = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id < last")
+    if many == 1:
+        return ends.select("g", "head")
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "at"))
+    first = sided.join(ends.select("g"), "g", "left_semi").withColumn("rank", rank).where(F.col("rank") <= many)
+    return first.select("g", F.struct("doc_id", "at", "back", "ahead").alias("head"))
+
+
+def _spans(sided: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+    """Aligned windows that overlap by a passage with an earlier head of their group, by pair of documents and shift."""
+    met = sided.join(heads, "g").where("doc_id > head.doc_id")
     reach_back, reach = F.least("back", F.col("head.back")), F.least("ahead", F.col("head.ahead"))
     met = met.where(reach_back + reach + 1 >= width)
     shift = F.col("at") - F.col("head.at")
-    spans = met.groupBy("doc_id", F.col("head.doc_id").alias("of_doc"), shift.alias("shift")).agg(
+    return met.groupBy("doc_id", F.col("head.doc_id").alias("of_doc"), shift.alias("shift")).agg(
         F.min(F.col("at") - reach_back).alias("low"), F.max(F.col("at") + reach).alias("high"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.bit_or(F.expr("shiftleft(1, j)")).alias("hashes")
     )
-    spans = staged(spans, "spans")
-    enough = spans.groupBy("doc_id", "of_doc").agg(F.bit_count(F.bit_or("hashes")).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
-    wanted = spans.join(enough, ["doc_id", "of_doc"]).drop("hashes")
-    wanted = staged(_cover_first(wanted), "wanted")
 
-    # first the spans that cover a document's candidates, then those whose tokens no verified passage holds
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    found = staged(_verified_spans(wanted.where("cover"), texts, width), "verified")
-    held = _merged(found, kind).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("held"))
-    rest = wanted.where("NOT cover").join(held, "doc_id", "left")
+
+def _held(found: DataFrame, kind: str) -> DataFrame:
+    return _merged(found, kind).groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("held"))
+
+
+def _outside(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """Rows whose tokens from first_at to last_at are in no verified passage of the document."""
     inside = F.exists("held", lambda h: (h["first_word"] <= F.col("first_at")) & (F.col("last_at") + SHINGLE <= h["end_word"]))
-    rest = staged(rest.where(~F.coalesce(inside, F.lit(False))).drop("held"), "rest")
-    if not rest.isEmpty():
-        found = found.unionByName(_verified_spans(rest, texts, width))
-    return _merged(found, kind)
+    return rows.join(held, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).drop("held")
 
 
 def _cover_first(wanted: DataFrame) -> DataFrame:
