@@ -11,8 +11,9 @@ what is still unconnected, then all members of buckets that hold several compone
 confirmed on the full sets before it counts, and the links' components are the groups. No step lists all pairs of a group.
 
 Cases: null, empty and word-free texts have an empty set and link with nothing; a text of fewer than n words is one shingle;
-repeated rows are one document; rows with a null id have a null component and are kept; other columns play no part. Bands
-of BAND_ROWS slots miss a pair at the threshold of 0.8 with a chance of about 1 in 10^5 (less when more similar).
+repeated rows of one doc_id are one document, whose text is the first in order if they differ, and give equal rows; rows
+with a null id have a null component and are kept; other columns play no part. Bands of BAND_ROWS slots miss a pair at the
+threshold of 0.8 with a chance of about 1 in 10^5 (less when more similar).
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import bounded_batches, slices, staged
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 BANDS, BAND_ROWS = 28, 5
@@ -110,9 +111,9 @@ def _packed_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("cls", "text").mapInArrow(run, f"cls {kind}, set binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    pairs = staged(pairs, "pairs")
+    pairs = scratch.stage(pairs, "pairs")
     few = pairs.count() <= FEW_PAIRS
     sent = F.broadcast(pairs) if few else pairs
     left = sent.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
@@ -128,7 +129,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return staged(both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed")
+    confirmed = scratch.stage(both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}").distinct(), "confirmed")
+    scratch.drop("pairs")
+    return confirmed
 
 
 def _ordered(x, y):
@@ -163,7 +166,7 @@ def _likely(x: list[dict], y: list[dict], band: int, least: float) -> Iterator[t
                 yield i, int(k)
 
 
-def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links between different components inside buckets, confirmed in blocks of members.
 
     A bucket's members outside its commonest component meet all its members, first by signature: likely are pairs that agree
@@ -174,7 +177,9 @@ def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets:
     parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     sizes = parts.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     open_ = sizes.where("parts > 1 AND total > 2").select("key", "total", F.col("main.component").alias("main"), (F.col("total") - F.col("main.n")).alias("minor"))
-    rows = staged(rows.join(open_, "key").join(signed, "cls"), "open")
+    rows = scratch.stage(rows.join(open_, "key").join(signed, "cls"), "open")
+    if rows.isEmpty():
+        return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
     share = percent / 100
     least = (share - 5 * (share * (1 - share) / SLOTS) ** 0.5) * SLOTS
     kind = members.schema["cls"].dataType.simpleString()
@@ -208,13 +213,15 @@ def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets:
 
     cut = rows.withColumns({c: F.ceil(F.col(c) / BLOCK) for c in ("minor", "total")})
     met = blocks(cut.where("component <> main"), "few", "minor", "sig").join(blocks(cut, "every", "total", "sig"), ["key", "band"])
-    marked = staged(met.select("key", "band", "few", "every").mapInArrow(mark, f"key bigint, cls {kind}").distinct(), "marked")
+    marked = scratch.stage(met.select("key", "band", "few", "every").mapInArrow(mark, f"key bigint, cls {kind}").distinct(), "marked")
 
     chosen = rows.select("key", "band", "cls", "component", "sig").join(marked, ["key", "cls"]).join(sets, "cls")
     weight = chosen.groupBy("key").agg(F.ceil(F.sum(F.octet_length("set")) / SET_BYTES).alias("blocks"))
-    chosen = staged(chosen.join(weight, "key"), "chosen")
+    chosen = scratch.stage(chosen.join(weight, "key"), "chosen")
     pairs = blocks(chosen, "left", "blocks", "sig", "set").join(blocks(chosen, "right", "blocks", "sig", "set"), ["key", "band"]).where("left_salt <= right_salt")
-    return staged(pairs.select("band", "left", "right").mapInArrow(confirm, f"a {kind}, b {kind}").distinct(), "open_links")
+    links = scratch.stage(pairs.select("band", "left", "right").mapInArrow(confirm, f"a {kind}, b {kind}").distinct(), "open_links")
+    scratch.drop("open", "marked", "chosen")
+    return links
 
 
 def _similar(x: bytes, y: bytes, percent: int) -> bool:
@@ -231,43 +238,52 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     doc_id is of an integer type; documents link when 100 * intersection >= percent * union of their n-word shingle sets.
     """
-    signed = staged(signatures(docs, n), "signatures")
+    scratch = Scratch(docs.sparkSession, "near_duplicates")
+    rows, docs = docs.select("doc_id"), one_row_per_id(docs.select("doc_id", "text"))
+    repeats = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.count("*") - 1).cast("int").alias("more")).where("more > 0")
+    signed = scratch.stage(signatures(docs, n), "signatures")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("cls"))
-    member_of = staged(signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", "cls"), "classes")
-    first = member_of.where("doc_id = cls").select("cls").distinct()
-    one = staged(full.join(first, F.col("doc_id") == F.col("cls"), "left_semi").select(F.col("doc_id").alias("cls"), "bands", "sig"), "first")
+    # a table of its own, so that the join with it is dealt out anew and Spark can split a class of very many copies
+    classes = scratch.stage(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("cls")), "by_set")
+    member_of = scratch.stage(signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", "cls"), "classes")
+    one = scratch.stage(full.join(classes.select("cls"), F.col("doc_id") == F.col("cls"), "left_semi").select(F.col("doc_id").alias("cls"), "bands", "sig"), "first")
+    scratch.drop("signatures", "by_set")
 
     banded = one.select("cls", F.posexplode("bands").alias("band", "key"))
     turn = F.xxhash64("key")  # the pivot is the least member after a turn that each bucket draws
     buckets = banded.groupBy("key").agg(F.min(F.col("cls").bitwiseXOR(turn)).alias("least"), F.max(F.col("cls").bitwiseXOR(turn)).alias("most"))
-    buckets = staged(buckets.where("least < most").select("key", F.col("least").bitwiseXOR(turn).alias("pivot")), "buckets")
-    members = staged(banded.join(buckets, "key"), "members")
+    buckets = scratch.stage(buckets.where("least < most").select("key", F.col("least").bitwiseXOR(turn).alias("pivot")), "buckets")
+    members = scratch.stage(banded.join(buckets, "key"), "members")
+    scratch.drop("buckets")
     pairs = members.where("cls <> pivot").groupBy("cls", "pivot").agg(F.count("*").alias("shared"))
-    pairs = staged(pairs.select("cls", *_ordered("cls", "pivot"), "shared"), "candidates")
+    pairs = scratch.stage(pairs.select("cls", *_ordered("cls", "pivot"), "shared"), "candidates")
 
     needed = members.select("cls").distinct()
     texts = docs.select(F.col("doc_id").alias("cls"), "text").join(needed, "cls", "left_semi")
-    sets = staged(_packed_sets(texts, n), "sets")
+    sets = scratch.stage(_packed_sets(texts, n), "sets")
 
     best = pairs.groupBy("cls").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), "b")).alias("m")).select((-F.col("m.a")).alias("a"), F.col("m.b").alias("b")).distinct()
-    links = _confirmed(best, sets, percent)
-    labels = components(links)
+    links = _confirmed(best, sets, percent, scratch)
+    labels = components(links, scratch=scratch)
     rest = pairs.select("a", "b").distinct().join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     for step in ("pairs", "open"):
         if step == "pairs":
-            more = _confirmed(rest, sets, percent)
+            more = _confirmed(rest, sets, percent, scratch)
         else:
-            more = _open_links(members.select("key", "band", "cls"), labels, one.select("cls", "sig"), sets, percent)
+            more = _open_links(members.select("key", "band", "cls"), labels, one.select("cls", "sig"), sets, percent, scratch)
         if not more.isEmpty():
             links = links.union(more)
-            labels = components(links)
+            labels = components(links, scratch=scratch)
     grouped = member_of.join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     group = F.coalesce("component", "cls", "doc_id")
-    return grouped.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = grouped.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), group).alias("component_id"), F.coalesce(group == F.col("doc_id"), F.lit(True)).alias("kept"))
+    again = found.join(repeats, "doc_id").select(*found.columns, F.explode(F.array_repeat(F.lit(0), F.col("more")))).drop("col")
+    found = scratch.stage(found.unionByName(again), "found")
+    scratch.keep("found")
+    return found
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

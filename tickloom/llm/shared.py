@@ -1,4 +1,4 @@
-"""What several training-data operators need of Spark: staged tables and batches of bounded size."""
+"""What several training-data operators need of Spark: staged tables, one row per id, batches of bounded size."""
 
 from __future__ import annotations
 
@@ -7,34 +7,90 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a task holds as arrays at once; a longer single text is still taken whole.
 CHUNK_BYTES = 1 << 19
 BATCH_ROWS = 500
+#: Folders of sessions without executors of their own, by application.
+_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a fresh local one only where the session names none (tests)."""
+    """The folder all executors share, as the session names it. A temporary folder only where all tasks run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-stage-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        path = _LOCAL.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-stage-")
+        _LOCAL[context.applicationId] = path
     return path.rstrip("/")
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder, deleted when nothing will read them any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: dict[str, list[str]] = {}
+        self._made = 0
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written as Parquet and read again: cuts lineage, survives lost executors."""
+        path = f"{self.folder}/{name}-{self._made}"
+        self._made += 1
+        df.write.parquet(path)
+        self._paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes what was staged under these names; frames that are still to be computed must not read it."""
+        for name in names:
+            for path in self._paths.pop(name, []):
+                self._delete(path)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all but what was staged under these names."""
+        self.drop(*[n for n in self._paths if n not in names])
+
+    def clear(self) -> None:
+        self._paths.clear()
+        self._delete(self.folder)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table of its own in the shared folder, for results that outlive the call."""
+    return Scratch(df.sparkSession, name).stage(df, "table")
+
+
+def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row for each key; of several the one whose text sorts first (a null text last), then by its other columns.
+
+    Rows with a null key are left as they are. Only rows of repeated keys are shuffled; without any, docs is returned.
+    """
+    repeated = docs.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(key).alias("__key"))
+    if repeated.isEmpty():
+        return docs
+    comparable = [f.name for f in docs.schema if f.name not in (key, text) and f.dataType.typeName() not in ("map", "variant")]
+    order = F.struct(F.col(text).isNull().alias("no_text"), F.col(text).alias("text"), *[F.col(f"`{c}`") for c in comparable])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = docs.join(repeated, F.col(key) == F.col("__key"), "left_semi").groupBy(F.col(key).alias("__group")).agg(F.min_by(whole, order).alias("__row"))
+    single = docs.join(repeated, F.col(key) == F.col("__key"), "left_anti")
+    return single.unionByName(first.select("__row.*"))
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches were bounded to BATCH_ROWS rows, unless the session names a number of its own.
 
-    Ten thousand whole texts, the default, can be more than a Python worker has room for.
+    Ten thousand whole texts, the default, can be more than a Python worker has room for; Spark has no such setting for one query.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name, "10000") == "10000":
@@ -43,14 +99,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of the batches with about `size` characters of text each, and their texts (null as empty)."""
+    """Parts of the batches with about `size` bytes of text each, and their texts (null as empty); one part's texts are held at a time."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
         low = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > size:
-                yield batch.slice(low, i - low), texts[low:i]
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        for i, n in enumerate([*lengths, size + 1]):
+            if i == len(lengths) or held and held + n > size:
+                if i > low:
+                    part = batch.slice(low, i - low)
+                    yield part, [t or "" for t in part.column(text).to_pylist()]
                 low, held = i, 0
-            held += len(t) + 64
-        if low < len(texts):
-            yield batch.slice(low), texts[low:]
+            held += n + 64

@@ -10,8 +10,8 @@ merged to passages. Windows that no verified passage holds then meet again witho
 are its heads, until no group has two documents. The earliest document keeps a passage; it is reported for the others.
 
 Cases: null, empty and short texts have no passage; passages that repeat only inside one document are left alone; repeated
-rows of one doc_id are one document; rows with a null id take no part; texts of any length are read whole; ties between
-earliest windows go to the smaller position; other columns play no part.
+rows of one doc_id are one document, whose text is the first in order if they differ; rows with a null id take no part;
+texts of any length are read whole; ties between earliest windows go to the smaller position; other columns play no part.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import bounded_batches, slices, staged
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 SHINGLE = 5
@@ -36,10 +36,11 @@ _SLACK = 16
 _U = np.uint64
 
 
-def compact_windows(grams: np.ndarray, ptr: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions that are least in some `width` tokens of their text, with their compact windows [left, right]."""
+def _minima(grams: np.ndarray, ptr: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Positions that are least in some `width` tokens of their text, their values, and the first and last start of the stretches that they are least in."""
+    none = np.zeros(0, np.int64)
     if len(grams) < width:
-        return (np.zeros(0, np.int64),) * 3
+        return none, np.zeros(0, np.uint64), none, none
     bits = _U(int(len(grams)).bit_length())
     x = (seeded(grams, seed) >> bits << bits) | np.arange(len(grams), dtype=np.uint64)  # equal tokens: the first is least
     least, w = x, 1
@@ -48,16 +49,27 @@ def compact_windows(grams: np.ndarray, ptr: np.ndarray, width: int, seed: int) -
         w *= 2
     if width > w:
         least = np.minimum(least[: len(grams) - width + 1], least[width - w :])
-    start = np.arange(len(least))
-    doc = np.searchsorted(ptr, start, "right") - 1
-    inside = start + width <= ptr[doc + 1]
-    start, least, doc = start[inside], least[inside], doc[inside]
+    sizes = np.diff(ptr)
+    inside = np.ones(len(least), bool)  # stretches that run over the end of a text
+    edge = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(edge, np.maximum(ptr[1:] - width + 1, ptr[:-1])[sizes > 0], 1)
+    np.add.at(edge, ptr[1:][sizes > 0], -1)
+    inside = np.cumsum(edge[: len(least)]) == 0
+    start, least = np.flatnonzero(inside), least[inside]
     if not len(start):
-        return (np.zeros(0, np.int64),) * 3
-    cut = np.flatnonzero((np.diff(least) != 0) | (np.diff(doc) != 0))
+        return none, np.zeros(0, np.uint64), none, none
+    cut = np.flatnonzero((np.diff(least) != 0) | (np.diff(start) != 1))
     first, last = start[np.append(0, cut + 1)], start[np.append(cut, len(start) - 1)]
-    value, doc = least[np.append(0, cut + 1)], doc[np.append(0, cut + 1)]
-    place = (value & ((_U(1) << bits) - _U(1))).astype(np.int64)
+    value = least[np.append(0, cut + 1)]
+    return (value & ((_U(1) << bits) - _U(1))).astype(np.int64), value, first, last
+
+
+def compact_windows(grams: np.ndarray, ptr: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions that are least in some `width` tokens of their text, with their compact windows [left, right]."""
+    place, value, first, last = _minima(grams, ptr, width, seed)
+    if not len(place):
+        return (place,) * 3
+    doc = np.searchsorted(ptr, place, "right") - 1
     low, high = ptr[doc], ptr[doc + 1] - 1
     # Cartesian tree over the chosen positions of each text: nearest smaller ones to both sides
     size = len(place)
@@ -81,22 +93,20 @@ def compact_windows(grams: np.ndarray, ptr: np.ndarray, width: int, seed: int) -
     return place, left, right
 
 
-def _windows_of(texts: list[str], width: int) -> Iterator[tuple]:
-    """For each hash function: its number, the tokens, their limits by text, and the windows with the texts' numbers."""
-    grams, ptr = shingles_of(words_of(texts), SHINGLE)
-    for j in range(HASHES):
-        place, left, right = compact_windows(grams, ptr, width, j)
-        yield j, grams, ptr, np.searchsorted(ptr, place, "right") - 1, place, left, right
-
-
 def _token_counts(docs: DataFrame, width: int) -> DataFrame:
     """key: tokens of windows that two documents or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in slices(batches, "text"):
-            found = [np.stack((doc.astype(np.uint64), grams[place])) for _, grams, _, doc, place, _, _ in _windows_of(texts, width)]
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            keys, n = np.unique(pairs[1], return_counts=True)
+            grams, ptr = shingles_of(words_of(texts), SHINGLE)
+            place = np.unique(np.concatenate([_minima(grams, ptr, width, j)[0] for j in range(HASHES)]))
+            doc = np.searchsorted(ptr, place, "right") - 1
+            keys = np.sort(grams[place])
+            if len(keys) > 1 and (keys[1:] == keys[:-1]).any():  # a token counts once for each document
+                order = np.lexsort((doc, grams[place]))
+                key, of = grams[place][order], doc[order]
+                keys = key[np.append(True, (key[1:] != key[:-1]) | (of[1:] != of[:-1]))]
+            keys, n = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
     found = docs.select("text").mapInArrow(run, "key bigint, n bigint")
@@ -109,7 +119,10 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
-            for j, grams, ptr, doc, place, left, right in _windows_of(texts, width):
+            grams, ptr = shingles_of(words_of(texts), SHINGLE)
+            for j in range(HASHES):
+                place, left, right = compact_windows(grams, ptr, width, j)
+                doc = np.searchsorted(ptr, place, "right") - 1
                 key = grams[place]
                 sides = []
                 for far, salt in ((place - SIDE, 1), (place + SIDE, 2)):
@@ -174,20 +187,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     Overlapping findings of a document are merged; word numbers count white-space-separated words from 0.
     """
     width = min_words - SHINGLE + 1
-    docs = bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    scratch = Scratch(docs.sparkSession, "repeated_passages")
+    docs = one_row_per_id(bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = staged(_token_counts(docs, width), "tokens")
-    live = staged(_windows(docs, width).join(shared, "key").drop("key"), "windows")
+    shared = scratch.stage(_token_counts(docs, width), "tokens")
+    live = scratch.stage(_windows(docs, width).join(shared, "key").drop("key"), "windows_0")
+    scratch.drop("tokens")
 
     sided = live.select("doc_id", "at", "back", "ahead", "j", F.explode(F.array("lefts", "rights")).alias("g")).where("g IS NOT NULL")
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
     spans = found = None
-    many = 1
+    many, turn = 1, 0
     while True:
-        heads = staged(_heads(sided, many), "heads")
+        heads = scratch.stage(_heads(sided, many), f"heads_{turn}")
         if found is not None and heads.isEmpty():
-            return _merged(found, kind)
-        new = staged(_spans(sided, heads, width), "spans")
+            passages = scratch.stage(_merged(found, kind), "passages")
+            scratch.keep("passages")
+            return passages
+        new = scratch.stage(_spans(sided, heads, width), "spans")
         spans = new if spans is None else spans.unionByName(new)
         support = spans.groupBy("doc_id", "of_doc").agg(F.bit_count(F.bit_or("hashes")).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
         if found is None:
@@ -196,20 +212,22 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
             # pairs that this round's windows support, with what earlier rounds saw of them
             support = support.join(new.select("doc_id", "of_doc").distinct(), ["doc_id", "of_doc"])
             wanted, held = _outside(spans.join(support, ["doc_id", "of_doc"]), _held(found, kind)), found
-        wanted = staged(_cover_first(wanted.drop("hashes")), "wanted")
+        wanted = scratch.stage(_cover_first(wanted.drop("hashes")), f"wanted_{turn}")
+        tokens = scratch.stage(_tokens(docs, wanted), f"texts_{turn}")
 
         # first the spans that cover a document's candidates, then those whose tokens no verified passage holds
-        first = staged(_verified_spans(wanted.where("cover"), texts, width), "verified")
+        first = scratch.stage(_verified_spans(wanted.where("cover"), tokens, width), "verified")
         found = first if held is None else held.unionByName(first)
-        rest = staged(_outside(wanted.where("NOT cover"), _held(found, kind)), "rest")
+        rest = scratch.stage(_outside(wanted.where("NOT cover"), _held(found, kind)), f"rest_{turn}")
         if not rest.isEmpty():
-            found = found.unionByName(staged(_verified_spans(rest, texts, width), "verified"))
+            found = found.unionByName(scratch.stage(_verified_spans(rest, tokens, width), "verified"))
         # windows that no verified passage holds meet again, without the heads
         gone = heads.select("g", F.col("head.doc_id").alias("doc_id"), F.col("head.at").alias("at"))
         sided = sided.join(heads.select("g"), "g", "left_semi").join(gone, ["g", "doc_id", "at"], "left_anti").distinct()
         sided = _outside(sided.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}), _held(found, kind)).drop("first_at", "last_at")
-        sided = staged(sided, "windows")
-        many *= MORE_HEADS
+        sided = scratch.stage(sided, f"windows_{turn + 1}")
+        scratch.drop(*[f"{name}_{turn}" for name in ("windows", "heads", "wanted", "texts", "rest")])
+        many, turn = many * MORE_HEADS, turn + 1
 
 
 def _heads(sided: DataFrame, many: int) -> DataFrame:
@@ -268,44 +286,43 @@ def _cover_first(wanted: DataFrame) -> DataFrame:
     return flat.select("doc_id", *[F.col(f"x.spans.{c}").alias(c) for c in fields], F.col("x.covers").alias("cover"))
 
 
-def _grams_of(texts: list[str]) -> list[np.ndarray]:
-    """32-bit tokens of each text; equal texts, which a join repeats, are read once."""
-    distinct = list(dict.fromkeys(texts))
-    grams, ptr = shingles_of(words_of(distinct), SHINGLE)
-    small = grams.astype(np.uint32)
-    number = {t: i for i, t in enumerate(distinct)}
-    return [small[ptr[number[t]] : ptr[number[t] + 1]] for t in texts]
+def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id and tokens (32 bits each) of the documents that wanted names: each text is hashed once, however many pairs it is in."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "text"):
+            grams, ptr = shingles_of(words_of(texts), SHINGLE)
+            small = grams.astype(np.uint32)
+            packed = pa.array([small[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), packed], names=["id", "tokens"])
 
-def _verified_spans(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Passages that the texts bear out; texts has id and text, dealt out by id once for both ends."""
-    kind = wanted.schema["doc_id"].dataType.simpleString()
+    ends = wanted.select("doc_id").union(wanted.select("of_doc")).distinct()
+    return docs.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, tokens binary")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tokens of of_doc along the wanted span."""
-        for part, bodies in slices(batches, "text", 1 << 21):
-            out = []
-            for own, low, high, shift in zip(_grams_of(bodies), *(part.column(c).to_pylist() for c in ("low", "high", "shift")), strict=True):
-                out.append(own[max(0, low - shift - _SLACK) : max(0, high - shift + 1 + _SLACK)].tobytes())
-            columns = [part.column(c) for c in ("doc_id", "of_doc", "low", "high")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.binary())], names=["doc_id", "of_doc", "low", "high", "other"])
+
+def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
+    """Passages that the tokens bear out. Only the wanted stretches of both ends, cut out by Spark, are sent to Python."""
+    kind = wanted.schema["doc_id"].dataType.simpleString()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, bodies in slices(batches, "text", 1 << 21):
+        for batch in batches:
             rows = []
-            for i, (grams, low, high) in enumerate(zip(_grams_of(bodies), part.column("low").to_pylist(), part.column("high").to_pylist(), strict=True)):
-                begin = max(0, low - _SLACK)
-                other = np.frombuffer(part.column("other")[i].as_buffer(), np.uint32)
-                rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in verified(grams[begin : high + 1 + _SLACK], other, width)]
+            for i, (own, other, begin) in enumerate(zip(batch.column("own"), batch.column("other"), batch.column("begin").to_pylist(), strict=True)):
+                x, y = np.frombuffer(own.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
+                rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in verified(x, y, width)]
             if rows:
                 i, a, b, s = zip(*rows, strict=True)
                 at = pa.array(i)
-                columns = [part.column("doc_id").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32()), part.column("of_doc").take(at), pa.array(s)]
+                columns = [batch.column("doc_id").take(at), pa.array(a, pa.int32()), pa.array(b, pa.int32()), batch.column("of_doc").take(at), pa.array(s)]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "first_word", "end_word", "of_doc", "similarity"])
 
-    others = wanted.join(texts, F.col("of_doc") == F.col("id")).select("doc_id", "of_doc", "shift", "low", "high", "text")
-    others = others.mapInArrow(cut, f"doc_id {kind}, of_doc {kind}, low int, high int, other binary")
-    both = others.join(texts, F.col("doc_id") == F.col("id")).select("doc_id", "of_doc", "low", "high", "other", "text")
+    def stretch(first: str, end: str) -> Column:
+        return F.expr(f"substring(tokens, 4 * {first} + 1, 4 * greatest({end} - {first}, 0))")
+
+    spans = wanted.select("doc_id", "of_doc", F.greatest(F.lit(0), F.col("low") - _SLACK).alias("begin"), (F.col("high") + 1 + _SLACK).alias("end"), F.greatest(F.lit(0), F.col("low") - F.col("shift") - _SLACK).alias("begin_there"), F.greatest(F.lit(0), F.col("high") - F.col("shift") + 1 + _SLACK).alias("end_there"))
+    others = spans.join(tokens, F.col("of_doc") == F.col("id")).select("doc_id", "of_doc", "begin", "end", stretch("begin_there", "end_there").alias("other"))
+    both = others.join(tokens, F.col("doc_id") == F.col("id")).select("doc_id", "of_doc", "begin", stretch("begin", "end").alias("own"), "other")
     return both.mapInArrow(confirm, f"doc_id {kind}, first_word int, end_word int, of_doc {kind}, similarity double")
 
 
