@@ -8,8 +8,9 @@ sample kept from training. Since the features are linear in the n-grams' occurre
 rows over the whole text.
 
 Cases: a null text, or one without a letter, is `und` with score 0; texts of any length are read whole; ties between
-languages go to the alphabetically first; null labels take no part in training; without any labelled text every
-document is `und`; other columns play no part.
+languages go to the alphabetically first; null labels take no part in training, equal texts of one language count once in
+the sample; repeated rows and rows with a null id are predicted each for itself; without any labelled text every document
+is `und`; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
 #: Bound of the labelled sample that the classifier is fitted on, per language.
 SAMPLE_PER_LANGUAGE = 1500
+#: Bound of the learned languages, the commonest first: what is collected and broadcast grows with it.
+MOST_LANGUAGES = 500
 _SCALE = 20.0
 _MULTIPLIERS = [np.uint32(m) for m in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
 
@@ -119,7 +122,7 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
     return df, int(counts[counts.bucket < 0].n.sum())
 
 
-def _ftrl(rows, labels, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.001):
+def _ftrl(row, train, labels, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.001):
     """Weights and bias; the proximal step gives exact zeros where the summed gradient stays within l1."""
     z, n = np.zeros((BUCKETS + 1, classes)), np.zeros((BUCKETS + 1, classes))
 
@@ -128,8 +131,8 @@ def _ftrl(rows, labels, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.00
 
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            at, x = rows[i]
+        for i in order.permutation(train):
+            at, x = row(i)
             zs, ns = z[at], n[at]
             w = weights(zs, ns)
             m = x @ w
@@ -144,35 +147,53 @@ def _ftrl(rows, labels, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.00
     return w[:-1], w[-1]
 
 
+def _sampled(rows: DataFrame, shares: DataFrame, text: str, lang: str, key: str) -> pa.Table:
+    """lang, buckets and counts of the sampled rows, featurised in tasks; equal texts of a language are one row."""
+    drawn = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(text))
+    rows = rows.join(F.broadcast(shares), F.col(lang) == F.col("__lang")).where(F.pmod(drawn, F.lit(1_000_000)) < F.col("__share") * 1_000_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "__text", 1 << 18):
+            found = [np.unique(np.concatenate([b for _, b in _grams([t])]), return_counts=True) for t in texts]
+            columns = [pa.array([at.astype(np.int32) for at, _ in found], pa.list_(pa.int32())), pa.array([n.astype(np.int32) for _, n in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__hash"), *columns], names=["lang", "hash", "buckets", "counts"])
+
+    source = bounded_batches(rows).select("__lang", F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+    found = source.mapInArrow(run, "lang string, hash bigint, buckets array<int>, counts array<int>").where("size(buckets) > 0")
+    return found.dropDuplicates(["lang", "hash"]).toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
-    """A calibrated model; idf over all labelled rows, weights on about `per_language` rows of each language."""
+    """A calibrated model; idf over all labelled rows, weights on about `per_language` rows of each of the MOST_LANGUAGES commonest languages."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    commonest = rows.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__n")).orderBy(F.desc("__n"), "__lang").limit(MOST_LANGUAGES)
+    counts = {r["__lang"]: r["__n"] for r in commonest.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     df, n = document_frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    share = F.lit(None).cast("double")
-    for name, count in counts.items():
-        share = F.when(F.col(lang) == name, F.lit(min(1.0, per_language / count))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < share * 1_000_000
-    sample = sorted(tuple(r) for r in rows.where(drawn).select(F.col(key).cast("string"), text, lang).limit(2 * per_language * len(languages)).collect())
-    features, labels = [], []
-    for _, body, name in sample:
-        buckets = np.concatenate([b for _, b in _grams([body])])
-        if len(buckets):
-            at, k = np.unique(buckets, return_counts=True)
-            features.append((np.append(at, BUCKETS), np.append(k / len(buckets) * idf[at] * _SCALE, 1.0)))
-            labels.append(languages.index(name))
-    labels = np.array(labels, int)
-    held = np.arange(len(labels)) % 5 == 0 if len(labels) >= 50 else np.zeros(len(labels), bool)
-    train = np.flatnonzero(~held)
-    w, bias = _ftrl([features[i] for i in train], labels[train], len(languages))
+    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in counts.items()], "__lang string, __share double")
+    sample = _sampled(rows, shares, text, lang, key)
+    at, times = (sample.column(c).combine_chunks() for c in ("buckets", "counts"))
+    limits = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))) if len(at) else np.zeros(1, np.int64)
+    at, times = at.flatten().to_numpy(), times.flatten().to_numpy().astype(np.float64)
+    labels = np.searchsorted(languages, sample.column("lang").to_pylist()) if sample.num_rows else np.zeros(0, int)
+    totals = np.add.reduceat(times, limits[:-1]) if len(labels) else np.zeros(0)
+    values = times / np.repeat(totals, np.diff(limits)) * idf[at] * _SCALE if len(labels) else times
+
+    def row(i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(limits[i], limits[i + 1])
+        return np.append(at[part], BUCKETS), np.append(values[part], 1.0)
+
+    order = np.random.default_rng(11).permutation(len(labels))
+    held = order[: len(labels) // 5] if len(labels) >= 50 else order[:0]
+    train = order[len(held) :]
+    w, bias = _ftrl(row, train, labels, len(languages))
     full = np.vstack([w, bias])
     inverse = 1.0
-    if held.any():
-        margins = np.array([features[i][1] @ full[features[i][0]] for i in np.flatnonzero(held)])
+    if len(held):
+        margins = np.array([x @ full[a] for a, x in map(row, held)])
         truth = labels[held]
 
         def loss(s):
@@ -185,7 +206,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score."""
+    """docs with lang_pred and score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets by the languages
     names = [f"c{i}" for i in range(len(docs.columns))]  # any column names, clashing ones too
     at = docs.columns.index(text)

@@ -7,8 +7,8 @@ only into or out of the subtrees whose weights change. A shard added to a tree o
 other node's weight changes, and so rows move into that shard only.
 
 Cases: a null key is a key like any other (the word null); a null text has no bytes, size 16 and a null checksum;
-repeated rows and equal keys go to one shard and get slots of their own; an empty table gives an empty result; other
-columns play no part.
+repeated rows and equal keys go to one shard and get slots of their own, in the order of the staged table; draws never tie
+but for equal names; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def _level(tree: list[Shard], parent: str, child: str, at: Column) -> Column:
 
 
 def assign(df: DataFrame, key: str, tree: list[Shard], out: str = "shard") -> DataFrame:
-    """df with the shard of each row; the key column may be of any type with a string form."""
+    """df with the shard of each row in column `out`, in place of one of that name; the key may be of any type with a string form."""
     text = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))
     df = df.withColumn("__region", _choose(text, "region", _array(_children(tree, None, "region")[None])))
     df = df.withColumn("__rack", _choose(text, "rack", _level(tree, "region", "rack", F.col("__region"))))
@@ -83,16 +83,19 @@ def assign(df: DataFrame, key: str, tree: list[Shard], out: str = "shard") -> Da
 
 
 def with_slots(df: DataFrame, shard: str, order: list[str], rows: int) -> DataFrame:
-    """df with a gapless slot in each shard: numbered inside hashed blocks of a shard, the blocks laid end to end."""
+    """df with a gapless slot in each shard, in place of a column `slot`: numbered in `order` inside blocks of a shard, the blocks laid end to end.
+
+    df is a table as read from storage: rows are dealt to blocks by their number in it, so that equal rows are split too.
+    """
     blocks = max(1, -(-rows // ROWS_A_BLOCK))
-    df = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    df = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__block", F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int"))
     # one row for each shard and block: what a window of one shard sees is the number of blocks
     sizes = df.groupBy(shard, "__block").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(shard).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(shard, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    place = F.row_number().over(Window.partitionBy(shard, "__block").orderBy(*order))
+    place = F.row_number().over(Window.partitionBy(shard, "__block").orderBy(*order, "__row"))
     out = df.join(offsets, [shard, "__block"]).withColumn("slot", (F.col("__before") + place - 1).cast("long"))
-    return out.drop("__block", "__before")
+    return out.drop("__block", "__before", "__row")
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +110,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = assign(sized, "doc_id", regular_tree(BASE_SHARDS), "shard")
     placed = assign(placed, "doc_id", regular_tree(BASE_SHARDS + 1), "grown_shard")
     placed = staged(placed, "shards")  # the draws are made once; slots need two passes
-    slotted = with_slots(placed, "shard", ["doc_id", "size", "text_crc32"], rows)
+    slotted = with_slots(placed, "shard", ["doc_id"], rows)
     return slotted.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

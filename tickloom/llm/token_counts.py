@@ -49,8 +49,11 @@ def proven_whole(path: str) -> frozenset[str]:
             except UnicodeDecodeError:
                 continue
     strings = [s for s in strings if PRETOKEN.findall(s) == [s]]
-    encoded = Tokenizer.from_file(path).encode_batch(strings, add_special_tokens=False)
-    return frozenset(s for s, e in zip(strings, encoded, strict=True) if len(e.ids) == 1)
+    tokenizer, whole = Tokenizer.from_file(path), []
+    for low in range(0, len(strings), 5000):  # the encodings of a part at a time
+        part = strings[low : low + 5000]
+        whole += [s for s, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True) if len(e.ids) == 1]
+    return frozenset(whole)
 
 
 @lru_cache(2)
@@ -96,20 +99,21 @@ class TokenCounter:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The kept columns of df and n_tokens long; `path` is a byte-level BPE tokenizer file that every worker can read."""
+    """The kept columns of df and n_tokens long, in place of a column of that name; `path` is a byte-level BPE tokenizer file that every worker can read."""
     spark = df.sparkSession
     whole = spark.sparkContext.broadcast(proven_whole(path))  # at most the vocabulary
-    keep = [c for c in df.columns if c != text] if keep is None else keep
-    source = bounded_batches(df).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (text, "n_tokens")]
+    names = [f"c{i}" for i in range(len(keep))]  # any column names
+    source = bounded_batches(df).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).toDF(*names, "__text")
+    fields = [f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = TokenCounter(path, whole.value)
         for part, texts in slices(batches, "__text"):
-            columns = [part.column(c) for c in keep] + [pa.array(counter.counts(texts), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "n_tokens"])
+            columns = [part.column(n) for n in names] + [pa.array(counter.counts(texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens"])
 
-    return source.mapInArrow(run, ", ".join([*fields, "n_tokens bigint"]))
+    return source.mapInArrow(run, ", ".join([*fields, "n_tokens bigint"])).toDF(*keep, "n_tokens")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,10 @@ distinct words that carry it, so that w.x is a sum over distinct words. Weights
 bounded sample of labelled documents. Every whole text is then given the probability of each grade and the expected
 severity.
 
-Cases: a null or empty text has no feature and gets the grade that the thresholds alone give; labels that are null or
-belong to no document play no part; repeated label rows count once each; without labels of both kinds every document has
-severity 0; texts of any length are read whole; other columns play no part.
+Cases: a null or empty text has no feature and gets the grade that the thresholds alone give; labels that are null, out of
+range or of no document play no part; of several labels of one id the most severe counts, of several texts the first in order;
+without labels of two grades every document has severity 0; repeated rows and rows with a null id are scored each for itself;
+texts of any length are read whole; ties go to the lower grade; an empty table gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tickloom.llm.shared import bounded_batches, slices
 
 #: Bound of the labelled sample, per label value; the classifier alone is fitted on it.
 SAMPLE_PER_LABEL = 2000
+#: Grades are 0 to one less than this.
+MOST_GRADES = 10
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -132,7 +135,9 @@ def _descend(row, column, value, features, grades, levels, l1, rounds):
 
 
 def severity_grades(sample: Sample) -> np.ndarray:
-    """Grades 0 to 3 from 0/1 labels: a toxic document is graded by how many distinct words carry a feature that toxic documents favour by far (log odds over 3 for a word, 4 for a beginning): up to 2, up to 5, or more."""
+    """The scale where labels say no more than toxic or not. 0: not toxic. A toxic document is graded by how many of its distinct
+    words tell it from clean ones, that is, carry a feature with log odds over 3 (a word) or 4 (a beginning): 1 up to
+    two words, 2 up to five, 3 above."""
     toxic = sample.toxic
     names, column = np.unique(sample.feature, return_inverse=True)
     yes = np.bincount(column[toxic[sample.row] == 1], minlength=len(names))
@@ -144,31 +149,37 @@ def severity_grades(sample: Sample) -> np.ndarray:
     return np.where(toxic == 0, 0, np.where(hits <= 2, 1, np.where(hits <= 5, 2, 3)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> OrdinalModel:
-    """About `per_label` labelled documents of either label are read; as many of both, so that rarity doesn't hide toxic ones."""
-    known = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, grade: str = "toxic") -> OrdinalModel:
+    """About `per_label` labelled documents of each grade are read; as many of all, so that rarity doesn't hide toxic ones.
+
+    labels has doc_id and `grade`: whole numbers from 0, in rising severity, or only 0 and 1, which severity_grades then spreads.
+    """
+    known = labels.where(f"doc_id IS NOT NULL AND {grade} BETWEEN 0 AND {MOST_GRADES - 1}").groupBy("doc_id").agg(F.max(grade).cast("int").alias("grade"))
+    counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     if len(counts) < 2:
         return OrdinalModel({}, np.array([40.0, 41.0, 42.0]))
-    limit = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_label / counts[1]))).otherwise(F.lit(min(1.0, per_label / counts[0]))) * 1_000_000
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < limit).limit(4 * per_label)
+    share = F.element_at(F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_label / n)))]), F.col("grade"))
+    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "text"):
             found = [document_features(t) for t in texts]
-            columns = [part.column("doc_id"), part.column("toxic"), pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "features", "values"])
+            columns = [part.column("doc_id"), part.column("grade"), pa.array([list(x) for x in found], pa.list_(pa.int64())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "grade", "features", "values"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    table = rows.mapInArrow(run, f"doc_id {kind}, toxic int, features array<bigint>, values array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    toxic = table.column("toxic").to_numpy()
-    if len(set(toxic.tolist())) < 2:
+    # a row for each sampled id: the first in order of the texts, should they differ
+    rows = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
+    table = rows.mapInArrow(run, f"doc_id {kind}, grade int, features array<bigint>, values array<int>").toArrow().sort_by([("doc_id", "ascending")])
+    grades = table.column("grade").to_numpy()
+    if len(set(grades.tolist())) < 2:
         return OrdinalModel({}, np.array([40.0, 41.0, 42.0]))
     sizes = table.column("features").combine_chunks().value_lengths().to_numpy()
     flat = [table.column(c).combine_chunks().flatten().to_numpy() for c in ("features", "values")]
-    sample = Sample(np.repeat(np.arange(len(toxic)), sizes), flat[0], flat[1].astype(float), toxic)
-    return fit_ordinal(sample, severity_grades(sample), 4)
+    sample = Sample(np.repeat(np.arange(len(grades)), sizes), flat[0], flat[1].astype(float), (grades > 0).astype(int))
+    if max(counts) == 1:
+        return fit_ordinal(sample, severity_grades(sample), 4)
+    return fit_ordinal(sample, grades, max(counts) + 1)
 
 
 def score(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
