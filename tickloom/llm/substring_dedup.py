@@ -6,8 +6,9 @@ compact window, the widest span in which it is least. Windows whose token occurs
 function, if they also share the token 20 places to one side (a passage of 50 words reaches that far to one side at least);
 each meets the earliest document's window of its group. An interval join keeps pairs whose aligned
 windows overlap by a whole passage, pairs that enough hash functions support are verified on the texts, and what is verified is
-merged to passages. Windows that no verified passage holds then meet again without that head: the next earliest of the group
-are its heads, until no group has two documents. The earliest document keeps a passage; it is reported for the others.
+merged to passages. Windows that no verified passage holds meet once more: the next document of their group, and in finer groups those that also
+share the min-hash, under one of CONTEXTS functions, of the tokens to one side of them, so that documents which share more than
+their first head had find each other, and no group costs more than a multiple of its members. The earliest document keeps a passage; it is reported for the others.
 
 Cases: null, empty and short texts have no passage; passages that repeat only inside one document are left alone; repeated
 rows of one doc_id are one document, whose text is the first in order if they differ; rows with a null id take no part;
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices
@@ -30,8 +31,8 @@ SHINGLE = 5
 HASHES, ENOUGH = 4, 2
 SIDE = 20
 SIMILARITY = 0.8
-#: Groups that are left have so many times the heads in the next round, so that few rounds end them.
-MORE_HEADS = 8
+#: Min-hashes of the tokens to either side of a window that is left, by which it meets others again.
+CONTEXTS = 3
 _SLACK = 16
 _U = np.uint64
 
@@ -170,6 +171,13 @@ def verified(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int,
     return found
 
 
+def promising(own: np.ndarray, other: np.ndarray, first: int, last: int, there: int, width: int) -> bool:
+    """Whether tokens around the places that met can be a passage: enough of own's are among other's, as far as a passage of `width` reaches."""
+    x = own[max(0, first - width) : last + width + 1]
+    y = other[max(0, there - width - _SLACK) : there + last - first + width + 1 + _SLACK]
+    return len(y) > 0 and np.count_nonzero(_member(x, np.sort(y))) >= 2 * SIMILARITY / (1 + SIMILARITY) * width
+
+
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     at = np.searchsorted(ordered, values)
     at[at == len(ordered)] = 0
@@ -190,54 +198,82 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "repeated_passages")
     docs = one_row_per_id(bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = scratch.stage(_token_counts(docs, width), "tokens")
-    live = scratch.stage(_windows(docs, width).join(shared, "key").drop("key"), "windows_0")
-    scratch.drop("tokens")
+    shared = scratch.stage(_token_counts(docs, width), "shared")
+    live = scratch.stage(_windows(docs, width).join(shared, "key").drop("key"), "windows")
+    scratch.drop("shared")
 
     sided = live.select("doc_id", "at", "back", "ahead", "j", F.explode(F.array("lefts", "rights")).alias("g")).where("g IS NOT NULL")
-    spans = found = None
-    many, turn = 1, 0
-    while True:
-        heads = scratch.stage(_heads(sided, many), f"heads_{turn}")
-        if found is not None and heads.isEmpty():
-            passages = scratch.stage(_merged(found, kind), "passages")
-            scratch.keep("passages")
-            return passages
-        new = scratch.stage(_spans(sided, heads, width), "spans")
-        spans = new if spans is None else spans.unionByName(new)
-        support = spans.groupBy("doc_id", "of_doc").agg(F.bit_count(F.bit_or("hashes")).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
-        if found is None:
-            wanted, held = spans.join(support, ["doc_id", "of_doc"]), None
-        else:
-            # pairs that this round's windows support, with what earlier rounds saw of them
-            support = support.join(new.select("doc_id", "of_doc").distinct(), ["doc_id", "of_doc"])
-            wanted, held = _outside(spans.join(support, ["doc_id", "of_doc"]), _held(found, kind)), found
-        wanted = scratch.stage(_cover_first(wanted.drop("hashes")), f"wanted_{turn}")
-        tokens = scratch.stage(_tokens(docs, wanted), f"texts_{turn}")
-
-        # first the spans that cover a document's candidates, then those whose tokens no verified passage holds
-        first = scratch.stage(_verified_spans(wanted.where("cover"), tokens, width), "verified")
-        found = first if held is None else held.unionByName(first)
-        rest = scratch.stage(_outside(wanted.where("NOT cover"), _held(found, kind)), f"rest_{turn}")
-        if not rest.isEmpty():
-            found = found.unionByName(scratch.stage(_verified_spans(rest, tokens, width), "verified"))
-        # windows that no verified passage holds meet again, without the heads
-        gone = heads.select("g", F.col("head.doc_id").alias("doc_id"), F.col("head.at").alias("at"))
-        sided = sided.join(heads.select("g"), "g", "left_semi").join(gone, ["g", "doc_id", "at"], "left_anti").distinct()
-        sided = _outside(sided.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}), _held(found, kind)).drop("first_at", "last_at")
-        sided = scratch.stage(sided, f"windows_{turn + 1}")
-        scratch.drop(*[f"{name}_{turn}" for name in ("windows", "heads", "wanted", "texts", "rest")])
-        many, turn = many * MORE_HEADS, turn + 1
-
-
-def _heads(sided: DataFrame, many: int) -> DataFrame:
-    """g, head: the earliest `many` windows of each group with two documents or more."""
-    ends = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last")).where("head.doc_id < last")
-    if many == 1:
-        return ends.select("g", "head")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("doc_id", "at"))
-    first = sided.join(ends.select("g"), "g", "left_semi").withColumn("rank", rank).where(F.col("rank") <= many)
-    return first.select("g", F.struct("doc_id", "at", "back", "ahead").alias("head"))
+    heads = scratch.stage(_heads(sided), "heads")
+    spans = scratch.stage(_spans(sided, heads, width), "spans")
+    wanted = scratch.stage(_cover_first(_supported(spans)), "wanted")
+    found = _found(docs, wanted, None, width, scratch)
+
+    # windows that no verified passage holds meet again
+    left = sided.join(heads, "g").where("doc_id <> head.doc_id OR at <> head.at").withColumn("first", F.col("doc_id") == F.col("head.doc_id")).drop("head").distinct()
+    left = _outside(left.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}), _held(found, kind)).drop("first_at", "last_at")
+    left = scratch.stage(left, "left")
+    scratch.drop("windows", "wanted", "heads")
+    finer = scratch.stage(_by_context(left, docs, width), "finer")
+    heads = scratch.stage(_heads(finer), "heads")
+    new = scratch.stage(_spans(finer, heads, width), "spans")
+    # pairs that these windows support, with what the first meeting saw of them
+    again = _supported(spans.unionByName(new)).join(new.select("doc_id", "of_doc").distinct(), ["doc_id", "of_doc"])
+    wanted = scratch.stage(_cover_first(_outside(again, _held(found, kind))), "wanted")
+    found = _found(docs, wanted, found, width, scratch)
+    passages = scratch.stage(_merged(found, kind), "passages")
+    scratch.keep("passages")
+    return passages
+
+
+def _found(docs: DataFrame, wanted: DataFrame, known: DataFrame | None, width: int, scratch: Scratch) -> DataFrame:
+    """Findings so far and those of wanted: first the spans that cover a document's candidates, then those that no verified passage holds."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tokens = scratch.stage(_tokens(docs, wanted.select("doc_id").union(wanted.select("of_doc"))), "tokens")
+    first = scratch.stage(_verified_spans(wanted.where("cover"), tokens, width), "verified")
+    found = first if known is None else known.unionByName(first)
+    rest = scratch.stage(_outside(wanted.where("NOT cover"), _held(found, kind)), "rest")
+    found = found.unionByName(scratch.stage(_verified_spans(rest, tokens, width), "verified"))
+    scratch.drop("tokens", "rest")
+    return found
+
+
+def _heads(sided: DataFrame) -> DataFrame:
+    """g, head: the earliest window of each group with two documents or more."""
+    ends = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last"))
+    return ends.where("head.doc_id < last").select("g", "head")
+
+
+def _supported(spans: DataFrame) -> DataFrame:
+    """Spans of pairs that enough hash functions support."""
+    support = spans.groupBy("doc_id", "of_doc").agg(F.bit_count(F.bit_or("hashes")).alias("n")).where(F.col("n") >= ENOUGH).drop("n")
+    return spans.join(support, ["doc_id", "of_doc"]).drop("hashes")
+
+
+def _by_context(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Windows in their group without its first document, and in a group for each min-hash of the tokens on either side."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for side, name in enumerate(("before", "after")):
+                cuts = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(name)]
+                limits = np.concatenate(([0], np.cumsum([len(c) for c in cuts]))).astype(np.int64)
+                whole = np.concatenate([*cuts, np.zeros(0, np.uint32)]).astype(np.uint64)
+                for i in range(CONTEXTS):
+                    least = np.minimum.reduceat(seeded(whole, 50 + i), limits[:-1]) if len(cuts) else np.zeros(0, np.uint64)
+                    keys.append(mix(least + _U(2 * i + side)).view(np.int64))
+            flat = np.stack(keys, 1).ravel() if keys else np.zeros(0, np.int64)
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 2 * CONTEXTS), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), listed], names=["doc_id", "at", "contexts"])
+
+    places = left.select("doc_id", "at").distinct()
+    cut = places.join(_tokens(docs, left.select("doc_id")), F.col("doc_id") == F.col("id"))
+    before = F.expr(f"substring(tokens, 4 * greatest(at - {width - 1}, 0) + 1, 4 * (at - greatest(at - {width - 1}, 0) + 1))")
+    cut = cut.select("doc_id", "at", before.alias("before"), F.expr(f"substring(tokens, 4 * at + 1, {4 * width})").alias("after"))
+    contexts = cut.mapInArrow(run, f"doc_id {kind}, at int, contexts array<bigint>")
+    rows = left.join(contexts, ["doc_id", "at"]).withColumn("context", F.explode(F.when(F.col("first"), F.col("contexts")).otherwise(F.array_append("contexts", F.lit(0).cast("long")))))
+    return rows.select("doc_id", "at", "back", "ahead", "j", F.xxhash64("g", "context").alias("g"))
 
 
 def _spans(sided: DataFrame, heads: DataFrame, width: int) -> DataFrame:
@@ -286,8 +322,8 @@ def _cover_first(wanted: DataFrame) -> DataFrame:
     return flat.select("doc_id", *[F.col(f"x.spans.{c}").alias(c) for c in fields], F.col("x.covers").alias("cover"))
 
 
-def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id and tokens (32 bits each) of the documents that wanted names: each text is hashed once, however many pairs it is in."""
+def _tokens(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and tokens (32 bits each) of the documents with these ids: each text is hashed once, however many pairs it is in."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +333,7 @@ def _tokens(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = pa.array([small[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), packed], names=["id", "tokens"])
 
-    ends = wanted.select("doc_id").union(wanted.select("of_doc")).distinct()
-    return docs.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, tokens binary")
+    return docs.join(ids.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, tokens binary")
 
 
 def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
@@ -308,8 +343,11 @@ def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFra
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for i, (own, other, begin) in enumerate(zip(batch.column("own"), batch.column("other"), batch.column("begin").to_pylist(), strict=True)):
+            places = zip(*(batch.column(c).to_pylist() for c in ("begin", "begin_there", "shift", "first_at", "last_at")), strict=True)
+            for i, (own, other, (begin, there, shift, first, last)) in enumerate(zip(batch.column("own"), batch.column("other"), places, strict=True)):
                 x, y = np.frombuffer(own.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
+                if last - first <= width and not promising(x, y, first - begin, last - begin, first - shift - there, width):
+                    continue
                 rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in verified(x, y, width)]
             if rows:
                 i, a, b, s = zip(*rows, strict=True)
@@ -320,9 +358,14 @@ def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFra
     def stretch(first: str, end: str) -> Column:
         return F.expr(f"substring(tokens, 4 * {first} + 1, 4 * greatest({end} - {first}, 0))")
 
-    spans = wanted.select("doc_id", "of_doc", F.greatest(F.lit(0), F.col("low") - _SLACK).alias("begin"), (F.col("high") + 1 + _SLACK).alias("end"), F.greatest(F.lit(0), F.col("low") - F.col("shift") - _SLACK).alias("begin_there"), F.greatest(F.lit(0), F.col("high") - F.col("shift") + 1 + _SLACK).alias("end_there"))
-    others = spans.join(tokens, F.col("of_doc") == F.col("id")).select("doc_id", "of_doc", "begin", "end", stretch("begin_there", "end_there").alias("other"))
-    both = others.join(tokens, F.col("doc_id") == F.col("id")).select("doc_id", "of_doc", "begin", stretch("begin", "end").alias("own"), "other")
+    low, high, shift = F.col("low"), F.col("high"), F.col("shift")
+    ends = [F.greatest(F.lit(0), c).alias(n) for c, n in ((low - _SLACK, "begin"), (high + 1 + _SLACK, "end"), (low - shift - _SLACK, "begin_there"), (high - shift + 1 + _SLACK, "end_there"))]
+    spans = wanted.select("doc_id", "of_doc", "shift", "first_at", "last_at", *ends)
+    places = ["doc_id", "of_doc", "shift", "first_at", "last_at", "begin", "begin_there"]
+    others = spans.join(tokens, F.col("of_doc") == F.col("id")).select(*places, "end", stretch("begin_there", "end_there").alias("other"))
+    # rows are small and the work on them isn't: as many tasks as a shuffle has, not as few as their bytes would fill
+    others = others.repartition(int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    both = others.join(tokens, F.col("doc_id") == F.col("id")).select(*places, stretch("begin", "end").alias("own"), "other")
     return both.mapInArrow(confirm, f"doc_id {kind}, first_word int, end_word int, of_doc {kind}, similarity double")
 
 
