@@ -32,8 +32,10 @@ HASHES, ENOUGH = 4, 2
 SIDE = 20
 SIMILARITY = 0.8
 #: Min-hashes of the tokens to either side of a window that is left, by which it meets others again.
-CONTEXTS = 3
+CONTEXTS = 1
 _SLACK = 16
+#: Tokens past the end of equal ones that tell whether a passage goes on behind an edit: an edited word changes five.
+_EDIT = 12
 _U = np.uint64
 
 
@@ -141,9 +143,10 @@ def _runs(match: np.ndarray, least: float, width: int) -> list[tuple[int, int]]:
     """Spans of matches of at least `width`, neighbours joined while at least that share of the joined span matches."""
     if np.count_nonzero(match) < least * width:
         return []
-    edge = np.flatnonzero(np.diff(match.astype(np.int8), prepend=0, append=0))
+    edge = (np.flatnonzero(match[1:] != match[:-1]) + 1).tolist()
+    edge = [*([0] if match[0] else []), *edge, *([len(match)] if match[-1] else [])]
     out: list[list[int]] = []
-    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+    for a, b in zip(edge[0::2], edge[1::2], strict=True):
         if out and out[-1][2] + b - a >= least * (b - out[-1][0]):
             out[-1][1], out[-1][2] = b, out[-1][2] + b - a
         else:
@@ -171,11 +174,36 @@ def verified(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int,
     return found
 
 
-def promising(own: np.ndarray, other: np.ndarray, first: int, last: int, there: int, width: int) -> bool:
-    """Whether tokens around the places that met can be a passage: enough of own's are among other's, as far as a passage of `width` reaches."""
-    x = own[max(0, first - width) : last + width + 1]
-    y = other[max(0, there - width - _SLACK) : there + last - first + width + 1 + _SLACK]
-    return len(y) > 0 and np.count_nonzero(_member(x, np.sort(y))) >= 2 * SIMILARITY / (1 + SIMILARITY) * width
+def around(own: np.ndarray, other: np.ndarray, first: int, last: int, there: int, width: int) -> list[tuple[int, int, float]]:
+    """Passages about the places of own from first to last, which meet other from `there` on: as verified() finds them, looking
+    no further than they reach.
+
+    Most pairs are decided by the run of equal tokens that the places lie in: where no token past its ends is near the other
+    text's, it is the passage, or too short for one. The others, with edits, are verified, farther and farther from the places.
+    """
+    back = min(first, there)
+    ahead = min(len(own) - first, len(other) - there)
+    if ahead > last - first:
+        differs = np.flatnonzero(own[first - back : first + ahead] != other[there - back : there + ahead])
+        i = int(np.searchsorted(differs, back))
+        if i == len(differs) or differs[i] > back + last - first:
+            low = int(differs[i - 1]) + 1 if i else 0
+            high = int(differs[i]) if i < len(differs) else back + ahead
+            a, b, c, d = first - back + low, first - back + high, there - back + low, there - back + high
+            if not _goes_on(own[max(0, a - _EDIT) : a], other[max(0, c - _EDIT - 2) : c + 2]) and not _goes_on(own[b : b + _EDIT], other[max(0, d - 2) : d + _EDIT + 2]):
+                return [(a, b, 1.0)] if b - a >= width else []
+    reach = 4 * width
+    while True:
+        a, b = max(0, first - reach), min(len(own), last + 1 + reach)
+        c, d = max(0, there - reach - _SLACK), max(0, there + last - first + 1 + reach + _SLACK)
+        found = verified(own[a:b], other[c:d], width)
+        if not any(x <= _SLACK and a > 0 or y + _SLACK >= b - a and b < len(own) for x, y, _ in found):
+            return [(a + x, a + y, s) for x, y, s in found]
+        reach *= 4
+
+
+def _goes_on(own: np.ndarray, other: np.ndarray) -> bool:
+    return not set(own.tolist()).isdisjoint(other.tolist())
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -186,7 +214,9 @@ def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def _distinct(values: np.ndarray) -> np.ndarray:
     ordered = np.sort(values)
-    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+    first = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -199,23 +229,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     docs = one_row_per_id(bounded_batches(docs).select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = scratch.stage(_token_counts(docs, width), "shared")
-    live = scratch.stage(_windows(docs, width).join(shared, "key").drop("key"), "windows")
+    live = scratch.stage(_windows(docs, width).join(shared.hint("shuffle_hash"), "key").drop("key"), "windows")
     scratch.drop("shared")
 
     sided = live.select("doc_id", "at", "back", "ahead", "j", F.explode(F.array("lefts", "rights")).alias("g")).where("g IS NOT NULL")
-    heads = scratch.stage(_heads(sided), "heads")
-    spans = scratch.stage(_spans(sided, heads, width), "spans")
+    met = scratch.stage(_met(sided), "met")
+    scratch.drop("windows")
+    spans = scratch.stage(_spans(met, width), "spans")
     wanted = scratch.stage(_cover_first(_supported(spans)), "wanted")
     found = _found(docs, wanted, None, width, scratch)
 
-    # windows that no verified passage holds meet again
-    left = sided.join(heads, "g").where("doc_id <> head.doc_id OR at <> head.at").withColumn("first", F.col("doc_id") == F.col("head.doc_id")).drop("head").distinct()
+    # windows that no verified passage holds meet again; in a group of two there is nobody left to meet
+    left = met.where("many > 2 AND (doc_id <> head.doc_id OR at <> head.at)")
+    left = left.select("g", "doc_id", "at", "back", "ahead", "j", (F.col("doc_id") == F.col("head.doc_id")).alias("first"))
     left = _outside(left.withColumns({"first_at": F.col("at"), "last_at": F.col("at")}), _held(found, kind)).drop("first_at", "last_at")
-    left = scratch.stage(left, "left")
-    scratch.drop("windows", "wanted", "heads")
-    finer = scratch.stage(_by_context(left, docs, width), "finer")
-    heads = scratch.stage(_heads(finer), "heads")
-    new = scratch.stage(_spans(finer, heads, width), "spans")
+    left = scratch.stage(left.distinct(), "left")
+    scratch.drop("met", "wanted")
+    new = scratch.stage(_spans(scratch.stage(_met(_by_context(left, docs, width)), "finer"), width), "spans")
     # pairs that these windows support, with what the first meeting saw of them
     again = _supported(spans.unionByName(new)).join(new.select("doc_id", "of_doc").distinct(), ["doc_id", "of_doc"])
     wanted = scratch.stage(_cover_first(_outside(again, _held(found, kind))), "wanted")
@@ -237,10 +267,10 @@ def _found(docs: DataFrame, wanted: DataFrame, known: DataFrame | None, width: i
     return found
 
 
-def _heads(sided: DataFrame) -> DataFrame:
-    """g, head: the earliest window of each group with two documents or more."""
-    ends = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last"))
-    return ends.where("head.doc_id < last").select("g", "head")
+def _met(sided: DataFrame) -> DataFrame:
+    """Windows of groups with two documents or more, each with its group's earliest window as head and with how many there are."""
+    ends = sided.groupBy("g").agg(F.min(F.struct("doc_id", "at", "back", "ahead")).alias("head"), F.max("doc_id").alias("last"), F.count("*").alias("many"))
+    return sided.join(ends.where("head.doc_id < last").drop("last").hint("shuffle_hash"), "g")
 
 
 def _supported(spans: DataFrame) -> DataFrame:
@@ -276,9 +306,9 @@ def _by_context(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return rows.select("doc_id", "at", "back", "ahead", "j", F.xxhash64("g", "context").alias("g"))
 
 
-def _spans(sided: DataFrame, heads: DataFrame, width: int) -> DataFrame:
+def _spans(met: DataFrame, width: int) -> DataFrame:
     """Aligned windows that overlap by a passage with an earlier head of their group, by pair of documents and shift."""
-    met = sided.join(heads, "g").where("doc_id > head.doc_id")
+    met = met.where("doc_id > head.doc_id")
     reach_back, reach = F.least("back", F.col("head.back")), F.least("ahead", F.col("head.ahead"))
     met = met.where(reach_back + reach + 1 >= width)
     shift = F.col("at") - F.col("head.at")
@@ -346,9 +376,7 @@ def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFra
             places = zip(*(batch.column(c).to_pylist() for c in ("begin", "begin_there", "shift", "first_at", "last_at")), strict=True)
             for i, (own, other, (begin, there, shift, first, last)) in enumerate(zip(batch.column("own"), batch.column("other"), places, strict=True)):
                 x, y = np.frombuffer(own.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
-                if last - first <= width and not promising(x, y, first - begin, last - begin, first - shift - there, width):
-                    continue
-                rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in verified(x, y, width)]
+                rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in around(x, y, first - begin, last - begin, first - shift - there, width)]
             if rows:
                 i, a, b, s = zip(*rows, strict=True)
                 at = pa.array(i)
