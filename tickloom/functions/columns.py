@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def col(c: Column | str) -> Column:
@@ -50,26 +53,21 @@ def change(c: Column | str, w: WindowSpec, n: int = 1) -> Column:
     return ratio(c, F.lag(col(c), n).over(w)) - 1
 
 
-def with_ewm(df: DataFrame, averages: dict[str, tuple[str, float]], key: str = "symbol", order: str = "dt") -> DataFrame:
-    """df with recursive averages y = a*x + (1-a)*y', each started by its first value.
+def with_ewm(df: DataFrame, averages: dict[str, tuple], key: str = "symbol", order: str = "dt") -> DataFrame:
+    """df with recursive averages y = a*x + (1-a)*y', each started by its first value; a missing x carries y on.
 
-    averages maps a new column to (value column, a). One fold runs over a series' ordered array: a series is the daily
-    history of one instrument, some thousand rows; finer series belong in applyInPandas.
+    averages maps a new column to (value, a), the value being a column or a function of the columns so far, as pandas series.
+    One pass in time order over each series, all averages at once: linear in its rows.
     """
-    values = sorted({v for v, _ in averages.values()})
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *values))).alias("__s"))
-
-    def fold(value: str, a: float) -> Column:
-        start = F.array().cast("array<double>")
-
-        def step(out: Column, s: Column) -> Column:
-            before = F.try_element_at(out, F.lit(-1))
-            x = s[value]
-            y = F.when(x.isNull(), before).when(before.isNull(), x).otherwise(x * a + before * (1 - a))
-            return F.concat(out, F.array(y))
-
-        return F.aggregate("__s", start, step)
-
-    folded = rows.select(key, F.transform("__s", lambda s: s[order]).alias("__d"), *[fold(v, a).alias(name) for name, (v, a) in averages.items()])
-    flat = folded.select(key, F.inline(F.arrays_zip("__d", *averages))).withColumnRenamed("__d", order)
-    return df.join(flat, [key, order])
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in averages]])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        known = {c: pd.Series(table.column(c).to_numpy()) for c in table.column_names if pa.types.is_floating(table.schema.field(c).type)}
+        for name, (value, a) in averages.items():
+            x = value(known) if callable(value) else known[value]
+            known[name] = x.ewm(alpha=a, adjust=False, ignore_na=True).mean()
+            table = table.append_column(name, pa.array(known[name], pa.float64(), from_pandas=True))
+        return table
+
+    return df.groupBy(key).applyInArrow(run, schema)

@@ -200,6 +200,9 @@ STATE: Layers = [
     }
 ]
 
+#: The order in which the second pass looks at symbols, of rows of the first.
+PRIORITY: Layers = [{"priority": f"deep_score * 0.52e0 + setup_score * 0.3e0 + {clip('radar_score', '-5e0', '15e0')} * 2.2e0 + {clip('edge_score', '-5e0', '10e0')} * 3 + {clip('risk_control', '0e0', '100e0')} * 0.08e0"}]
+
 NOTES: Layers = [
     {
         "risk_notes": """concat_ws('; ', CASE WHEN rsi_14 >= 72 THEN 'RSI_HIGH' WHEN rsi_14 <= 30 THEN 'RSI_LOW' END, CASE WHEN risk_reward < 1 THEN 'RISK_REWARD' END, CASE WHEN risk_control < 45 THEN 'RISK_CONTROL' END,
@@ -208,11 +211,13 @@ NOTES: Layers = [
         "is_confirmed": "mode = 'ML' AND decision_state = 'LONG'",
         "is_risk": "(mode = 'ML' AND decision_state = 'SHORT') OR radar_action LIKE 'RISK%' OR radar_momentum = 'PANIC_RISK'",
         "is_watch": "radar_action IN ('PRIORITY', 'WATCHLIST') OR setup_grade IN ('A', 'B')",
-        "priority": f"deep_score * 0.52e0 + setup_score * 0.3e0 + {clip('radar_score', '-5e0', '15e0')} * 2.2e0 + {clip('edge_score', '-5e0', '10e0')} * 3 + {clip('risk_control', '0e0', '100e0')} * 0.08e0",
     },
     {"trend_state": "CASE WHEN trend_points >= 3 THEN 'POSITIVE' WHEN trend_points <= 1 THEN 'NEGATIVE' ELSE 'MIXED' END"},
 ]
 
 COMMON = [*CLASS, *MOMENTUM]
 FAST = [*COMMON, *FAST_FORECAST, *RISK_REWARD, *SETUP, *FAST_ROW]
-ML = [*COMMON, *FACTOR_FORECAST, *RISK_REWARD, *SETUP, *ML_ROW, *closed_gate(), *STATE, *NOTES]
+FAST = [*FAST, *PRIORITY]
+#: What follows a forecast, wherever it comes from.
+AFTER_FORECAST = [*RISK_REWARD, *SETUP, *ML_ROW, *closed_gate(), *STATE, *NOTES]
+ML = [*COMMON, *FACTOR_FORECAST, *AFTER_FORECAST]

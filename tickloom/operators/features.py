@@ -123,15 +123,15 @@ def range_positions(b: DataFrame, ns=RANGES) -> DataFrame:
 
 
 def oscillators(b: DataFrame) -> DataFrame:
-    """rsi_14, rsi_velocity, macd, macd_signal, atr_pct: recursive averages, folded in two passes."""
+    """rsi_14, rsi_velocity, macd, macd_signal, atr_pct: recursive averages, in one pass over each symbol."""
     diff = F.col("close") - F.col("prev")
     spread = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev")))
     b = b.withColumns({"__gain": F.when(diff.isNotNull(), F.greatest(diff, F.lit(0.0))), "__loss": F.when(diff.isNotNull(), F.greatest(-diff, F.lit(0.0))), "__tr": spread})
     wilder = 1 / 14
-    b = with_ewm(b, {"__g": ("__gain", wilder), "__l": ("__loss", wilder), "__a": ("__tr", wilder), "__e12": ("close", 2 / 13), "__e26": ("close", 2 / 27)})
+    averages = {"__g": ("__gain", wilder), "__l": ("__loss", wilder), "__a": ("__tr", wilder), "__e12": ("close", 2 / 13), "__e26": ("close", 2 / 27)}
+    b = with_ewm(b, averages | {"__signal": (lambda c: (c["__e12"] - c["__e26"]) / c["close"], 2 / 10)})
     rsi = 100 - 100 / (1 + ratio("__g", "__l"))
     b = b.withColumns({"rsi": rsi, "rsi_14": (rsi - 50) / 50, "macd": (F.col("__e12") - F.col("__e26")) / F.col("close"), "atr_pct": F.col("__a") / F.col("close")})
-    b = with_ewm(b, {"__signal": ("macd", 2 / 10)})
     b = b.withColumns({"rsi_velocity": F.col("rsi_14") - F.lag("rsi_14", 5).over(w()), "macd_signal": F.col("macd") - F.col("__signal")})
     return b.drop(*[c for c in b.columns if c.startswith("__")])
 

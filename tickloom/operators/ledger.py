@@ -56,8 +56,10 @@ def executed(signals: DataFrame, bars: DataFrame, journal: bool = False) -> Data
 
 
 def new_signals(signals: DataFrame, known: DataFrame) -> DataFrame:
-    """Signals whose id isn't known; of repeats in the batch the first stays."""
-    return signals.dropDuplicates(["signal_id"]).join(known.select("signal_id"), "signal_id", "left_anti")
+    """Signals whose id isn't known; of repeats in the batch the first stays, in order of their other columns."""
+    others = [c for c in signals.columns if c != "signal_id"]
+    first = signals.groupBy("signal_id").agg(F.min(F.struct(*others)).alias("s")).select("signal_id", "s.*").select(*signals.columns)
+    return first.join(known.select("signal_id"), "signal_id", "left_anti")
 
 
 def refresh_merge(known: DataFrame, fresh: DataFrame) -> DataFrame:
@@ -190,3 +192,18 @@ def gate_portfolios(trades: DataFrame, slots: int = 5, most: int = 5) -> DataFra
 
     rows = trades.select("ledger_id", "signal_id", "symbol", "signal_date", "exit_date")
     return rows.groupBy("ledger_id").applyInPandas(run, "ledger_id string, signal_id string, symbol string, signal_date date, exit_date date, decision string, slot int")
+
+
+def staleness(snapshots: DataFrame, now, hours: float, schema_version: int = 8, horizons: int = 3) -> DataFrame:
+    """verdict of each snapshot: the first rule that it breaks, or FRESH; whatever isn't known counts against it."""
+    rules = {
+        "STATUS": F.col("status") == "complete",
+        "SCHEMA": F.col("schema_version") >= schema_version,
+        "COVERAGE": F.col("coverage") != "INVALID",
+        "HORIZONS": F.col("n_horizons") >= horizons,
+        "RECORDS": F.col("bad_records") == 0,
+        "NO_TIME": F.col("updated_at").isNotNull(),
+        "AGE": F.col("updated_at") >= now - F.make_dt_interval(hours=F.lit(int(hours))),
+    }
+    broken = [F.when(~F.coalesce(rule, F.lit(False)), name) for name, rule in rules.items()]
+    return snapshots.withColumn("verdict", F.coalesce(*broken, F.lit("FRESH")))

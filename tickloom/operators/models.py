@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tickloom.functions.columns import clip
 
 FEATURES = ["ret_5", "ret_20", "ma_dist_50", "vol_20", "drawdown_60", "range_position_60"]
+#: Weights of the regressors where too few rows tell them apart.
+REGRESSOR_WEIGHTS = {"ridge": 0.40, "forest": 0.25, "boosting": 0.20, "extra_trees": 0.15}
 SCHEMA = "symbol string, horizon int, dt date, role string, y int, forward_return double, p_linear double, r_ridge double"
 
 
@@ -146,12 +148,14 @@ def brier_weights(members: DataFrame, by: list[str]) -> DataFrame:
 
 
 def mae_weights(members: DataFrame, by: list[str]) -> DataFrame:
-    """members has member, r, m: the same for regressions, scaled by the spread of the returns."""
-    scores = members.groupBy(*by, "member").agg(F.avg(F.abs(F.col("r") - F.col("m"))).alias("mae"), F.greatest(F.lit(0.0025), 0.2 * F.stddev_samp("r")).alias("scale"))
+    """members has member, r, m: the same for regressions, scaled by the spread of the returns; defaults below 40 rows."""
+    scores = members.groupBy(*by, "member").agg(F.avg(F.abs(F.col("r") - F.col("m"))).alias("mae"), F.greatest(F.lit(0.0025), 0.2 * F.stddev_samp("r")).alias("scale"), F.count("*").alias("n"))
     w = Window.partitionBy(*by)
     raw = F.exp(-(F.col("mae") - F.min("mae").over(w)) / F.col("scale"))
     scores = scores.withColumn("raw", raw).withColumn("w", 0.06 + 0.94 * F.col("raw") / F.sum("raw").over(w))
-    return scores.select(*by, "member", "mae", (F.col("w") / F.sum("w").over(w)).alias("weight"))
+    default = F.coalesce(F.element_at(F.create_map(*[x for k, v in REGRESSOR_WEIGHTS.items() for x in (F.lit(k), F.lit(v))]), F.col("member")), F.lit(0.0))
+    weight = F.when(F.min("n").over(w) < 40, default / F.nullif(F.sum(default).over(w), F.lit(0.0))).otherwise(F.col("w") / F.sum("w").over(w))
+    return scores.select(*by, "member", "mae", weight.alias("weight"))
 
 
 def blend(members: DataFrame, weights: DataFrame, by: list[str], key: list[str]) -> DataFrame:
@@ -161,19 +165,81 @@ def blend(members: DataFrame, weights: DataFrame, by: list[str], key: list[str])
     return rows.groupBy(*dict.fromkeys([*by, *key])).agg(p.alias("p"), F.first("y").alias("y"))
 
 
+def _calibration(p: np.ndarray, y: np.ndarray, p_block: np.ndarray, y_block: np.ndarray) -> tuple[float, float] | None:
+    """a, b of a logistic curve over the raw probability: of the out-of-fold rows if they are over 80 and of both classes, else of
+    the calibration block if it is, else none."""
+    for x, t, enough in ((p, y, 80), (p_block, y_block, 0)):
+        if len(t) > enough and len(set(t.tolist())) > 1:
+            a, b = logistic(np.column_stack([np.ones(len(x)), x]), t, 0.5, balanced=False)
+            return float(a), float(b)
+    return None
+
+
 def platt(rows: DataFrame, by: list[str]) -> DataFrame:
-    """a, b of a one-feature logistic calibration per group, by Newton steps; groups below 80 rows keep p as it is."""
+    """a, b of a one-feature logistic calibration per group, null where nothing can be fitted; rows has role (OOF, CALIBRATION), p, y."""
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by) + ", a double, b double"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = 0.0, 1.0
-        if len(pdf) > 80 and pdf["y"].nunique() > 1:
-            p = np.clip(pdf["p"].to_numpy(float), 1e-4, 1 - 1e-4)
-            x = np.column_stack([np.ones(len(p)), np.log(p / (1 - p))])
-            a, b = logistic(x, pdf["y"].to_numpy(int), 1.0, balanced=False)
-        return pd.DataFrame([[*key, float(a), float(b)]], columns=[*by, "a", "b"])
-
-    return rows.select(*by, "p", "y").groupBy(*by).applyInPandas(run, schema)
+        oof, block = pdf[pdf["role"] == "OOF"], pdf[pdf["role"] == "CALIBRATION"]
+        found = _calibration(*(part[c].to_numpy(t) for part in (oof, block) for c, t in (("p", float), ("y", int))))
+        return pd.DataFrame([[*key, *(found or (None, None))]], columns=[*by, "a", "b"])
+
+    return rows.where("role IN ('OOF', 'CALIBRATION')").select(*by, "role", "p", "y").groupBy(*by).applyInPandas(run, schema)
+
+
+def _auc(y: np.ndarray, p: np.ndarray) -> float:
+    """Area under the curve, ties averaged; a half for one class."""
+    n1 = int(y.sum())
+    if n1 in (0, len(y)):
+        return 0.5
+    ranks = pd.Series(p).rank().to_numpy()
+    return float((ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1)))
+
+
+FITTED = "symbol string, horizon int, dt date, p double, m double, auc double, brier double, oof_auc double, sigma double, q05 double, q95 double"
+
+
+def fitted_forecasts(frame: DataFrame) -> DataFrame:
+    """The forecast of each symbol and horizon for its last row, by the linear members: one task for each pair.
+
+    frame has symbol, horizon, dt, FEATURES, y and forward_return, these two null in rows whose label isn't known yet. Out-of-fold rows
+    calibrate, the assessment rows give skill and residuals, and the last row is predicted by members fitted on all labelled rows.
+    """
+    names = [c.split()[0] for c in FITTED.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("dt").reset_index(drop=True)
+        known = pdf[pdf["y"].notna()]
+        h, n = int(pdf["horizon"].iloc[0]), len(known)
+        roles = split_roles(n, h)
+        if roles is None or known["y"].nunique() < 2:
+            return pd.DataFrame(columns=names)
+        x, y, r = known[FEATURES].to_numpy(float), known["y"].to_numpy(int), known["forward_return"].to_numpy(float)
+        train = roles["train"][1]
+        oof_p, oof_y = [], []
+        for end, start, stop in inner_folds(train, h):
+            if len(set(y[:end])) > 1 and stop - start >= 25:
+                oof_p.append(_members(x, y, r, slice(0, end), slice(start, stop))[0])
+                oof_y.append(y[start:stop])
+        p_oof, y_oof = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((oof_p, float), (oof_y, int)))
+        block = slice(*roles.get("calibration", (0, 0)))
+        p_block = _members(x, y, r, slice(0, train), block)[0] if block.stop else np.zeros(0)
+        curve = _calibration(p_oof, y_oof, p_block, y[block])
+
+        def calibrated(p):
+            return p if curve is None else 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * p, -30, 30)))
+
+        use = slice(*roles["assessment"])
+        p_seen, m_seen = _members(x, y, r, slice(0, train), use)
+        p_seen, left = np.clip(calibrated(p_seen), 1e-4, 1 - 1e-4), r[use] - m_seen
+        every = np.vstack([x, pdf[FEATURES].to_numpy(float)[-1:]])
+        p_last, m_last = _members(every, y, r, slice(0, n), slice(n, n + 1))
+        low, high = np.quantile(left, [0.05, 0.95])
+        row = [pdf["symbol"].iloc[0], h, pdf["dt"].iloc[-1], float(calibrated(p_last)[0]), float(m_last[0]), _auc(y[use], p_seen), float(np.mean((y[use] - p_seen) ** 2)), _auc(y_oof, p_oof) if len(y_oof) else 0.5, float(left.std(ddof=1)), float(low), float(high)]
+        return pd.DataFrame([row], columns=names)
+
+    keep = ["symbol", "horizon", "dt", "y", "forward_return", *FEATURES]
+    return frame.select(*keep).groupBy("symbol", "horizon").applyInPandas(run, FITTED)
 
 
 def skill(quality_rows: DataFrame) -> DataFrame:

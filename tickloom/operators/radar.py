@@ -30,6 +30,13 @@ def ml_scan(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
     return rules.apply(pairs(states(bars), horizons), rules.ML)
 
 
+def model_scan(bars: DataFrame, forecasts: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """Rows of the pairs that a model gave a forecast; forecasts has symbol, horizon, probability_up, expected_return, lower_return, upper_return, auc, brier, quality."""
+    rows = rules.apply(pairs(states(bars), horizons), rules.COMMON)
+    given = forecasts.select("symbol", "horizon", "probability_up", "expected_return", "lower_return", "upper_return", "auc", "brier", "quality")
+    return rules.apply(rows.join(given, ["symbol", "horizon"]).withColumn("mode", F.lit("ML")), rules.AFTER_FORECAST)
+
+
 def ranking(rows: DataFrame, key: str = "deep_score") -> DataFrame:
     """position of each row inside its horizon."""
     w = Window.partitionBy("horizon").orderBy(F.desc(key), "symbol")
@@ -43,12 +50,12 @@ def shortlist(rows: DataFrame, limit: int = 36) -> DataFrame:
     """
     best = Window.partitionBy("symbol").orderBy(F.desc("priority"), "horizon")
     one = rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("symbol", "asset_class", "priority")
-    classes = one.groupBy("asset_class").agg(F.max(F.struct("priority", (-F.xxhash64("asset_class")).alias("h"))).alias("top"))
-    seed = max(1, min(4, limit // max(1, classes.count())))
+    classes = one.groupBy("asset_class").agg(F.max("priority").alias("class_top"))
+    number = classes.agg(F.greatest(F.lit(1), F.least(F.lit(4), F.floor(F.lit(limit) / F.count("*")))).alias("__seeds"))  # one row
     inside = Window.partitionBy("asset_class").orderBy(F.desc("priority"), "symbol")
-    ranked = one.join(classes.select("asset_class", F.col("top.priority").alias("class_top")), "asset_class")
+    ranked = one.join(classes, "asset_class").crossJoin(F.broadcast(number))
     ranked = ranked.withColumn("__i", F.row_number().over(inside))
-    seeded = F.col("__i") <= seed
+    seeded = F.col("__i") <= F.col("__seeds")
     order = [seeded.desc(), F.when(seeded, F.col("class_top")).desc_nulls_last(), F.when(seeded, F.col("asset_class")), F.desc("priority"), "symbol"]
     top = ranked.withColumn("seed", seeded).orderBy(*order).limit(limit)
     return top.select("symbol", "asset_class", "priority", "seed")

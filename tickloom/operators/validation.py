@@ -6,34 +6,50 @@ aggregates; group reports come from one pass of grouping sets where measures add
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rules
 from tickloom.functions.columns import clip, ratio, series
-from tickloom.operators.labels import executions
+from tickloom.sources.storage import stored
 
 HORIZONS = (1, 5, 20)
 COST = 0.002
 FIRST, WINDOW, FOLD_ROWS = 300, 250, 90
 
 
-def factor_forecast(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    """Trailing one-factor forecasts; at each row only labels that are known there take part, by row position."""
-    w = series("symbol", "horizon")
-    frame = w.rowsBetween(-(WINDOW - 1), 0)
+def _forecasts(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """Trailing one-factor forecasts with the executions of the same rows; at each row only labels that are known there take
+    part, by row position. All windows are of one symbol in time order: one shuffle and one sort serve forecasts and executions."""
     by = series("symbol")
-    rows = bars.withColumns({"pos": F.row_number().over(by), "x": F.log(F.col("close") / F.lag("close", 20).over(by))})
-    rows = rows.withColumns({k: v for h in horizons for k, v in ((f"px_{h}", F.lag("x", h).over(by)), (f"py_{h}", F.col("close") / F.lag("close", h).over(by) - 1))})
-    past = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"px_{h}").alias("px"), F.col(f"py_{h}").alias("py")) for h in horizons])
-    rows = rows.select("symbol", "dt", "pos", "x", F.inline(past))
-    fit = {
-        "slope": F.regr_slope("py", "px").over(frame),
-        "mean_x": F.avg("px").over(frame),
-        "mean_y": F.avg(F.when(F.col("px").isNotNull(), F.col("py"))).over(frame),
-        "std_y": F.stddev_samp("py").over(frame),
-    }
-    rows = rows.withColumns(fit).where(F.col("pos") >= FIRST)
+    frame = by.rowsBetween(-(WINDOW - 1), 0)
+    rows = bars.withColumns({"pos": F.row_number().over(by), "x": F.log(F.col("close") / F.lag("close", 20).over(by)), "entry_dt": F.lead("dt", 1).over(by), "entry_price": F.lead("open", 1).over(by)})
+    rows = rows.withColumns(
+        {
+            f"{name}_{h}": value
+            for h in horizons
+            for name, value in {
+                "px": F.lag("x", h).over(by),
+                "py": F.col("close") / F.lag("close", h).over(by) - 1,
+                "exit_dt": F.lead("dt", h + 1).over(by),
+                "exit_price": F.lead("open", h + 1).over(by),
+                "forward": ratio(F.lead("close", h).over(by), "close") - 1,
+            }.items()
+        }
+    )
+    fits = {}
+    for h in horizons:
+        px, py = F.col(f"px_{h}"), F.col(f"py_{h}")
+        fits |= {f"slope_{h}": F.regr_slope(py, px).over(frame), f"mean_x_{h}": F.avg(px).over(frame), f"mean_y_{h}": F.avg(F.when(px.isNotNull(), py)).over(frame), f"std_y_{h}": F.stddev_samp(py).over(frame)}
+    rows = rows.withColumns(fits).where(F.col("pos") >= FIRST)
+    names = ("slope", "mean_x", "mean_y", "std_y", "exit_dt", "exit_price", "forward")
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{n}_{h}").alias(n) for n in names]) for h in horizons])
+    rows = rows.select("symbol", "dt", "pos", "x", "entry_dt", "entry_price", F.inline(each))
     er = clip(F.col("mean_y") + F.col("slope") * (F.col("x") - F.col("mean_x")), -0.2, 0.2)
     return rows.select(
         "symbol",
@@ -44,11 +60,22 @@ def factor_forecast(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
         F.round(er, 6).alias("expected_return"),
         F.round(1 / (1 + F.exp(-4 * er / F.col("std_y"))), 6).alias("probability_up"),
         F.round(1 / (1 + F.exp(-0.5 * F.col("x") / F.col("std_y"))), 6).alias("linear_probability"),
+        "entry_dt",
+        "entry_price",
+        "exit_dt",
+        "exit_price",
+        F.col("forward").alias("forward_return"),
+        F.when(F.col("forward").isNotNull(), (F.col("forward") > 0).cast("int")).alias("actual_up"),
+        (ratio("exit_price", "entry_price") - 1).alias("execution_return"),
     )
 
 
+def factor_forecast(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
+    return _forecasts(bars, horizons).select("symbol", "dt", "pos", "horizon", "x", "expected_return", "probability_up", "linear_probability")
+
+
 def records(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
-    rows = factor_forecast(bars, horizons).join(executions(bars, list(horizons)), ["symbol", "dt", "horizon"]).where("exit_price IS NOT NULL AND forward_return IS NOT NULL")
+    rows = _forecasts(bars, horizons).where("exit_price IS NOT NULL AND forward_return IS NOT NULL")
     rows = rules.apply(rows.withColumns({"quality": F.lit("HIGH"), "mode": F.lit("ML")}), [rules.CLASS[0], *rules.gate(0.52)])
     linear = F.when(F.col("linear_probability") >= 0.52, 1).when(F.col("linear_probability") <= 0.48, -1).otherwise(0)
     momentum = F.when(F.col("x") > 0, 1).otherwise(-1)
@@ -143,18 +170,29 @@ def cost_stress(rows: DataFrame, multipliers=(1.0, 2.0, 3.0)) -> DataFrame:
     return rows.groupBy("horizon", "k").agg(F.avg(s).alias("mean_return"), F.percentile(s, F.lit(0.5)).alias("median_return"), profit_factor(s, F.lit(float("inf"))).alias("profit_factor"))
 
 
+def ranked(rows: DataFrame, by: str, step: float = 1e-4) -> DataFrame:
+    """rows with r, the rank by falling return inside a group of any size: returns are cut into bins of `step`, the window over
+    a group sees its bins, that over rows one bin, so no task holds a whole group."""
+    rows = rows.withColumn("__bin", F.floor(F.col("ret") / step))
+    bins = rows.groupBy(by, "__bin").agg(F.count("*").alias("__n"))
+    above = F.sum("__n").over(Window.partitionBy(by).orderBy(F.desc("__bin")).rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.select(by, "__bin", F.coalesce(above, F.lit(0)).alias("__above"))
+    place = F.row_number().over(Window.partitionBy(by, "__bin").orderBy(F.desc("ret"), "symbol", "dt"))
+    return rows.join(bins, [by, "__bin"]).withColumn("r", F.col("__above") + place).drop("__bin", "__above")
+
+
 def concentration(rows: DataFrame, by: str = "horizon") -> DataFrame:
     """How much of the profit a symbol or the best trades made; ranks are inside a group of the report."""
-    act = rows.where(ACTIVE)
+    act = stored(rows.where(ACTIVE).select(by, "symbol", "dt", "ret"), "active")  # read four times
     symbols = act.groupBy(by, "symbol").agg(F.greatest(F.sum("ret"), F.lit(0.0)).alias("profit"))
     share = symbols.groupBy(by).agg(ratio(F.max("profit"), F.sum("profit")).alias("top_symbol_profit_share"))
-    w = Window.partitionBy(by)
-    ranked = act.withColumns({"r": F.row_number().over(w.orderBy(F.desc("ret"), "symbol", "dt")), "n": F.count("*").over(w), "wins": F.count_if(F.col("ret") > 0).over(w)})
+    totals = act.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col("ret") > 0).alias("wins"))  # a row for each group
+    placed = ranked(act, by).join(F.broadcast(totals), by)
     top = F.greatest(F.lit(1), F.ceil(F.col("wins") * 0.01))
     out = [ratio(F.sum(F.when((F.col("ret") > 0) & (F.col("r") <= top), F.col("ret"))), F.sum(F.when(F.col("ret") > 0, F.col("ret")))).alias("top_1pct_trade_profit_share")]
     for pct in (1, 5, 10):
         out.append(F.avg(F.when(F.col("r") > F.greatest(F.lit(1), F.ceil(F.col("n") * (pct / 100))), F.col("ret"))).alias(f"return_without_best_{pct}pct"))
-    return ranked.groupBy(by).agg(*out).join(share, by)
+    return placed.groupBy(by).agg(*out).join(share, by)
 
 
 def timeline(rows: DataFrame, by: str = "horizon") -> DataFrame:
@@ -197,10 +235,10 @@ def non_overlapping(rows: DataFrame) -> DataFrame:
 
 
 def without_best(rows: DataFrame, most: int = 3, by: str = "horizon") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(F.desc("ret"), "symbol", "dt")
-    ranked = rows.where(ACTIVE).withColumn("r", F.row_number().over(w)).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, most + 1)])))
+    act = stored(rows.where(ACTIVE).select(by, "symbol", "dt", "ret"), "active")  # read twice
+    placed = ranked(act, by).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, most + 1)])))
     x = F.col("ret")
-    return ranked.where(F.col("r") > F.col("k")).groupBy(by, "k").agg(F.count("*").alias("trades"), F.avg(x).alias("mean_return"), F.percentile(x, F.lit(0.5)).alias("median_return"), F.avg((x > 0).cast("double")).alias("hit_rate"), profit_factor(x).alias("profit_factor"))
+    return placed.where(F.col("r") > F.col("k")).groupBy(by, "k").agg(F.count("*").alias("trades"), F.avg(x).alias("mean_return"), F.percentile(x, F.lit(0.5)).alias("median_return"), F.avg((x > 0).cast("double")).alias("hit_rate"), profit_factor(x).alias("profit_factor"))
 
 
 def fold_ranges(lengths: DataFrame, horizon: int, train: int = 252, test: int = 63, holdout: int = 126, most: int | None = 4) -> DataFrame:
@@ -227,17 +265,43 @@ def fold_ranges(lengths: DataFrame, horizon: int, train: int = 252, test: int =
     return regular.unionByName(last.where("train_end >= 250"))
 
 
-def bootstrap_mean(rows: DataFrame, samples: int, by: str = "horizon") -> DataFrame:
-    """Interval of the mean return by resampling.
+#: The distribution function of a Poisson count of mean 1, up to 9.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(10)])
+
+
+def bootstrap_mean(rows: DataFrame, samples: int, by: str = "horizon", least: int = 20) -> DataFrame:
+    """Interval of the mean return by resampling, for groups of `least` rows or more.
 
-    A resample of n rows by index is the sum of rows times how often each is drawn; draws are Poisson(1) counts from a hash
-    of row and sample, so that each row meets each sample in place and only (sum, count) pairs are shuffled.
+    A resample of n rows by index is the sum of rows times how often each is drawn. Draws are Poisson(1) counts from a hash of row
+    and sample, made in place: a task sends one (sum, count) for each group and sample, rows are never multiplied.
     """
-    act = rows.where(ACTIVE).select(by, "ret", "symbol", "dt").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    u = (F.pmod(F.xxhash64("symbol", "dt", "b", by), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    times = sum([F.when(u > cut, 1).otherwise(0) for cut in (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)], F.lit(0))
-    means = act.withColumn("t", times).groupBy(by, "b").agg(ratio(F.sum(F.col("ret") * F.col("t")), F.sum("t").cast("double")).alias("m"))
-    return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    kind = rows.schema[by].dataType.simpleString()
+    act = rows.where(ACTIVE).select(by, "ret", F.xxhash64("symbol", "dt", by).alias("h"))
+    turns = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict = {}
+        for batch in batches:
+            kind_there = batch.schema.field(by).type
+            keys, ret = np.array(batch.column(by).to_pylist()), batch.column("ret").to_numpy()
+            h = batch.column("h").to_numpy().view(np.uint64)
+            for key in np.unique(keys).tolist():
+                for low in range(0, len(at := np.flatnonzero(keys == key)), 1000):
+                    part = at[low : low + 1000]
+                    x = h[part][:, None] + turns[None, :]
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    times = np.searchsorted(POISSON, (x >> np.uint64(11)) / float(1 << 53))
+                    held = totals.setdefault(key, np.zeros((2, samples)))
+                    held += np.stack((ret[part] @ times, times.sum(0)))
+        for key, (sums, counts) in totals.items():
+            columns = [pa.array([key] * samples, kind_there), pa.array(np.arange(samples), pa.int32()), pa.array(sums), pa.array(counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=[by, "b", "s", "n"])
+
+    means = act.mapInArrow(run, f"{by} {kind}, b int, s double, n double").groupBy(by, "b").agg(ratio(F.sum("s"), F.sum("n")).alias("m"))
+    enough = act.groupBy(by).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(by)
+    out = means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return out.join(enough, by, "left_semi")
 
 
 def block_bootstrap(rows: DataFrame, block: Column, samples: int, by: str = "horizon") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tickloom.plans import ledger, models, prices, radar, reality, streams, validation  # noqa: F401
+from tickloom.plans import artifacts, ledger, models, prices, radar, reality, streams, validation  # noqa: F401
 from tickloom.plans.registry import ORACLES, QUERIES
 
 

@@ -16,13 +16,18 @@ from tickloom.plans.validation import records
 from tickloom.sources import bars as B
 
 
-def frame(spark, sf, horizons=(5, 20)):
-    b = X.base(B.brand_bars(spark, sf))
+def frame(spark, sf, horizons=(1, 5, 20)):
+    return labelled(B.brand_bars(spark, sf), horizons).where("y IS NOT NULL AND ma_dist_50 IS NOT NULL")
+
+
+def labelled(bars, horizons=(1, 5, 20)):
+    """Features and labels of all rows by horizon; labels that aren't known yet are null."""
+    b = X.base(bars)
     for step in (lambda d: X.returns(d, (5, 20)), lambda d: X.volatility(d, (20,)), lambda d: X.average_distances(d, (50,)), X.drawdowns, lambda d: X.range_positions(d, (60,))):
         b = step(b)
     out = None
     for h in horizons:
-        part = L.forward_return(b, h).where("forward_return IS NOT NULL AND ma_dist_50 IS NOT NULL").select("symbol", "dt", *M.FEATURES, "forward_return", (F.col("forward_return") > 0).cast("int").alias("y"), F.lit(h).alias("horizon"))
+        part = L.forward_return(b, h).select("symbol", "dt", *M.FEATURES, "forward_return", (F.col("forward_return") > 0).cast("int").alias("y"), F.lit(h).alias("horizon"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -34,8 +39,8 @@ def m02_m03_m06_linear_members(spark, sf):
 
 @query()
 def m10_platt(spark, sf):
-    oof = M.linear_members(frame(spark, sf)).where("role = 'OOF'").select("symbol", "horizon", F.col("p_linear").alias("p"), "y")
-    return M.platt(oof, ["symbol", "horizon"])
+    rows = M.linear_members(frame(spark, sf)).select("symbol", "horizon", "role", F.col("p_linear").alias("p"), "y")
+    return M.platt(rows, ["symbol", "horizon"])
 
 
 @query()
@@ -140,13 +145,29 @@ def m01_chronological_split(spark, sf):
     return rows.select("symbol", "n", F.when(n >= 250, F.greatest(F.lit(100), split - 5)).alias("train_end"), F.when(n >= 250, split).alias("split"))
 
 
+def fitted(bars):
+    """Fitted forecasts of each symbol and horizon, drawn to the middle by their skill."""
+    rows = M.shrink(M.skill(M.fitted_forecasts(labelled(bars))))
+    return rows.select("symbol", "horizon", "probability_up", "expected_return", "lower_return", "upper_return", "auc", "brier", "quality")
+
+
+@query()
+def m16_fitted_scan(spark, sf):
+    """Model rows of all symbols from forecasts fitted on their own history."""
+    from tickloom.operators import radar as RD
+
+    bars = B.brand_bars(spark, sf)
+    rows = RD.model_scan(bars, fitted(bars))
+    return rows.select("symbol", "horizon", "quality", "decision_reason", *[R(c).alias(c) for c in ("probability_up", "expected_return", "lower_return", "upper_return", "auc", "brier", "deep_score")])
+
+
 @query()
 def m18_two_stage_radar(spark, sf):
-    """Fast rows of all symbols, model rows of the shortlist only, merged."""
+    """Fast rows of all symbols; of these the shortlist, whose bars alone are modelled; merged."""
     from tickloom.operators import radar as RD
 
     bars = B.brand_bars(spark, sf)
     fast = RD.fast_scan(bars)
-    deep = RD.ml_scan(bars)
-    chosen = RD.shortlist(deep, 12).select("symbol")
-    return RD.prefer_ml(fast, deep.join(F.broadcast(chosen), "symbol", "left_semi")).select("symbol", "horizon", "mode", R("deep_score").alias("deep_score"))
+    chosen = RD.shortlist(fast, 12).select("symbol")
+    few = bars.join(F.broadcast(chosen), "symbol", "left_semi")
+    return RD.prefer_ml(fast, RD.model_scan(few, fitted(few))).select("symbol", "horizon", "mode", R("deep_score").alias("deep_score"))

@@ -78,7 +78,7 @@ view("c04_fast_forecast", "fast", ["horizon_risk", "expected_return", "probabili
 view("c05_fast_action", "fast", ["fast_action"])
 view("c06_ml_score", "ml", ["score", "confidence", "deep_score"])
 view("c07_fast_deep_score", "fast", ["deep_score"])
-view("c08_priority", "ml", ["priority"])
+view("c08_priority", "fast", ["priority"])
 
 
 @query(sql(f"SELECT symbol, horizon, decision, decision_reason, decision_label FROM {rules.as_sql(rules.as_sql('states', [*rules.COMMON, *rules.FACTOR_FORECAST]), rules.gate(0.56, 0.01))}", "states"))
@@ -168,14 +168,14 @@ def w07_ranking(spark, sf):
 
 
 SHORT = """SELECT symbol, asset_class, priority, seed FROM (SELECT *, __i <= seed_n AS seed FROM (SELECT *, row_number() OVER (PARTITION BY asset_class ORDER BY priority DESC, symbol) AS __i,
- max(priority) OVER (PARTITION BY asset_class) AS class_top, (SELECT greatest(1, least(4, 12 // count(DISTINCT asset_class))) FROM ml) AS seed_n FROM
- (SELECT symbol, asset_class, priority, row_number() OVER (PARTITION BY symbol ORDER BY priority DESC, horizon) AS r FROM ml) WHERE r = 1))
+ max(priority) OVER (PARTITION BY asset_class) AS class_top, (SELECT greatest(1, least(4, 12 // count(DISTINCT asset_class))) FROM fast) AS seed_n FROM
+ (SELECT symbol, asset_class, priority, row_number() OVER (PARTITION BY symbol ORDER BY priority DESC, horizon) AS r FROM fast) WHERE r = 1))
  ORDER BY seed DESC, CASE WHEN seed THEN class_top END DESC NULLS LAST, CASE WHEN seed THEN asset_class END, priority DESC, symbol LIMIT 12"""
 
 
-@query(sql(f"SELECT symbol, asset_class, seed, {r6('priority', 'priority')} FROM ({SHORT})", "ml"))
+@query(sql(f"SELECT symbol, asset_class, seed, {r6('priority', 'priority')} FROM ({SHORT})", "fast"))
 def w08_shortlist(spark, sf):
-    return take(X.shortlist(ml(spark, sf), 12), ["symbol", "asset_class", "seed", "priority"])
+    return take(X.shortlist(fast(spark, sf), 12), ["symbol", "asset_class", "seed", "priority"])
 
 
 @query(

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.sources.storage import shared_folder
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -68,12 +70,8 @@ def lifecycle(stream: DataFrame, horizon: int = 5) -> DataFrame:
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """The stream's output once all input that is there has been read, as a table in the shared folder or the warehouse."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    at = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at = shared_folder(spark, name)
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     else:
