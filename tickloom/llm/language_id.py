@@ -115,11 +115,11 @@ def document_frequencies(texts: DataFrame, text: str = "text") -> tuple[np.ndarr
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(found[at], n))], names=["bucket", "n"])
 
-    counts = bounded_batches(texts).select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = bounded_batches(texts).select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, n = counts.column("bucket").to_numpy(), counts.column("n").to_numpy()
     df = np.zeros(BUCKETS, np.int64)
-    real = counts[counts.bucket >= 0]
-    df[real.bucket.to_numpy()] = real.n.to_numpy()
-    return df, int(counts[counts.bucket < 0].n.sum())
+    df[bucket[bucket >= 0]] = n[bucket >= 0]
+    return df, int(n[bucket < 0].sum())
 
 
 def _ftrl(row, train, labels, classes, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.001):
@@ -160,7 +160,7 @@ def _sampled(rows: DataFrame, shares: DataFrame, text: str, lang: str, key: str)
 
     source = bounded_batches(rows).select("__lang", F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
     found = source.mapInArrow(run, "lang string, hash bigint, buckets array<int>, counts array<int>").where("size(buckets) > 0")
-    return found.dropDuplicates(["lang", "hash"]).toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    return found.dropDuplicates(["lang", "hash"]).toArrow()
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
@@ -175,16 +175,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     idf = np.log((1 + n) / (1 + df)) + 1
     shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in counts.items()], "__lang string, __share double")
     sample = _sampled(rows, shares, text, lang, key)
+    # the driver holds the sample's n-grams once, as they came; a row's weights are made when they are needed
     at, times = (sample.column(c).combine_chunks() for c in ("buckets", "counts"))
     limits = np.concatenate(([0], np.cumsum(at.value_lengths().to_numpy()))) if len(at) else np.zeros(1, np.int64)
-    at, times = at.flatten().to_numpy(), times.flatten().to_numpy().astype(np.float64)
-    labels = np.searchsorted(languages, sample.column("lang").to_pylist()) if sample.num_rows else np.zeros(0, int)
-    totals = np.add.reduceat(times, limits[:-1]) if len(labels) else np.zeros(0)
-    values = times / np.repeat(totals, np.diff(limits)) * idf[at] * _SCALE if len(labels) else times
+    at, times = at.flatten().to_numpy(), times.flatten().to_numpy()
+    names, hashes = np.array(sample.column("lang").to_pylist(), object), sample.column("hash").to_numpy()
+    place = np.lexsort((hashes, names.astype(str))) if len(names) else np.zeros(0, int)
+    labels = np.searchsorted(languages, names[place].astype(str)) if len(names) else np.zeros(0, int)
+    del sample
 
     def row(i: int) -> tuple[np.ndarray, np.ndarray]:
-        part = slice(limits[i], limits[i + 1])
-        return np.append(at[part], BUCKETS), np.append(values[part], 1.0)
+        part = slice(limits[place[i]], limits[place[i] + 1])
+        x = times[part] / times[part].sum() * idf[at[part]] * _SCALE
+        return np.append(at[part], BUCKETS), np.append(x, 1.0)
 
     order = np.random.default_rng(11).permutation(len(labels))
     held = order[: len(labels) // 5] if len(labels) >= 50 else order[:0]
@@ -202,6 +205,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             return -(m[np.arange(len(m)), truth] - np.log(np.exp(m).sum(1))).mean()
 
         inverse = min(np.geomspace(0.1, 10, 81), key=loss)
+    del at, times
+    pa.default_memory_pool().release_unused()
     return Model(languages, (w * idf[:, None] * inverse).astype(np.float32), bias * inverse)
 
 
