@@ -14,6 +14,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.plans.validation import records
 from tickloom.sources import bars as B
+from tickloom.sources.storage import stored
 
 
 def frame(spark, sf, horizons=(1, 5, 20)):
@@ -167,7 +168,7 @@ def m18_two_stage_radar(spark, sf):
     from tickloom.operators import radar as RD
 
     bars = B.brand_bars(spark, sf)
-    fast = RD.fast_scan(bars)
-    chosen = RD.shortlist(fast, 12).select("symbol")
+    fast = stored(RD.fast_scan(bars), "fast")
+    chosen = stored(RD.shortlist(fast, 12).select("symbol"), "shortlist")  # read by each part of the second stage
     few = bars.join(F.broadcast(chosen), "symbol", "left_semi")
     return RD.prefer_ml(fast, RD.model_scan(few, fitted(few))).select("symbol", "horizon", "mode", R("deep_score").alias("deep_score"))
