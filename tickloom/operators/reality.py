@@ -37,9 +37,9 @@ def greedy_selection(rows: pd.DataFrame, slots: int, most: int | None, reentry:
     return rows.assign(selection=state, slot=pd.array(taken, dtype="Int32"))
 
 
-def selection_audit(rows: DataFrame, portfolio: list[str], slots: int = 5, most: int | None = None) -> DataFrame:
-    """Active signals of each portfolio with selection and slot; a portfolio is one configuration's signals, in one task."""
-    keep = [*dict.fromkeys([*portfolio, "symbol", "horizon", "dt", "entry_dt", "exit_dt", "probability_up", "expected_return", "position", "ret"])]
+def selection_audit(rows: DataFrame, portfolio: list[str], slots: int = 5, most: int | None = None, also: list[str] = ()) -> DataFrame:
+    """Active signals of each portfolio with selection and slot, and the columns `also`; a portfolio is one configuration's signals, in one task."""
+    keep = [*dict.fromkeys([*portfolio, *also, "symbol", "horizon", "dt", "entry_dt", "exit_dt", "probability_up", "expected_return", "position", "ret"])]
     active = rows.where("position <> 0").select(*keep)
     schema = ", ".join(f"{c} {active.schema[c].dataType.simpleString()}" for c in keep) + ", selection string, slot int"
 
@@ -107,7 +107,7 @@ def slot_ledger(trades: DataFrame, paths: DataFrame, calendar: DataFrame, slots:
 def curve_summary(curve: DataFrame) -> DataFrame:
     w = Window.partitionBy("portfolio").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
     rows = curve.withColumn("dd", F.col("equity") / F.greatest(F.max("equity").over(w), F.lit(0.0)) - 1)
-    days = F.when(F.col("portfolio") == "CRYPTO", 365.0).otherwise(252.0)
+    days = F.when(F.substring_index("portfolio", "|", 1) == "CRYPTO", 365.0).otherwise(252.0)
     return rows.groupBy("portfolio").agg(
         (F.max_by("equity", "dt") - 1).alias("total_return"),
         F.min("dd").alias("max_drawdown"),

@@ -14,37 +14,68 @@ from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.plans.validation import records, rounded
 from tickloom.sources import bars as B
 
-cte("slots", "SELECT symbol, dense_rank() OVER (PARTITION BY market ORDER BY symbol) AS slot FROM (SELECT DISTINCT market, symbol FROM records)", "records")
+# the greedy selection as a fold over a portfolio's signals in time order: who holds which slot until when, and what was taken
+FREE = "list_position(list_transform(s.held, lambda h: h.until < t.entry_dt), true)"
+TAKE = "len(list_filter(s.held, lambda h: h.until >= t.entry_dt)) < {cap} AND len(list_filter(s.held, lambda h: h.until >= t.entry_dt AND h.symbol = t.symbol)) = 0"
+KEPT = "STRUCT(symbol VARCHAR, until DATE)[]"
+TAKEN = "STRUCT(symbol VARCHAR, dt DATE, slot INTEGER)[]"
+
+
+def picks(slots, cap):
+    take = TAKE.format(cap=cap)
+    start = ", ".join(["{'symbol': '', 'until': DATE '1900-01-01'}"] * slots)
+    signal = f"{{'symbol': symbol, 'dt': CAST(dt AS DATE), 'entry_dt': CAST(entry_dt AS DATE), 'exit_dt': CAST(exit_dt AS DATE), 'held': CAST(NULL AS {KEPT}), 'taken': CAST(NULL AS {TAKEN})}}"
+    first = f"{{'symbol': '', 'dt': CAST(NULL AS DATE), 'entry_dt': CAST(NULL AS DATE), 'exit_dt': CAST(NULL AS DATE), 'held': CAST([{start}] AS {KEPT}), 'taken': CAST([] AS {TAKEN})}}"
+    held = f"list_transform(s.held, lambda h, i: CASE WHEN {take} AND i = {FREE} THEN {{'symbol': t.symbol, 'until': t.exit_dt}} ELSE h END)"
+    taken = f"CASE WHEN {take} THEN list_append(s.taken, {{'symbol': t.symbol, 'dt': t.dt, 'slot': CAST({FREE} AS INTEGER)}}) ELSE s.taken END"
+    step = f"{{'symbol': t.symbol, 'dt': t.dt, 'entry_dt': t.entry_dt, 'exit_dt': t.exit_dt, 'held': {held}, 'taken': {taken}}}"
+    return f"""SELECT market, horizon, p.symbol, p.dt, p.slot FROM (SELECT market, horizon, unnest((list_reduce(todo, lambda s, t: {step}, {first})).taken) AS p FROM
+    (SELECT market, horizon, list({signal} ORDER BY entry_dt, dt, symbol, probability_up DESC, expected_return DESC) AS todo FROM records WHERE position <> 0 GROUP BY market, horizon))"""
+
+
+cte("picks_5", picks(5, 5), "records")
+cte("picks_3", picks(3, 3), "records")
+cte("picks_3_2", picks(3, 2), "records")
+cte(
+    "audit",
+    """SELECT a.market, a.horizon, a.symbol, a.dt, CASE WHEN p.slot IS NOT NULL THEN 'SELECTED' WHEN EXISTS (SELECT 1 FROM taken_3_2 h WHERE h.market = a.market AND h.horizon = a.horizon AND h.symbol = a.symbol AND h.dt < a.dt AND h.exit_dt >= a.entry_dt)
+    THEN 'SYMBOL_OVERLAP' ELSE 'GLOBAL_POSITION_CAP' END AS selection, p.slot FROM records a LEFT JOIN picks_3_2 p USING (market, horizon, symbol, dt) WHERE a.position <> 0""",
+    "records",
+    "taken_3_2",
+)
+cte("taken_3_2", "SELECT p.*, r.exit_dt FROM picks_3_2 p JOIN records r USING (market, horizon, symbol, dt)", "picks_3_2", "records")
 cte(
     "trades",
-    "SELECT symbol || '|' || CAST(dt AS VARCHAR) AS trade_id, market AS portfolio, r.*, CAST(slot AS INTEGER) AS slot FROM records r JOIN slots USING (symbol) WHERE horizon = 5 AND position <> 0 AND pos % 7 = 0",
+    "SELECT concat_ws('|', symbol, CAST(dt AS VARCHAR), CAST(horizon AS VARCHAR)) AS trade_id, market || '|' || CAST(horizon AS VARCHAR) AS portfolio, r.*, p.slot FROM records r JOIN picks_5 p USING (market, horizon, symbol, dt)",
     "records",
-    "slots",
+    "picks_5",
 )
 
+SLOTS = 5
+
 cte("b2", "SELECT * FROM bars WHERE symbol NOT LIKE '^%3' AND day(dt) <> 13", "bars")
 
 
-def slot_trades(spark, sf):
-    """Trades that can't overlap: every seventh session of a symbol, five sessions long, each symbol in a slot of its own."""
+def selected_trades(spark, sf):
+    """The trades that the greedy selection takes, each market and horizon a portfolio of SLOTS slots."""
     rows = records(spark, sf)
-    slots = rows.select("market", "symbol").distinct().withColumn("slot", F.dense_rank().over(Window.partitionBy("market").orderBy("symbol")))
-    rows = rows.join(slots.select("symbol", "slot"), "symbol").where("horizon = 5 AND position <> 0 AND pos % 7 = 0")
-    return rows.withColumns({"trade_id": F.concat_ws("|", "symbol", F.col("dt").cast("string")), "portfolio": F.col("market")})
+    audit = X.selection_audit(rows, ["market", "horizon"], SLOTS, also=rows.columns)
+    names = {"trade_id": F.concat_ws("|", "symbol", F.col("dt").cast("string"), F.col("horizon").cast("string")), "portfolio": F.concat_ws("|", "market", F.col("horizon").cast("string"))}
+    return audit.where("selection = 'SELECTED'").drop("selection").withColumns(names)
 
 
-@query()
+@query(sql("SELECT market, horizon, symbol, dt, selection, slot FROM audit", "audit"))
 def f01_selection_audit(spark, sf):
     return X.selection_audit(records(spark, sf), ["market", "horizon"], 3, 2).select("market", "horizon", "symbol", "dt", "selection", "slot")
 
 
-@query()
+@query(sql(f"SELECT market, horizon, symbol, dt, p.slot, {r6('ret', 'ret')} FROM picks_3 p JOIN records USING (market, horizon, symbol, dt)", "picks_3", "records"))
 def f02_selected_trades(spark, sf):
     audit = X.selection_audit(records(spark, sf), ["market", "horizon"], 3)
     return audit.where("selection = 'SELECTED'").select("market", "horizon", "symbol", "dt", "slot", R("ret").alias("ret"))
 
 
-@query()
+@query(sql("SELECT market, horizon, selection, count(*) AS n FROM audit GROUP BY ALL", "audit"))
 def a13_selection_counts(spark, sf):
     return X.selection_audit(records(spark, sf), ["market", "horizon"], 3, 2).groupBy("market", "horizon", "selection").agg(F.count("*").alias("n"))
 
@@ -61,7 +92,7 @@ def a13_selection_counts(spark, sf):
 )
 def j05_price_audit(spark, sf):
     bars = B.brand_bars(spark, sf).where("symbol NOT LIKE '^%3' AND dayofmonth(dt) <> 13")
-    trades = slot_trades(spark, sf).withColumn("entry_price", F.col("entry_price") * F.when(F.col("slot") == 2, 1.01).otherwise(1.0))
+    trades = selected_trades(spark, sf).withColumn("entry_price", F.col("entry_price") * F.when(F.col("slot") == 2, 1.01).otherwise(1.0))
     return X.price_issues(trades, bars)
 
 
@@ -80,21 +111,21 @@ def benchmarked(trades):
 
 @query(sql(f"SELECT trade_id, dt, {r6('position_return', 'position_return')}, {r6('long_return', 'long_return')}, entry, exit FROM paths", "paths"))
 def f03_j06_trade_paths(spark, sf):
-    p = X.trade_paths(slot_trades(spark, sf), B.brand_bars(spark, sf))
+    p = X.trade_paths(selected_trades(spark, sf), B.brand_bars(spark, sf))
     return p.select("trade_id", "dt", R("position_return").alias("position_return"), R("long_return").alias("long_return"), "entry", "exit")
 
 
 @query(sql(f"SELECT trade_id, dt, {r6('long_return', 'benchmark_return')} FROM bench_paths", "bench_paths"))
 def j07_benchmark_paths(spark, sf):
-    p = X.trade_paths(benchmarked(slot_trades(spark, sf)), B.brand_bars(spark, sf), "benchmark")
+    p = X.trade_paths(benchmarked(selected_trades(spark, sf)), B.brand_bars(spark, sf), "benchmark")
     return p.select("trade_id", "dt", R("long_return").alias("benchmark_return"))
 
 
 cte("spans", "SELECT portfolio, min(entry_dt) AS a, max(exit_dt) AS b FROM trades GROUP BY portfolio", "trades")
 cte(
     "curve_days",
-    """SELECT portfolio, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS dt FROM spans WHERE portfolio = 'CRYPTO' UNION ALL
-    SELECT DISTINCT portfolio, dt FROM bars JOIN (SELECT DISTINCT portfolio, symbol FROM trades) USING (symbol) JOIN spans USING (portfolio) WHERE portfolio <> 'CRYPTO' AND dt BETWEEN a AND b""",
+    """SELECT portfolio, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS dt FROM spans WHERE portfolio LIKE 'CRYPTO|%' UNION ALL
+    SELECT DISTINCT portfolio, dt FROM bars JOIN (SELECT DISTINCT portfolio, symbol FROM trades) USING (symbol) JOIN spans USING (portfolio) WHERE portfolio NOT LIKE 'CRYPTO|%' AND dt BETWEEN a AND b""",
     "spans",
     "bars",
     "trades",
@@ -103,7 +134,7 @@ cte(
 
 @query(sql("SELECT portfolio, dt FROM curve_days", "curve_days"))
 def o06_curve_calendar(spark, sf):
-    return X.curve_calendar(slot_trades(spark, sf), B.brand_bars(spark, sf))
+    return X.curve_calendar(selected_trades(spark, sf), B.brand_bars(spark, sf))
 
 
 LW = "(PARTITION BY portfolio, slot ORDER BY dt ROWS UNBOUNDED PRECEDING)"
@@ -122,7 +153,7 @@ cte("bench_ledger", ledger_sql("bench_paths", "long_return"), "bench_paths", "cu
 
 
 def ledgers(spark, sf, benchmark=False):
-    trades, bars = benchmarked(slot_trades(spark, sf)), B.brand_bars(spark, sf)
+    trades, bars = benchmarked(selected_trades(spark, sf)), B.brand_bars(spark, sf)
     paths = X.trade_paths(trades, bars, "benchmark" if benchmark else "symbol")
     return X.slot_ledger(trades, paths, X.curve_calendar(trades, bars), 5, "long_return" if benchmark else "position_return")
 
@@ -144,7 +175,7 @@ def f05_daily_curve(spark, sf):
 SUMMARY = {
     "total_return": "arg_max(equity, dt) - 1",
     "max_drawdown": "min(dd)",
-    "daily_sharpe": "avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(CASE WHEN portfolio = 'CRYPTO' THEN 365 ELSE 252 END)",
+    "daily_sharpe": "avg(daily_return) / nullif(stddev_samp(daily_return), 0) * sqrt(CASE WHEN portfolio LIKE 'CRYPTO|%' THEN 365 ELSE 252 END)",
     "exposure_days": "avg(CASE WHEN active_positions > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)",
     "avg_active_positions": "avg(active_positions)",
     "avg_gross_exposure": "avg(gross_exposure)",
@@ -161,7 +192,7 @@ TRADES = {
     "mean_return": "avg(ret)",
     "median_return": "quantile_cont(ret, 0.5)",
     "hit_rate": "avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)",
-    "profit_factor": "sum(ret) FILTER (ret > 0) / nullif(-sum(ret) FILTER (ret < 0), 0)",
+    "profit_factor": "coalesce(sum(ret) FILTER (ret > 0), 0) / nullif(-sum(ret) FILTER (ret < 0), 0)",
     "actual_up_rate": "avg(actual_up)",
     "execution_up_rate": "avg(execution_up)",
     "avg_probability": "avg(probability_up)",
@@ -171,7 +202,7 @@ TRADES = {
 
 @query(sql(f"SELECT portfolio, count(*) AS selected_trades, {', '.join(r6(e, n) for n, e in TRADES.items())} FROM trades GROUP BY portfolio", "trades"))
 def a11_trade_summary(spark, sf):
-    return rounded(X.trade_summary(slot_trades(spark, sf), ["portfolio"]), ["portfolio", "selected_trades"])
+    return rounded(X.trade_summary(selected_trades(spark, sf), ["portfolio"]), ["portfolio", "selected_trades"])
 
 
 @query(
@@ -183,7 +214,7 @@ def a11_trade_summary(spark, sf):
     )
 )
 def a12_group_summary(spark, sf):
-    return rounded(X.group_summary(records(spark, sf), slot_trades(spark, sf), ["symbol", "horizon"]), ["symbol", "horizon", "observations", "raw_signals", "selected_trades"])
+    return rounded(X.group_summary(records(spark, sf), selected_trades(spark, sf), ["symbol", "horizon"]), ["symbol", "horizon", "observations", "raw_signals", "selected_trades"])
 
 
 # calendars: the years of the tables
@@ -269,13 +300,13 @@ def k05_lifecycle(spark, sf):
 
 @query(
     sql(
-        """SELECT trade_id, (SELECT max(d) FROM (SELECT unnest(generate_series(entry_dt, entry_dt + 9, INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6 AND (SELECT count(*) FROM (SELECT unnest(generate_series(entry_dt + 1, d, INTERVAL 1 DAY)) AS e) WHERE isodow(e) < 6) = 5) AS planned_exit,
+        """SELECT trade_id, (SELECT max(d) FROM (SELECT unnest(generate_series(entry_dt, entry_dt + 35, INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6 AND (SELECT count(*) FROM (SELECT unnest(generate_series(entry_dt + 1, d, INTERVAL 1 DAY)) AS e) WHERE isodow(e) < 6) = horizon) AS planned_exit,
     CAST((SELECT count(*) FROM (SELECT unnest(generate_series(entry_dt + 1, exit_dt, INTERVAL 1 DAY)) AS e) WHERE isodow(e) < 6) AS INTEGER) AS elapsed FROM trades WHERE isodow(entry_dt) < 6""",
         "trades",
     )
 )
 def k07_business_progress(spark, sf):
-    rows = slot_trades(spark, sf).where(F.weekday("entry_dt") < 5)
+    rows = selected_trades(spark, sf).where(F.weekday("entry_dt") < 5)
     return C.business_progress(rows, F.col("exit_dt")).select("trade_id", "planned_exit", "elapsed")
 
 
