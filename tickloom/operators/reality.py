@@ -134,3 +134,37 @@ def group_summary(records: DataFrame, trades: DataFrame, by: list[str]) -> DataF
     """All groups of the records, those without a selected trade too."""
     raw = records.groupBy(*by).agg(F.count("*").alias("observations"), F.count_if(F.col("position") != 0).alias("raw_signals"))
     return raw.join(trade_summary(trades, by), by, "left").withColumn("selected_trades", F.coalesce("selected_trades", F.lit(0)))
+
+
+def curves(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
+    """Curves of the strategy, of the same trades held long, and of their benchmarks (column `benchmark` of trades), told apart by `series`."""
+    own, calendar = trade_paths(trades, bars), curve_calendar(trades, bars)
+    series = {
+        "strategy": slot_ledger(trades, own, calendar, slots),
+        "same_trades": slot_ledger(trades, own, calendar, slots, "long_return"),
+        "benchmark": slot_ledger(trades, trade_paths(trades, bars, "benchmark"), calendar, slots, "long_return"),
+    }
+    out = None
+    for name, curve in series.items():
+        curve = curve.withColumn("series", F.lit(name))
+        out = curve if out is None else out.unionByName(curve)
+    return out
+
+
+def portfolio_report(records: DataFrame, audit: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
+    """A row for each portfolio of the records, those without a selected trade too: signals, refusals, price issues, returns of trades and curves.
+
+    audit: the selection with trade_id, portfolio, benchmark and the records' columns. Without a trade, returns and drawdowns are 0 and rates null.
+    """
+    trades = audit.where("selection = 'SELECTED'")
+    counts = records.groupBy("portfolio").agg(F.count("*").alias("observations"), F.count_if(F.col("position") != 0).alias("raw_signals"))
+    refused = audit.groupBy("portfolio").agg(*[F.count_if(F.col("selection") == x).alias(x.lower()) for x in ("SYMBOL_OVERLAP", "GLOBAL_POSITION_CAP")])
+    issues = price_issues(trades, bars).join(trades.select("trade_id", "portfolio"), "trade_id").groupBy("portfolio").agg(F.count("*").alias("price_issues"))
+    w = Window.partitionBy("portfolio", "series").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    rows = curves(trades, bars, slots).withColumn("dd", F.col("equity") / F.max("equity").over(w) - 1)
+    totals = rows.groupBy("portfolio").pivot("series", ["strategy", "same_trades", "benchmark"]).agg((F.max_by("equity", "dt") - 1).alias("total_return"), F.min("dd").alias("max_drawdown"))
+    out = counts
+    for part in (refused, issues, trade_summary(trades, ["portfolio"]), totals):
+        out = out.join(part, "portfolio", "left")
+    zero = ["symbol_overlap", "global_position_cap", "price_issues", "selected_trades", "mean_return", "median_return", *[c for c in totals.columns if c != "portfolio"]]
+    return out.fillna(0, zero)

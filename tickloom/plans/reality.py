@@ -13,6 +13,7 @@ from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.plans.validation import records, rounded
 from tickloom.sources import bars as B
+from tickloom.sources.storage import stored
 
 # the greedy selection as a fold over a portfolio's signals in time order: who holds which slot until when, and what was taken
 FREE = "list_position(list_transform(s.held, lambda h: h.until < t.entry_dt), true)"
@@ -56,12 +57,19 @@ SLOTS = 5
 cte("b2", "SELECT * FROM bars WHERE symbol NOT LIKE '^%3' AND day(dt) <> 13", "bars")
 
 
+def portfolios(rows):
+    return rows.withColumn("portfolio", F.concat_ws("|", "market", F.col("horizon").cast("string")))
+
+
+def audited(spark, sf):
+    """The greedy selection of every active signal, each market and horizon a portfolio of SLOTS slots; written once, since its readers are many."""
+    rows = portfolios(records(spark, sf))
+    audit = X.selection_audit(rows, ["portfolio"], SLOTS, also=rows.columns)
+    return stored(audit.withColumn("trade_id", F.concat_ws("|", "symbol", F.col("dt").cast("string"), F.col("horizon").cast("string"))), "selection")
+
+
 def selected_trades(spark, sf):
-    """The trades that the greedy selection takes, each market and horizon a portfolio of SLOTS slots."""
-    rows = records(spark, sf)
-    audit = X.selection_audit(rows, ["market", "horizon"], SLOTS, also=rows.columns)
-    names = {"trade_id": F.concat_ws("|", "symbol", F.col("dt").cast("string"), F.col("horizon").cast("string")), "portfolio": F.concat_ws("|", "market", F.col("horizon").cast("string"))}
-    return audit.where("selection = 'SELECTED'").drop("selection").withColumns(names)
+    return audited(spark, sf).where("selection = 'SELECTED'").drop("selection")
 
 
 @query(sql("SELECT market, horizon, symbol, dt, selection, slot FROM audit", "audit"))
@@ -152,8 +160,8 @@ cte("ledger", ledger_sql("paths", "position_return"), "paths", "curve_days", "tr
 cte("bench_ledger", ledger_sql("bench_paths", "long_return"), "bench_paths", "curve_days", "trades")
 
 
-def ledgers(spark, sf, benchmark=False):
-    trades, bars = benchmarked(selected_trades(spark, sf)), B.brand_bars(spark, sf)
+def ledgers(spark, sf, benchmark=False, trades=None):
+    trades, bars = benchmarked(selected_trades(spark, sf) if trades is None else trades), B.brand_bars(spark, sf)
     paths = X.trade_paths(trades, bars, "benchmark" if benchmark else "symbol")
     return X.slot_ledger(trades, paths, X.curve_calendar(trades, bars), 5, "long_return" if benchmark else "position_return")
 
@@ -168,8 +176,9 @@ def f04_slot_ledger(spark, sf):
 
 @query(sql(f"SELECT portfolio, dt, {r6('l.equity', 'equity')}, {r6('b.equity', 'benchmark_equity')} FROM ledger l JOIN bench_ledger b USING (portfolio, dt)", "ledger", "bench_ledger"))
 def f05_daily_curve(spark, sf):
-    bench = ledgers(spark, sf, True).select("portfolio", "dt", R("equity").alias("benchmark_equity"))
-    return ledgers(spark, sf).select("portfolio", "dt", R("equity").alias("equity")).join(bench, ["portfolio", "dt"])
+    trades = selected_trades(spark, sf)
+    bench = ledgers(spark, sf, True, trades).select("portfolio", "dt", R("equity").alias("benchmark_equity"))
+    return ledgers(spark, sf, trades=trades).select("portfolio", "dt", R("equity").alias("equity")).join(bench, ["portfolio", "dt"])
 
 
 SUMMARY = {
@@ -217,6 +226,48 @@ def a12_group_summary(spark, sf):
     return rounded(X.group_summary(records(spark, sf), selected_trades(spark, sf), ["symbol", "horizon"]), ["symbol", "horizon", "observations", "raw_signals", "selected_trades"])
 
 
+cte("same_ledger", ledger_sql("paths", "long_return"), "paths", "curve_days", "trades")
+CURVES = {"strategy": "ledger", "same_trades": "same_ledger", "benchmark": "bench_ledger"}
+cte("all_records", "SELECT market || '|' || CAST(horizon AS VARCHAR) AS portfolio, * FROM records", "records")
+cte(
+    "refusals",
+    """SELECT a.portfolio, count(*) FILTER (EXISTS (SELECT 1 FROM trades h WHERE h.portfolio = a.portfolio AND h.symbol = a.symbol AND h.dt < a.dt AND h.exit_dt >= a.entry_dt)) AS symbol_overlap, count(*) AS refused
+    FROM all_records a WHERE a.position <> 0 AND NOT EXISTS (SELECT 1 FROM trades t WHERE t.portfolio = a.portfolio AND t.symbol = a.symbol AND t.dt = a.dt) GROUP BY a.portfolio""",
+    "all_records",
+    "trades",
+)
+cte(
+    "bad_prices",
+    """SELECT portfolio, count(*) AS price_issues FROM (SELECT portfolio, symbol, entry_dt AS dt, entry_price AS expected FROM trades UNION ALL SELECT portfolio, symbol, exit_dt, exit_price FROM trades) e
+    LEFT JOIN bars b USING (symbol, dt) WHERE b.open IS NULL OR abs(expected - b.open) > greatest(1e-8, abs(expected) * 2 / 10000) GROUP BY portfolio""",
+    "trades",
+    "bars",
+)
+for _name, _curve in CURVES.items():
+    cte(f"{_name}_totals", f"SELECT portfolio, arg_max(equity, dt) - 1 AS total_return, min(dd) AS max_drawdown FROM (SELECT *, equity / max(equity) OVER (PARTITION BY portfolio ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM {_curve}) GROUP BY portfolio", _curve)
+cte("trade_stats", f"SELECT portfolio, count(*) AS selected_trades, {', '.join(f'{e} AS {n}' for n, e in TRADES.items())} FROM trades GROUP BY portfolio", "trades")
+RATES = [n for n in TRADES if n not in ("mean_return", "median_return")]
+TOTALS = ", ".join(f"{r6(f'coalesce({n}_totals.{c}, 0)', f'{n}_{c}')}" for n in CURVES for c in ("total_return", "max_drawdown"))
+
+
+@query(
+    sql(
+        f"""SELECT portfolio, observations, raw_signals, coalesce(symbol_overlap, 0) AS symbol_overlap, coalesce(refused - symbol_overlap, 0) AS global_position_cap, coalesce(price_issues, 0) AS price_issues, coalesce(selected_trades, 0) AS selected_trades,
+    {r6('coalesce(mean_return, 0)', 'mean_return')}, {r6('coalesce(median_return, 0)', 'median_return')}, {', '.join(r6(n, n) for n in RATES)}, {TOTALS}
+    FROM (SELECT portfolio, count(*) AS observations, count(*) FILTER (position <> 0) AS raw_signals FROM all_records GROUP BY portfolio) LEFT JOIN refusals USING (portfolio) LEFT JOIN bad_prices USING (portfolio) LEFT JOIN trade_stats USING (portfolio)
+    {' '.join(f'LEFT JOIN {n}_totals USING (portfolio)' for n in CURVES)}""",
+        "all_records",
+        "refusals",
+        "bad_prices",
+        "trade_stats",
+        *[f"{n}_totals" for n in CURVES],
+    )
+)
+def f08_reality_report(spark, sf):
+    report = X.portfolio_report(portfolios(records(spark, sf)), benchmarked(audited(spark, sf)), B.brand_bars(spark, sf), SLOTS)
+    return rounded(report, ["portfolio", "observations", "raw_signals", "symbol_overlap", "global_position_cap", "price_issues", "selected_trades"])
+
+
 # calendars: the years of the tables
 
 YEARS = "(SELECT unnest(generate_series(1990, 2032)) AS y)"
