@@ -5,6 +5,7 @@ from __future__ import annotations
 from tickloom.llm.decontamination import op6_decontamination
 from tickloom.llm.language_id import op2_language_id
 from tickloom.llm.main_text import op3_main_text
+from tickloom.llm.mixing import op12_mixing
 from tickloom.llm.near_dedup import op8_near_dedup
 from tickloom.llm.nearest import op4_nearest
 from tickloom.llm.packing import op9_packing
@@ -18,6 +19,7 @@ def queries():
     found = [
         op1_toxicity, op2_language_id, op3_main_text, op4_nearest, op5_substring_dedup,
         op6_decontamination, op7_token_counts, op8_near_dedup, op9_packing, op10_sharding,
+        op12_mixing,
     ]
     return {f.__name__: f for f in found}
 
