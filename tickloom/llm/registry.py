@@ -1,40 +1,29 @@
-"""The registered queries of the training-data operators and the SQL equivalents of those that SQL can express."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
+from tickloom.llm.conversations import op13_conversations
 from tickloom.llm.decontamination import op6_decontamination
 from tickloom.llm.language_id import op2_language_id
+from tickloom.llm.lexical import op11_lexical
 from tickloom.llm.main_text import op3_main_text
 from tickloom.llm.mixing import op12_mixing
 from tickloom.llm.near_dedup import op8_near_dedup
 from tickloom.llm.nearest import op4_nearest
+from tickloom.llm.oracles import oracle_sql
 from tickloom.llm.packing import op9_packing
 from tickloom.llm.sharding import op10_sharding
 from tickloom.llm.substring_dedup import op5_substring_dedup
 from tickloom.llm.token_counts import op7_token_counts
 from tickloom.llm.toxicity import op1_toxicity
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def queries():
     found = [
         op1_toxicity, op2_language_id, op3_main_text, op4_nearest, op5_substring_dedup,
         op6_decontamination, op7_token_counts, op8_near_dedup, op9_packing, op10_sharding,
-        op12_mixing,
+        op11_lexical, op12_mixing, op13_conversations,
     ]
     return {f.__name__: f for f in found}
-
-
-#: All pairs of documents, compared outright: for small tables only.
-NEAR_DUPLICATES = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
-s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) < 2 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
-both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, b.b FROM r JOIN both_ways b ON b.a = r.seen),
-least_seen AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN least_seen ON node = d.doc_id"""
-
-
-def oracle_sql():
-    return {"op8_near_dedup": NEAR_DUPLICATES}

@@ -110,3 +110,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
                     yield part, [t or "" for t in part.column(text).to_pylist()]
                 low, held = i, 0
             held += n + 64
+
+
+def item_blocks(items: DataFrame, words: int) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of items (item_id, text) in order, in blocks of about `words` words; null texts are left out; the driver holds one block."""
+    ids, texts, held = [], [], 0
+    for r in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
+        ids.append(r["item_id"])
+        texts.append(r["text"])
+        held += len(r["text"].split())
+        if held >= words:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts

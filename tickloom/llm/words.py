@@ -12,6 +12,8 @@ import numpy as np
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that make up words.
+SOLID = ~_SPACE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Odd multipliers of the mixing function.
@@ -51,12 +53,13 @@ class Words:
         return np.repeat(np.arange(self.texts()), np.diff(self.ptr))
 
 
-def words_of(texts: list[str]) -> Words:
+def words_of(texts: list[str], inside: np.ndarray = SOLID) -> Words:
+    """The maximal runs of bytes that are `inside`, a table by byte value; byte 10 is never one of them."""
     global _powers
     parts = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = b"\n".join(parts) + b"\n"
     raw = np.frombuffer(data, np.uint8)
-    solid = ~_SPACE[raw]
+    solid = inside[raw]
     edge = np.flatnonzero(np.diff(solid.view(np.int8), prepend=np.int8(0)))
     starts, ends = edge[0::2], edge[1::2]
     sizes = ends - starts
