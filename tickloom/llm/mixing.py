@@ -8,8 +8,8 @@ Documents: a source whose target is at least its size takes every document once;
 one more copy. Each document has a place on a line of hashes. Words are summed by source and hash bucket; the bucket in which a
 running sum passes the budget is cut into buckets again, and so on until it holds one document: all documents before it are
 taken. That threshold leaves a rest smaller than one document, which is the budget of the next threshold, further along the line and for
-documents that fit into the rest only. When no document fits any more, the smallest one left is taken too if that brings the source nearer to
-its target. Thresholds are nested: one round's lies past that of the round before, and the filter at the end is a comparison of each document with
+documents that fit into the rest only. When no document fits any more, the smallest one left is taken too, alone or in exchange for the document
+that best makes up for it, if that brings the source nearer to its target. Thresholds are nested: one round's lies past that of the round before, and the filter at the end is a comparison of each document with
 the few thresholds of its source; nothing is sorted, and no task holds a source.
 
 The table of sources (one row each) is the one thing that a single task sees.
@@ -102,8 +102,9 @@ def _refined(places: DataFrame, open_: DataFrame, level: int) -> DataFrame:
 
 
 def thresholds(places: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataFrame:
-    """source, cuts: array of (low_h, low_g, h, g, most): a place is taken if it lies past low, before (h, g) and its size is at most `most`.
+    """source, cuts: array of (low_h, low_g, h, g, most), without: (h, g) or null.
 
+    A place is taken if it lies past a cut's low, before its (h, g), its size is at most `most`, and it isn't `without`.
     places: source, h, g, size; budgets: source, left and slack (numbers of words: the budget, and a rest that is small enough).
     Each job sends one row a source and bucket, and reads the staged places.
     """
@@ -122,19 +123,23 @@ def thresholds(places: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataF
                 break
         done = done.unionByName(open_)
         rounds.append(done.select("source", F.struct("low_h", "low_g", F.col("h_from").alias("h"), F.col("g_from").alias("g"), "most").alias("cut")))
-        rests.append(done.select("source", "left"))
+        rests.append(done.select("source", "left", "slack"))
         open_ = done.where("n > 0 AND left > slack").select("source", "slack", F.col("h_to").alias("low_h"), F.col("g_to").alias("low_g"), F.col("left").alias("most"), "left", *line)
         if open_.isEmpty():
             break
     all_cuts = reduce(DataFrame.unionByName, rounds).groupBy("source").agg(F.collect_list("cut").alias("cuts"))
-    rest = reduce(DataFrame.unionByName, rests).groupBy(F.col("source").alias("__rest")).agg(F.min("left").alias("left"))
+    rest = reduce(DataFrame.unionByName, rests).groupBy(F.col("source").alias("__rest")).agg(F.min("left").alias("left"), F.first("slack").alias("slack"))
     cuts = scratch.stage(all_cuts.join(rest, F.col("source").eqNullSafe(F.col("__rest"))).drop("__rest"), "threshold").withColumnRenamed("source", "__at")
-    met = places.join(cuts, F.col("source").eqNullSafe(F.col("__at"))).where((F.col("size") > 0) & ~F.exists("cuts", _takes))
-    smallest = met.groupBy("__at").agg(F.min(F.struct("size", "h", "g")).alias("x"), F.first("left").alias("left")).where("x.size - left < left")
+    met = places.join(cuts.where("left > slack"), F.col("source").eqNullSafe(F.col("__at"))).withColumn("has", F.exists("cuts", _takes)).where("size > 0")
+    smallest = met.where("NOT has").groupBy(F.col("__at").alias("__extra")).agg(F.min(F.struct("size", "h", "g")).alias("x"))
+    off = F.abs(F.col("left") - F.col("x.size") + F.col("size")).alias("off")
+    exchange = met.join(smallest, F.col("__at").eqNullSafe(F.col("__extra"))).groupBy("__extra").agg(F.first("x").alias("x"), F.first("left").alias("left"), F.min(F.when(F.col("has"), F.struct(off, "h", "g"))).alias("y"))
+    alone, least = F.col("x.size") - F.col("left"), F.coalesce(F.col("y.off"), F.col("left"))
     one = F.struct(F.col("x.h").alias("low_h"), (F.col("x.g") - 1).alias("low_g"), F.col("x.h").alias("h"), (F.col("x.g") + 1).alias("g"), F.col("x.size").alias("most"))
-    extra = smallest.select(F.col("__at").alias("__extra"), one.alias("one"))
+    swap = least < F.least(alone, F.col("left"))
+    extra = exchange.where(swap | (alone < F.col("left"))).select("__extra", one.alias("one"), F.when(swap, F.struct("y.h", "y.g")).alias("without"))
     cuts = cuts.join(extra, F.col("__at").eqNullSafe(F.col("__extra")), "left")
-    return cuts.select(F.col("__at").alias("source"), F.when(F.col("one").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array("one"))).alias("cuts"))
+    return cuts.select(F.col("__at").alias("source"), F.when(F.col("one").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array("one"))).alias("cuts"), "without")
 
 
 def _takes(cut: Column) -> Column:
@@ -155,8 +160,9 @@ def mix(docs: DataFrame, share: float = SHARE, most: int = MOST_COPIES, weights:
     sources = scratch.stage(sources.withColumn("full", full).withColumns({"left": left.cast("long"), "slack": slack.cast("long")}), "sources")
     cuts = scratch.stage(thresholds(places, sources.where(f"full < {most}").select("source", "left", "slack"), scratch), "cuts")
     scratch.drop("threshold")
-    known = sources.join(cuts.withColumnRenamed("source", "__at"), F.col("source").eqNullSafe(F.col("__at")), "left").select(F.col("source").alias("__source"), "source_size", "target", "full", "cuts")
-    once_more = F.when((F.col("size") > 0) & F.coalesce(F.exists("cuts", _takes), F.lit(False)), 1).otherwise(0)
+    known = sources.join(cuts.withColumnRenamed("source", "__at"), F.col("source").eqNullSafe(F.col("__at")), "left").select(F.col("source").alias("__source"), "source_size", "target", "full", "cuts", "without")
+    given_up = F.coalesce((F.col("h") == F.col("without.h")) & (F.col("g") == F.col("without.g")), F.lit(False))
+    once_more = F.when((F.col("size") > 0) & ~given_up & F.coalesce(F.exists("cuts", _takes), F.lit(False)), 1).otherwise(0)
     met = places.join(known, F.col("source").eqNullSafe(F.col("__source")))
     met = met.withColumn("copies", F.least(F.col("full") + once_more, F.lit(most)))
     return met.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
