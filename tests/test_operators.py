@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rules
 from tickloom.operators import calendars, features, labels, ledger, models, radar, reality
+from tickloom.operators import portfolio as P
 from tickloom.operators import validation as V
 
 D = dt.date
@@ -72,12 +73,6 @@ def test_label_and_execution_part(spark):
     assert r.actual_up == 1 and r.forward_return > 0 and r.execution_return < 0 and (r.entry_price, r.exit_price) == (100, 90)
 
 
-def test_greedy_selection():
-    rows = pd.DataFrame({"symbol": ["AAA", "BBB", "AAA", "AAA"], "entry_dt": [D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 10), D(2024, 2, 5)], "exit_dt": [D(2024, 1, 30), D(2024, 1, 31), D(2024, 2, 7), D(2024, 3, 4)]})
-    assert reality.greedy_selection(rows, 5, None)["selection"].tolist() == ["SELECTED", "SELECTED", "SYMBOL_OVERLAP", "SELECTED"]
-    assert reality.greedy_selection(rows, 5, 1)["selection"].tolist() == ["SELECTED", "GLOBAL_POSITION_CAP", "SYMBOL_OVERLAP", "SELECTED"]
-
-
 def curve(spark, opens, trades, slots, cost):
     quotes = spark.createDataFrame([(s, d, o) for s, values in opens.items() for d, o in values], "symbol string, dt date, open double")
     rows = [(f"t{i}", "US", s, i + 1, a, b, 1, cost, "US") for i, (s, a, b) in enumerate(trades)]
@@ -86,11 +81,13 @@ def curve(spark, opens, trades, slots, cost):
 
 
 def test_slot_ledger(spark):
-    a, b, c = D(2024, 1, 2), D(2024, 1, 3), D(2024, 1, 4)
-    got = curve(spark, {"AAA": [(a, 100.0), (b, 110.0), (c, 121.0)], "BBB": [(b, 50.0), (c, 45.0)]}, [("AAA", a, c), ("BBB", b, c)], 2, 0.01)
-    assert [round(r.equity, 6) for r in got][0] == 0.995 and round(got[0].gross_exposure, 6) == round(0.495 / 0.995, 6)
-    one = curve(spark, {"AAA": [(a, 100.0), (b, 110.0), (c, 121.0)]}, [("AAA", a, c)], 5, 0.0)
-    assert abs(one[-1].equity - (0.8 + 0.2 * 1.21)) < 1e-9 and abs(max(r.gross_exposure for r in one) - 0.22 / 1.02) < 1e-9
+    """Three slots of a third each: one grows for two sessions, one loses after its cost, one stays cash."""
+    d = days(D(2023, 5, 1), 4)
+    opens = {"QQ": [(d[0], 40.0), (d[1], 44.0), (d[2], 55.0)], "RR": [(d[1], 8.0), (d[2], 6.0), (d[3], 6.0)]}
+    got = curve(spark, opens, [("QQ", d[0], d[2]), ("RR", d[1], d[2])], 3, 0.02)
+    first, last = 0.98 / 3, 0.98 * 1.1 * 1.25 / 3
+    assert abs(got[0].equity - (first + 2 / 3)) < 1e-12 and abs(got[0].gross_exposure - first / (first + 2 / 3)) < 1e-12
+    assert abs(got[-1].equity - (last + 0.98 * 0.75 / 3 + 1 / 3)) < 1e-12 and [r.active_positions for r in got] == [1, 2, 0]
 
 
 def test_session_calendar_has_no_weekend(spark):
@@ -139,13 +136,16 @@ def test_ledger_execution(spark):
     assert late.status == "closed" and late.entry_date == D(2026, 1, 13)
 
 
-def test_slot_priority():
-    used, said = set(), []
-    for s in ("AAA", "BBB", "CCC", "DDD", "EEE", "FFF"):
-        reason, slot = ledger.portfolio_gate({"symbol": s}, set(), set(), used, 5, 0)
-        said.append((reason, slot))
-        used |= {slot} if slot else set()
-    assert said == [("ACCEPTED", i) for i in range(1, 6)] + [("NO_FREE_SLOT", None)]
+def test_slots_are_given_from_the_lowest():
+    book = P.GateBook(3, 0)
+    monday, tuesday, wednesday = 1, 2, 3
+    assert [book.decide(s, monday, u) for s, u in (("C", tuesday), ("A", wednesday), ("D", None))] == [("ACCEPTED", 1), ("ACCEPTED", 2), ("ACCEPTED", 3)]
+    assert book.decide("E", monday, None) == ("NO_FREE_SLOT", None) and book.decide("A", monday, None) == ("SYMBOL_OPEN", None)
+    assert book.decide("B", tuesday, wednesday) == ("ACCEPTED", 1)  # C is over
+    assert book.decide("C", tuesday, wednesday) == ("SAME_DAY_REENTRY", None) and book.decide("C", wednesday, None) == ("ACCEPTED", 1)
+    assert P.GateBook(3, 1).decide("A", monday, None) == ("ACCEPTED", 1)
+    full = P.GateBook(3, 1, {"A": (None, 2)})
+    assert full.decide("B", monday, None) == ("MAX_POSITIONS", None)
 
 
 def test_tampering_is_found(spark):

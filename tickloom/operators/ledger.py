@@ -8,11 +8,13 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
+from tickloom.operators import portfolio as P
 from tickloom.operators.validation import profit_factor
+from tickloom.sources.storage import stored
 
 COST = 0.0015
 
@@ -159,39 +161,22 @@ def paper_portfolio(rows: DataFrame, by: str, capital: float = 10_000.0, fractio
     return rows.withColumns({"pnl": F.col("capital") - before, "drawdown": F.col("capital") / F.greatest(F.max("capital").over(w), F.lit(capital)) - 1})
 
 
-def portfolio_gate(signal: dict, open_symbols: set, closed_today: set, used: set, slots: int, most: int) -> tuple[str, int | None]:
-    """One signal of one portfolio: same-day re-entry, open symbol, free slot, cap, in this order."""
-    if signal["symbol"] in closed_today:
-        return "SAME_DAY_REENTRY", None
-    if signal["symbol"] in open_symbols:
-        return "SYMBOL_OPEN", None
-    free = next((s for s in range(1, slots + 1) if s not in used), None)
-    if free is None:
-        return "NO_FREE_SLOT", None
-    if most and len(open_symbols) >= most:
-        return "MAX_POSITIONS", None
-    return "ACCEPTED", free
-
-
 def gate_portfolios(trades: DataFrame, slots: int = 5, most: int = 5) -> DataFrame:
-    """The gate over each portfolio's signals in order; exits free their slots before a day's signals are looked at."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["signal_date", "symbol", "signal_id"], kind="stable")
-        open_: dict[str, tuple] = {}
-        said, taken = [], []
-        for s in pdf.to_dict("records"):
-            closed = {k for k, (exit_, _) in open_.items() if exit_ is not None and exit_ == s["signal_date"]}
-            open_ = {k: v for k, v in open_.items() if v[0] is None or v[0] > s["signal_date"]}
-            reason, slot = portfolio_gate(s, set(open_), closed, {v[1] for v in open_.values()}, slots, most)
-            if slot:
-                open_[s["symbol"]] = (None if pd.isna(s["exit_date"]) else s["exit_date"], slot)
-            said.append(reason)
-            taken.append(slot)
-        return pdf.assign(decision=said, slot=pd.array(taken, dtype="Int32"))
+    """The gate over each portfolio's signals in order of day, symbol and id: same-day re-entry, open symbol, free slot, cap, in this order.
 
+    A position's exit frees its slot before the day's signals are looked at, but its symbol waits for the next day. The walk sees a few signals a day.
+    """
     rows = trades.select("ledger_id", "signal_id", "symbol", "signal_date", "exit_date")
-    return rows.groupBy("ledger_id").applyInPandas(run, "ledger_id string, signal_id string, symbol string, signal_date date, exit_date date, decision string, slot int")
+    signals, place = P.placed(rows, [F.col("symbol"), F.col("signal_id")], "signals")
+    few = P.day_candidates(signals, ["ledger_id"], "signal_date", place, 3 * slots, F.col("exit_date") <= F.col("signal_date"))
+    taken = stored(P.walked(few, ["ledger_id"], "signal_date", "exit_date", place, lambda pdf: P.gate_slots(pdf, slots, most, "signal_date", "exit_date")), "taken")
+    full = "MAX_POSITIONS" if most and most < slots else "NO_FREE_SLOT"
+
+    def said(slot: Column, until: Column) -> Column:
+        return F.when(slot.isNotNull(), "ACCEPTED").when(until == F.col("signal_date"), "SAME_DAY_REENTRY").when(until.isNotNull(), "SYMBOL_OPEN").otherwise(full)
+
+    out = P.explained(signals, taken, ["ledger_id"], "signal_date", "exit_date", place, said)
+    return out.select("ledger_id", "signal_id", "symbol", "signal_date", "exit_date", F.col("said").alias("decision"), "slot")
 
 
 def staleness(snapshots: DataFrame, now, hours: float, schema_version: int = 8, horizons: int = 3) -> DataFrame:

@@ -2,53 +2,38 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import ratio
+from tickloom.operators import portfolio as P
+from tickloom.operators.validation import profit_factor, with_median
+from tickloom.sources.storage import stored
 
 
-def greedy_selection(rows: pd.DataFrame, slots: int, most: int | None, reentry: bool = False, one_per_symbol: bool = True) -> pd.DataFrame:
-    """One portfolio in time order; a refused signal holds nothing. Slots count from 1, the lowest free one is taken."""
-    cap = slots if most is None else max(0, min(most, slots))
-    held: dict[int, tuple] = {}  # slot: (symbol, exit)
-    last: dict = {}
-    state, taken = [], []
-    for symbol, entry, exit_ in zip(rows["symbol"], rows["entry_dt"], rows["exit_dt"], strict=True):
-
-        def over(e, entry=entry):
-            return e <= entry if reentry else e < entry
-
-        held = {s: x for s, x in held.items() if not over(x[1])}
-        slot = None
-        if one_per_symbol and symbol in last and not over(last[symbol]):
-            said = "SYMBOL_OVERLAP"
-        elif len(held) >= cap:
-            said = "GLOBAL_POSITION_CAP"
-        elif not (free := [s for s in range(1, slots + 1) if s not in held]):
-            said = "NO_FREE_SLOT"
-        else:
-            said, slot = "SELECTED", free[0]
-            held[slot] = (symbol, exit_)
-            last[symbol] = exit_
-        state.append(said)
-        taken.append(slot)
-    return rows.assign(selection=state, slot=pd.array(taken, dtype="Int32"))
-
-
-def selection_audit(rows: DataFrame, portfolio: list[str], slots: int = 5, most: int | None = None, also: list[str] = ()) -> DataFrame:
-    """Active signals of each portfolio with selection and slot, and the columns `also`; a portfolio is one configuration's signals, in one task."""
+def selection_audit(rows: DataFrame, portfolio: list[str], slots: int = 5, most: int | None = None, also: list[str] = (), reentry: bool = False, one_per_symbol: bool = True) -> DataFrame:
+    """Active signals of each portfolio, taken in time order while a slot is free: selection and slot of each, and the columns `also`.
+
+    Slots count from 1, the lowest free one is taken; a refused signal holds nothing. The walk sees a few signals a day, see operators/portfolio.
+    """
     keep = [*dict.fromkeys([*portfolio, *also, "symbol", "horizon", "dt", "entry_dt", "exit_dt", "probability_up", "expected_return", "position", "ret"])]
-    active = rows.where("position <> 0").select(*keep)
-    schema = ", ".join(f"{c} {active.schema[c].dataType.simpleString()}" for c in keep) + ", selection string, slot int"
+    last = F.lit(float("inf"))
+    order = [F.col("dt"), F.col("symbol"), F.col("horizon"), F.coalesce(-F.col("probability_up"), last), F.coalesce(-F.col("expected_return"), last)]
+    signals, place = P.placed(rows.where("position <> 0").select(*keep), order, "signals")
+    cap = slots if most is None else max(0, min(most, slots))
+    brief = F.col("exit_dt") <= F.col("entry_dt") if reentry else F.col("exit_dt") < F.col("entry_dt")
+    # without the rule of one position a symbol, each signal stands for itself
+    alone = signals if one_per_symbol else signals.withColumns({"__symbol": F.col("symbol"), "symbol": F.col("__row_id").cast("string")})
+    few = P.day_candidates(alone, portfolio, "entry_dt", place, 2 * slots, brief)
+    few = few if one_per_symbol else few.withColumn("symbol", F.col("__symbol")).drop("__symbol")
+    taken = stored(P.walked(few, portfolio, "entry_dt", "exit_dt", place, lambda pdf: P.take_slots(pdf, slots, cap, "entry_dt", "exit_dt", reentry, one_per_symbol)), "taken")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = ["entry_dt", "dt", "symbol", "horizon", "probability_up", "expected_return"]
-        pdf = pdf.sort_values(order, ascending=[True, True, True, True, False, False], kind="stable")
-        return greedy_selection(pdf, slots, most)
+    def said(slot: Column, until: Column) -> Column:
+        overlap = (until > F.col("entry_dt") if reentry else until.isNotNull()) & F.lit(one_per_symbol)
+        return F.when(slot.isNotNull(), "SELECTED").when(overlap, "SYMBOL_OVERLAP").otherwise("GLOBAL_POSITION_CAP")
 
-    return active.groupBy(*portfolio).applyInPandas(run, schema)
+    out = P.explained(signals, taken, portfolio, "entry_dt", "exit_dt", place, said)
+    return out.select(*keep, F.col("said").alias("selection"), "slot")
 
 
 def price_issues(trades: DataFrame, bars: DataFrame, tolerance_bps: float = 2.0) -> DataFrame:
@@ -121,13 +106,12 @@ def curve_summary(curve: DataFrame) -> DataFrame:
 
 
 def trade_summary(trades: DataFrame, by: list[str]) -> DataFrame:
-    from tickloom.operators.validation import profit_factor
-
-    x = F.col("ret")
-    return trades.groupBy(*by).agg(
-        F.count("*").alias("selected_trades"), F.avg(x).alias("mean_return"), F.percentile(x, F.lit(0.5)).alias("median_return"), F.avg((x > 0).cast("double")).alias("hit_rate"),
+    trades, x = stored(trades, "trades"), F.col("ret")
+    report = trades.groupBy(*by).agg(
+        F.count("*").alias("selected_trades"), F.avg(x).alias("mean_return"), F.avg((x > 0).cast("double")).alias("hit_rate"),
         profit_factor(x).alias("profit_factor"), F.avg("actual_up").alias("actual_up_rate"), F.avg("execution_up").alias("execution_up_rate"), F.avg("probability_up").alias("avg_probability"), F.avg("expected_return").alias("avg_expected_return"),
     )
+    return with_median(report, trades, by)
 
 
 def group_summary(records: DataFrame, trades: DataFrame, by: list[str]) -> DataFrame:

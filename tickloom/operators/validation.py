@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rules
 from tickloom.functions.columns import clip, ratio, series
+from tickloom.operators.quantiles import exact_quantile, grouping_rows, same_keys
 from tickloom.sources.storage import stored
 
 HORIZONS = (1, 5, 20)
@@ -25,9 +26,12 @@ FIRST, WINDOW, FOLD_ROWS = 300, 250, 90
 
 def _forecasts(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Trailing one-factor forecasts with the executions of the same rows; at each row only labels that are known there take
-    part, by row position. All windows are of one symbol in time order: one shuffle and one sort serve forecasts and executions."""
+    part, by row position. All windows are of one symbol in time order: one shuffle and one sort serve forecasts and executions.
+
+    The moments of the last WINDOW rows are differences of running sums, so that a row costs the same however long the window is;
+    values are taken from the symbol's first one, and returns are small: the sums lose few digits."""
     by = series("symbol")
-    frame = by.rowsBetween(-(WINDOW - 1), 0)
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.withColumns({"pos": F.row_number().over(by), "x": F.log(F.col("close") / F.lag("close", 20).over(by)), "entry_dt": F.lead("dt", 1).over(by), "entry_price": F.lead("open", 1).over(by)})
     rows = rows.withColumns(
         {
@@ -42,10 +46,19 @@ def _forecasts(bars: DataFrame, horizons=HORIZONS) -> DataFrame:
             }.items()
         }
     )
-    fits = {}
+    sums = {}
     for h in horizons:
         px, py = F.col(f"px_{h}"), F.col(f"py_{h}")
-        fits |= {f"slope_{h}": F.regr_slope(py, px).over(frame), f"mean_x_{h}": F.avg(px).over(frame), f"mean_y_{h}": F.avg(F.when(px.isNotNull(), py)).over(frame), f"std_y_{h}": F.stddev_samp(py).over(frame)}
+        both = px.isNotNull() & py.isNotNull()
+        parts = {"n": both.cast("int"), "x": F.when(both, px), "y": F.when(both, py), "xx": F.when(both, px * px), "xy": F.when(both, px * py), "m": py.isNotNull().cast("int"), "s": py, "ss": py * py}
+        sums |= {f"s_{name}_{h}": F.coalesce(F.sum(value).over(running), F.lit(0)) for name, value in parts.items()}
+    rows = rows.withColumns(sums)
+    rows = rows.withColumns({f"w_{c}": F.col(c) - F.coalesce(F.lag(c, WINDOW).over(by), F.lit(0)) for c in sums})
+    fits = {}
+    for h in horizons:
+        n, x, y, xx, xy, m, s, ss = (F.col(f"w_s_{name}_{h}") for name in ("n", "x", "y", "xx", "xy", "m", "s", "ss"))
+        fits |= {f"slope_{h}": ratio(n * xy - x * y, n * xx - x * x), f"mean_x_{h}": ratio(x, n.cast("double")), f"mean_y_{h}": ratio(y, n.cast("double"))}
+        fits[f"std_y_{h}"] = F.when(m > 1, F.sqrt(F.greatest(ss - s * s / m, F.lit(0.0)) / (m - 1)))
     rows = rows.withColumns(fits).where(F.col("pos") >= FIRST)
     names = ("slope", "mean_x", "mean_y", "std_y", "exit_dt", "exit_price", "forward")
     each = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{n}_{h}").alias(n) for n in names]) for h in horizons])
@@ -122,6 +135,7 @@ def profit_factor(x: Column, none_lost: Column | None = None) -> Column:
 
 
 def measures() -> list[Column]:
+    """What adds up; the median of `ret` is a selection of its own."""
     x = active()
     p = clip("probability_up", 1e-4, 1 - 1e-4)
     return [
@@ -129,7 +143,6 @@ def measures() -> list[Column]:
         F.count(x).alias("trades"),
         F.count_if(F.col("position") == 0).alias("rejected"),
         F.avg(x).alias("mean_return"),
-        F.percentile(x, F.lit(0.5)).alias("median_return"),
         profit_factor(x, F.lit(float("inf"))).alias("profit_factor"),
         F.avg((x > 0).cast("double")).alias("hit_rate"),
         F.avg(F.pow(F.col("actual_up") - p, 2)).alias("brier"),
@@ -140,11 +153,23 @@ def measures() -> list[Column]:
     ]
 
 
+def with_median(report: DataFrame, rows: DataFrame, by: list[str], value: str = "ret") -> DataFrame:
+    """report, a row for each group, with the median of `value` over rows; rows is a stored table."""
+    medians = exact_quantile(rows, by, value, name="median_return").withColumnsRenamed({k: f"__m{i}" for i, k in enumerate(by)})
+    return report.join(medians, same_keys(by, "__m"), "left").drop(*[f"__m{i}" for i in range(len(by))])
+
+
+def trade_aggregate(rows: DataFrame) -> DataFrame:
+    rows = stored(rows, "records")  # read once a pass of the median
+    return with_median(rows.agg(*measures()), rows.where(ACTIVE), [])
+
+
 def group_report(rows: DataFrame, sets: list[list[str]], keys: list[str]) -> DataFrame:
-    """The measures for several groupings in one pass; level tells the grouping, bit by bit over keys."""
-    cols = [F.col(k) for k in keys]
-    grouped = rows.groupingSets([[F.col(k) for k in s] for s in sets], *cols)
-    return grouped.agg(F.grouping_id().alias("level"), *measures())
+    """The measures for several groupings in one pass, medians by selection; level tells the grouping, bit by bit over keys."""
+    rows = stored(rows, "records")
+    grouped = rows.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys])
+    report = grouped.agg(F.grouping_id().alias("level"), *measures())
+    return with_median(report, grouping_rows(rows.where(ACTIVE), sets, keys, ["ret"]), [*keys, "level"])
 
 
 def rejection_reasons(rows: DataFrame) -> DataFrame:
@@ -166,8 +191,9 @@ def cost_stress(rows: DataFrame, multipliers=(1.0, 2.0, 3.0)) -> DataFrame:
     rows = rows.where(ACTIVE).withColumn("k", F.explode(F.array(*[F.lit(m) for m in multipliers])))
     x = F.col("gross_return") - F.abs("position") * F.col("cost") * F.col("k")
     rows = rows.withColumn("stressed", x)
-    s = F.col("stressed")
-    return rows.groupBy("horizon", "k").agg(F.avg(s).alias("mean_return"), F.percentile(s, F.lit(0.5)).alias("median_return"), profit_factor(s, F.lit(float("inf"))).alias("profit_factor"))
+    rows, s = stored(rows.select("horizon", "k", "stressed"), "stressed"), F.col("stressed")
+    report = rows.groupBy("horizon", "k").agg(F.avg(s).alias("mean_return"), profit_factor(s, F.lit(float("inf"))).alias("profit_factor"))
+    return with_median(report, rows, ["horizon", "k"], "stressed")
 
 
 def ranked(rows: DataFrame, by: str, step: float = 1e-4) -> DataFrame:
@@ -237,8 +263,9 @@ def non_overlapping(rows: DataFrame) -> DataFrame:
 def without_best(rows: DataFrame, most: int = 3, by: str = "horizon") -> DataFrame:
     act = stored(rows.where(ACTIVE).select(by, "symbol", "dt", "ret"), "active")  # read twice
     placed = ranked(act, by).withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(1, most + 1)])))
-    x = F.col("ret")
-    return placed.where(F.col("r") > F.col("k")).groupBy(by, "k").agg(F.count("*").alias("trades"), F.avg(x).alias("mean_return"), F.percentile(x, F.lit(0.5)).alias("median_return"), F.avg((x > 0).cast("double")).alias("hit_rate"), profit_factor(x).alias("profit_factor"))
+    rows, x = stored(placed.where(F.col("r") > F.col("k")).select(by, "k", "ret"), "placed"), F.col("ret")
+    report = rows.groupBy(by, "k").agg(F.count("*").alias("trades"), F.avg(x).alias("mean_return"), F.avg((x > 0).cast("double")).alias("hit_rate"), profit_factor(x).alias("profit_factor"))
+    return with_median(report, rows, [by, "k"])
 
 
 def fold_ranges(lengths: DataFrame, horizon: int, train: int = 252, test: int = 63, holdout: int = 126, most: int | None = 4) -> DataFrame:

@@ -168,7 +168,39 @@ def l07_chain_audit(spark, sf):
     return X.chain_audit(e)
 
 
-@query()
+# the gate as a fold over a ledger's signals in order: who holds which slot until when, what ended lately, and what was taken
+GATE_HELD, GATE_TAKEN = "STRUCT(symbol VARCHAR, until DATE)[]", "STRUCT(signal_id VARCHAR, slot INTEGER)[]"
+
+
+def gate_sql(slots):
+    none = f"'held': CAST(NULL AS {GATE_HELD}), 'gone': CAST(NULL AS {GATE_HELD}), 'taken': CAST(NULL AS {GATE_TAKEN})"
+    signal = f"{{'signal_id': signal_id, 'symbol': symbol, 'dt': CAST(signal_date AS DATE), 'until': CAST(coalesce(exit_date, DATE '9999-12-31') AS DATE), {none}}}"
+    empty = ", ".join(["{'symbol': '', 'until': DATE '1900-01-01'}"] * slots)
+    first = f"{{'signal_id': '', 'symbol': '', 'dt': CAST(NULL AS DATE), 'until': CAST(NULL AS DATE), 'held': CAST([{empty}] AS {GATE_HELD}), 'gone': CAST([] AS {GATE_HELD}), 'taken': CAST([] AS {GATE_TAKEN})}}"
+    free = "list_position(list_transform(s.held, lambda h: h.until <= t.dt), true)"
+    take = f"{free} IS NOT NULL AND len(list_filter(list_concat(s.held, s.gone), lambda h: h.symbol = t.symbol AND h.until >= t.dt)) = 0"
+    held = f"list_transform(s.held, lambda h, i: CASE WHEN {take} AND i = {free} THEN {{'symbol': t.symbol, 'until': t.until}} ELSE h END)"
+    gone = f"CASE WHEN {take} THEN list_append(list_filter(s.gone, lambda g: g.until >= t.dt), s.held[{free}]) ELSE s.gone END"
+    taken = f"CASE WHEN {take} THEN list_append(s.taken, {{'signal_id': t.signal_id, 'slot': CAST({free} AS INTEGER)}}) ELSE s.taken END"
+    step = f"{{'signal_id': t.signal_id, 'symbol': t.symbol, 'dt': t.dt, 'until': t.until, 'held': {held}, 'gone': {gone}, 'taken': {taken}}}"
+    return f"""SELECT ledger_id, p.signal_id, p.slot FROM (SELECT ledger_id, unnest((list_reduce(todo, lambda s, t: {step}, {first})).taken) AS p FROM
+    (SELECT ledger_id, list({signal} ORDER BY signal_date, symbol, signal_id) AS todo FROM done GROUP BY ledger_id))"""
+
+
+cte("gate_taken", gate_sql(5), "done")
+cte("gate_held", "SELECT d.ledger_id, d.symbol, d.signal_date, d.exit_date FROM done d JOIN gate_taken USING (ledger_id, signal_id)", "done", "gate_taken")
+EARLIER = "h.ledger_id = d.ledger_id AND h.symbol = d.symbol AND h.signal_date < d.signal_date"
+
+
+@query(
+    sql(
+        f"""SELECT d.ledger_id, d.signal_id, d.symbol, d.signal_date, d.exit_date, CASE WHEN g.slot IS NOT NULL THEN 'ACCEPTED' WHEN EXISTS (SELECT 1 FROM gate_held h WHERE {EARLIER} AND h.exit_date = d.signal_date) THEN 'SAME_DAY_REENTRY'
+    WHEN EXISTS (SELECT 1 FROM gate_held h WHERE {EARLIER} AND (h.exit_date IS NULL OR h.exit_date > d.signal_date)) THEN 'SYMBOL_OPEN' ELSE 'NO_FREE_SLOT' END AS decision, g.slot FROM done d LEFT JOIN gate_taken g USING (ledger_id, signal_id)""",
+        "done",
+        "gate_taken",
+        "gate_held",
+    )
+)
 def f06_portfolio_gate(spark, sf):
     return X.gate_portfolios(done(spark, sf))
 

@@ -107,7 +107,7 @@ def a02_group_report(spark, sf):
 
 @query(sql(f"SELECT {COUNTS}, {', '.join(r6(e, n) for n, e in MEASURES.items())} FROM records", "records"))
 def a01_trade_aggregate(spark, sf):
-    return rounded(records(spark, sf).agg(*V.measures()), ["observations", "trades", "rejected"])
+    return rounded(V.trade_aggregate(records(spark, sf)), ["observations", "trades", "rejected"])
 
 
 @query(sql("SELECT market, decision_reason, count(*) AS n FROM records WHERE position = 0 GROUP BY ALL", "records"))
@@ -224,7 +224,13 @@ def a09_a25_timeline_risk(spark, sf):
     return rounded(V.timeline_risk(V.timeline(records(spark, sf))), ["horizon"])
 
 
-@query()
+@query(
+    sql(
+        """SELECT horizon, symbol, CAST((list_reduce(t, lambda s, x: {'a': x.a, 'b': CASE WHEN s.b IS NULL OR x.a > s.b THEN x.b ELSE s.b END, 'n': CASE WHEN s.b IS NULL OR x.a > s.b THEN s.n + 1 ELSE s.n END}, {'a': CAST(NULL AS DATE), 'b': CAST(NULL AS DATE), 'n': 0})).n AS INTEGER) AS n
+    FROM (SELECT horizon, symbol, list({'a': CAST(entry_dt AS DATE), 'b': CAST(exit_dt AS DATE), 'n': 0} ORDER BY entry_dt, exit_dt) AS t FROM records WHERE position <> 0 GROUP BY ALL)""",
+        "records",
+    )
+)
 def w15_non_overlapping(spark, sf):
     return V.non_overlapping(records(spark, sf))
 
