@@ -1,15 +1,18 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-The benchmark is taken in blocks of a bounded number of words, each block in one pass over the corpus. Every three-word run
-of an item is a seed, however many documents hold it: which runs outlive the edits of a copy can't be told from how rare
-they are. Where a document meets an item in a seed, the passage along that diagonal, with a margin on both sides, is aligned
-with the item if enough of its words are the item's for the score to be reached: Smith-Waterman on words, 2 for a match,
--1 for a mismatch or a gap. The score is divided by that of the whole item, so that an exact copy has 1; copies with words
-replaced, put in or left out score in between. A copy without three words in a row of the item is not seen.
+The benchmark is taken in blocks of a bounded number of words, each block in one pass over the corpus. An item's seeds are its three-word
+runs that few different items of the block hold; what many items share, as stems of questions are, neither starts an alignment
+nor proves a copy: as large a share of the words outside shared runs must be in the passage as of the score. An item all of whose runs are shared has its rarest ones as seeds. How many documents hold a run plays no part: which runs
+outlive the edits of a copy can't be told from that. Where a document meets an item in a seed, the passages along the seeds' diagonals, with a
+margin on both sides, are aligned with the item if enough of their words are the item's for the score to be reached, those with the
+most such words first, as long as they can still beat the best: Smith-Waterman on words, 2 for a match, -1 for a mismatch or a gap. The score is
+divided by that of the whole item, so that an exact copy has 1; copies with words replaced, put in or left out score in between. A copy
+without three words in a row that are rare among items is not seen.
 
 Cases: null or empty texts and items match nothing; an item of fewer than three words has itself as its one seed;
 copies of an item in one document give one row, the best, the first on ties; repeated items are each reported;
-repeated document rows give repeated results; an empty benchmark gives no rows; other columns play no part.
+repeated document rows give repeated results; an empty benchmark gives no rows; other columns play no part. A document costs time in
+proportion to its words times the items it shares a seed with.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import bounded_batches, slices
+from tickloom.llm.shared import Scratch, bounded_batches, item_blocks, slices
 from tickloom.llm.words import shingles_of, words_of
 
 SEED_WORDS = 3
+#: Different items that may share a seed.
+RARE_ITEMS = 8
 #: Words of benchmark items that one pass takes: bounds what is broadcast; more items mean more passes.
 BLOCK_WORDS = 2_000_000
 LEAST_SCORE = 0.5
@@ -32,16 +37,37 @@ _BITS = 20
 
 
 class Seeds:
-    """Seed hashes of a block of items with their places, found by a bit table and binary search."""
+    """Hashes of a block's seeds with their places in the different items, found by a bit table and binary search."""
 
     def __init__(self, ids: list, texts: list[str]):
         w = words_of(texts)
+        alike: dict[bytes, int] = {}  # items with the same words are one
+        self.ids: list[list] = []
+        first = []
+        for i, item_id in enumerate(ids):
+            number = alike.setdefault(w.hashes[w.ptr[i] : w.ptr[i + 1]].tobytes(), len(first))
+            if number == len(first):
+                first.append(i)
+                self.ids.append([])
+            self.ids[number].append(item_id)
         grams, ptr = shingles_of(w, SEED_WORDS)
-        item = np.repeat(np.arange(len(ids)), np.diff(ptr))
-        place = np.arange(len(grams)) - ptr[:-1][item]
-        order = np.argsort(grams, kind="stable")
-        self.ids, self.words = ids, [w.hashes[w.ptr[i] : w.ptr[i + 1]] for i in range(len(ids))]
-        self.sorted_words = [np.sort(own) for own in self.words]
+        item = np.repeat(np.arange(len(first)), np.diff(ptr)[first])
+        at = np.concatenate([np.arange(ptr[i], ptr[i + 1]) for i in first]).astype(np.int64) if first else np.zeros(0, np.int64)
+        place, grams = at - ptr[first][item] if len(at) else at, grams[at]
+        # how many items hold each run; an item keeps the rare ones, or its rarest
+        _, run = np.unique(grams, return_inverse=True)
+        pairs = np.unique(run.astype(np.int64) * max(1, len(first)) + item) // max(1, len(first))
+        held = np.bincount(pairs, minlength=1)[run] if len(run) else run
+        rarest = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(rarest, item, held)
+        kept = np.flatnonzero(held <= np.maximum(RARE_ITEMS, rarest[item])) if len(run) else run
+        order = kept[np.argsort(grams[kept], kind="stable")]
+        self.words = [w.hashes[w.ptr[i] : w.ptr[i + 1]] for i in first]
+        # the words of an item that no shared run covers
+        inside = [np.zeros(len(own), bool) for own in self.words]
+        for k in np.flatnonzero(held > RARE_ITEMS):
+            inside[item[k]][place[k] : place[k] + SEED_WORDS] = True
+        self.own = [own if covered.all() else own[~covered] for own, covered in zip(self.words, inside, strict=True)]
         self.hashes, self.item, self.place = grams[order], item[order], place[order]
         self.distinct, self.first, self.times = np.unique(self.hashes, return_index=True, return_counts=True)
         self.table = np.zeros(1 << _BITS, bool)
@@ -86,59 +112,47 @@ def _matches(seeds: Seeds, words: np.ndarray, place: np.ndarray, seed: np.ndarra
     """(item number, score, first word, word after the last) for one document's seed positions."""
     times = seeds.times[seed]
     entry = np.repeat(seeds.first[seed] - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    item, q, p = seeds.item[entry], seeds.place[entry], np.repeat(place, times)
+    item, diagonal = seeds.item[entry], np.repeat(place, times) - seeds.place[entry]
+    order = np.lexsort((diagonal, item))
+    item, diagonal = item[order], diagonal[order]
     out = []
-    order = np.lexsort((p - q, item))
-    item, q, p = item[order], q[order], p[order]
     cuts = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
     for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-        i = int(item[low])
+        i, own = int(item[low]), diagonal[low:high]
         size = len(seeds.words[i])
         slack = max(4, size // 4)
-        diagonal, found = p[low:high] - q[low:high], None
-        jumps = np.flatnonzero(np.diff(diagonal) > slack)  # hits along near diagonals are one passage
-        for a, b in zip(np.append(0, jumps + 1), np.append(jumps + 1, len(diagonal)), strict=True):
-            start = max(0, int(diagonal[a]) - slack)
-            end = min(len(words), int(diagonal[b - 1]) + size + slack)
-            if 2 * _shared(seeds.sorted_words[i], words[start:end]) < least * 2 * size:  # no alignment can score enough
+        # hits along near diagonals are one passage
+        jumps = np.flatnonzero(np.diff(own) > slack) + 1
+        start = np.maximum(0, own[np.append(0, jumps)] - slack)
+        end = np.minimum(len(words), own[np.append(jumps, len(own)) - 1] + size + slack)
+        # no alignment scores more than its words that are the item's
+        shared = np.concatenate(([0], np.cumsum(np.isin(words, seeds.words[i]))))
+        most = 2 * np.minimum(shared[end] - shared[start], size)
+        found = None
+        for k in np.lexsort((start, -most)):
+            if most[k] < max(least * 2 * size, found[1] if found else 0):
+                break
+            if found and most[k] == found[1] and start[k] > found[2]:
                 continue
-            s, x, y = align(seeds.words[i], words[start:end])
-            if s >= least * 2 * size and (found is None or s > found[1]):
-                found = (i, s, start + x, start + y)
+            s, x, y = align(seeds.words[i], words[start[k] : end[k]])
+            here = (i, s, int(start[k]) + x, int(start[k]) + y)
+            if np.isin(words[here[2] : here[3]], seeds.own[i]).sum() < least * len(seeds.own[i]):
+                continue
+            if s >= least * 2 * size and (found is None or (-s, here[2]) < (-found[1], found[2])):
+                found = here
         if found:
             out.append((found[0], found[1] / (2 * size), found[2], found[3]))
     return out
 
 
-def _shared(ordered: np.ndarray, passage: np.ndarray) -> int:
-    """How many words of the passage are among the item's."""
-    at = np.searchsorted(ordered, passage)
-    at[at == len(ordered)] = 0
-    return int(np.count_nonzero(ordered[at] == passage))
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
-    """Items of a block at a time; the driver holds one block."""
-    ids, texts, held = [], [], 0
-    for r in benchmark.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id").toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        held += len(r["text"].split())
-        if held >= BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score double, first_word int, end_word int of passages that score at least `least`."""
     spark = docs.sparkSession
     doc_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {doc_type}, item_id {item_type}, score double, first_word int, end_word int"
-    docs = bounded_batches(docs).select("doc_id", "text")
+    docs, scratch = bounded_batches(docs).select("doc_id", "text"), Scratch(spark, "contaminated")
     out = None
-    for ids, texts in _blocks(benchmark):
+    for ids, texts in item_blocks(benchmark, BLOCK_WORDS):
         seeds = Seeds(ids, texts)
         shipped = spark.sparkContext.broadcast(seeds)
 
@@ -154,14 +168,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
                 for low, high in zip(cuts[:-1], cuts[1:], strict=True):
                     d = int(doc[low])
                     own = w.hashes[w.ptr[d] : w.ptr[d + 1]]
-                    rows += [(d, *m) for m in _matches(seeds, own, at[low:high] - ptr[d], seed[low:high], least)]
+                    rows += [(d, item_id, *m[1:]) for m in _matches(seeds, own, at[low:high] - ptr[d], seed[low:high], least) for item_id in seeds.ids[m[0]]]
                 if rows:
                     d, i, s, a, b = zip(*rows, strict=True)
                     ids = part.column("doc_id").take(pa.array(d))
-                    items = pa.array([seeds.ids[k] for k in i])
+                    items = pa.array(i)
                     yield pa.RecordBatch.from_arrays([ids, items, pa.array(s), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        found = docs.mapInArrow(run, schema)
+        found = scratch.stage(docs.mapInArrow(run, schema), "found")
+        shipped.destroy()
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
