@@ -100,3 +100,31 @@ def test_columns_of_the_results_names_are_replaced(spark):
     assert counted.columns.count("n_tokens") == 1 and counted.first().n_tokens == 3
     told = language_id.predict(docs, language_id.fit(docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"))))
     assert told.columns.count("lang_pred") == 1 and told.first().lang_pred == "und"
+
+
+def test_a_form_around_the_page_is_no_boilerplate():
+    body = "<div><h2>Head</h2><p>A long paragraph, with commas, and text that goes on and on, so that it counts.</p></div>"
+    login = "<form action=x>Login <input name=u><button>Go</button></form>"
+    want = "Head\nA long paragraph, with commas, and text that goes on and on, so that it counts."
+    assert main_text.main_text(f"<html><body><form id='aspnetForm'>{body}{login}</form></body></html>") == want
+    assert main_text.main_text(f"<html><body><form id='aspnetForm'><article>{body}</article></form>{login}</body></html>") == want
+    assert main_text.main_text(f"<html><body>{body}<form>Your mail, please: <input></form></body></html>") == want
+
+
+def test_formulas_are_text():
+    page = "<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> then the proof, as it is, ends here, in peace.</p>"
+    assert main_text.main_text(page) == "If x=2 then the proof, as it is, ends here, in peace."
+
+
+def test_articles_beside_each_other_stay():
+    first, second = "First part, with commas, and so on. " * 5, "Second part, with commas, and so on. " * 4
+    teaser = "<article><a href=x>Read this too, it is short, and a link</a></article>"
+    page = f"<body><h1>Title</h1><div><article><p>{first}</p></article>{teaser}<article><p>{second}</p><article class=comments><p>Reader says, well, this.</p></article></article></div></body>"
+    assert main_text.main_text(page) == f"{first.strip()}\n{second.strip()}"
+
+
+def test_a_megabyte_of_tables_is_read_in_time():
+    page = "<table><tr><td>" + "<table><tr><td>text, more text here, and so on, long enough</td></tr></table>" * 14000
+    began = time.time()
+    assert main_text.main_text(page).count("\n") == 13999
+    assert time.time() - began < 10

@@ -2,9 +2,10 @@
 
 The markup is read once, from front to back, into a tree with the usual repairs for tag soup. Paragraphs pass points, for
 their length and their commas, to their ancestors, the nearer the more; each container's sum is discounted by the share of
-its text that is inside links. The article or main element around the best container is kept whole; where there is none, the
-best container and those siblings that score near it or read like text. Menus, page headers, footers, sidebars, forms,
-scripts and styles are taken out by element and role wherever they stand.
+its text that is inside links. The article or main element around the best container is kept whole, and with an article those beside
+it that have points of its order; where there is none, the best container and those siblings that score near it or read like text. Menus,
+page headers, footers, sidebars, scripts and styles are taken out by element and role wherever they stand, forms unless they hold the
+page's article; formulas are text.
 
 A class or id alone takes little out: names of adverts, notices, menus, sidebars and comments do, unless the element holds an article,
 main or h1 element, or most of the points of a page that has none; names such as `social` or `related` only if the
@@ -30,14 +31,14 @@ from tickloom.llm.shared import bounded_batches, slices
 
 #: Element names of HTML, by the part that they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object xmp noembed noframes".split())
 #: Of these the content is never markup: without an end tag they take the rest of the page.
 OPAQUE = frozenset("script style textarea title xmp noembed noframes iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form button select option input label fieldset dialog menu search script style noscript template textarea title iframe svg math object head xmp noembed noframes".split())
+DROPPED = frozenset("nav footer aside annotation annotation-xml button select option input label fieldset dialog menu search script style noscript template textarea title iframe svg object head xmp noembed noframes".split())
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 #: Siblings of the best container that are kept for what they are, if they aren't mostly links.
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol dl pre table blockquote figure".split())
@@ -66,6 +67,8 @@ _AHEAD = {what: re.compile(re.escape(what), re.I | re.A) for what in ["-->", *(f
 _ENDS = frozenset(".!?…。\"”»")
 #: Of how many ancestors a paragraph's points are passed to.
 LEVELS = 6
+#: An article beside the best one is kept too from this share of its points on.
+NEAR = 0.2
 
 
 class Node:
@@ -92,6 +95,8 @@ def _kind(tag: str, attributes: tuple[tuple[str, str], ...]) -> tuple[bool, int]
                     name = max(name, 2 if NAMED.fullmatch(word) else 1 if SUSPECT.fullmatch(word) else 0)
         elif key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
             drop = True
+    if tag == "form":  # it may be around the whole page: its text decides
+        name = 2
     return (False, 0) if tag in ("html", "body", "article", "main") else (drop, name)
 
 
@@ -379,9 +384,11 @@ def _kept(best: Node, scored: list[Node]) -> list[Node]:
         around = around.parent
     if holder:
         siblings = [x for x in holder.parent.items if isinstance(x, Node) and not x.drop] if holder.parent else [holder]
-        before = siblings[: next(i for i, x in enumerate(siblings) if x is holder)]
+        # articles beside it that are not much less of an article
+        parts = [x for x in siblings if x is holder or x.tag == holder.tag == "article" and x.share >= NEAR * holder.share and _density(x) < 0.25]
+        before = siblings[: next(i for i, x in enumerate(siblings) if x is parts[0])]
         titles = [x for x in before if x.tag in ("h1", "hgroup")]
-        return [*([] if any(x.tag == "h1" for x, _ in _in_order(holder)) else titles), holder]
+        return [*([] if any(x.tag == "h1" for x, _ in _in_order(parts[0])) else titles), *parts]
     if not best.parent:
         return [best]
     points = {id(x): x.points for x in scored}
