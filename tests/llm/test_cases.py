@@ -119,7 +119,7 @@ def test_formulas_are_text():
 def test_articles_beside_each_other_stay():
     first, second = "First part, with commas, and so on. " * 5, "Second part, with commas, and so on. " * 4
     teaser = "<article><a href=x>Read this too, it is short, and a link</a></article>"
-    page = f"<body><h1>Title</h1><div><article><p>{first}</p></article>{teaser}<article><p>{second}</p><article class=comments><p>Reader says, well, this.</p></article></article></div></body>"
+    page = f"<body><h1>Title</h1><div><article><p>{first}</p></article>{teaser}<article><p>{second}</p><div class=comments><article><p>Reader says, well, this, at length, and more.</p></article></div></article></div></body>"
     assert main_text.main_text(page) == f"{first.strip()}\n{second.strip()}"
 
 
