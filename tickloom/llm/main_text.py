@@ -274,10 +274,16 @@ def _in_order(root: Node) -> list[tuple[Node, bool]]:
 
 
 def _measure(order: list[tuple[Node, bool]]) -> None:
-    """Length, linked length, commas, last character, paragraph points and article, main and h1 elements of each element, summed from children to parents."""
+    """Length, linked length, commas, last character, paragraph points and article, main and h1 elements of each element, summed from children to parents.
+
+    An article inside an article, as reader comments are, doesn't count as one.
+    """
+    nested: set[int] = set()
     for node, linked in order:
+        if node.parent and (node.parent.tag == "article" or id(node.parent) in nested):
+            nested.add(id(node))
         node.length = node.commas = 0
-        node.heads = int(node.tag in ("article", "main", "h1"))
+        node.heads = int(node.tag in ("main", "h1") or node.tag == "article" and id(node) not in nested)
         node.last = ""
         for x in node.items:
             if isinstance(x, str) and (words := x.split()):
