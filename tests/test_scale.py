@@ -204,3 +204,137 @@ def test_context_of_a_stream_that_comes_out_of_order(spark):
         assert rows[day(i)].market_close == last
         want = np.log(seen[i] / seen[i - 5]) if i >= 5 and seen[i - 5] else None
         assert rows[day(i)].market_ret_5 == (pytest.approx(want) if want is not None else None)
+
+
+# walk-forward with refits
+
+
+def series(rng, n, d=7):
+    x = rng.normal(0, [1, 5, 0.01, 1, 1, 30, 1][:d], (n, d)) + rng.normal(0, 3, d)
+    r = 0.01 * (x[:, 0] - x[:, 0].mean()) + rng.normal(0, 0.02, n)
+    return x, (r > 0).astype(int), r
+
+
+def plain_ridge(x, r, alpha):
+    low, median, high = np.percentile(x, [25, 50, 75], axis=0)
+    z = np.column_stack([np.ones(len(x)), (x - median) / (high - low)])
+    b = np.linalg.solve(z.T @ z + np.diag([1e-9, *[alpha] * x.shape[1]]), z.T @ r)
+    return lambda new: np.column_stack([np.ones(len(new)), (new - median) / (high - low)]) @ b
+
+
+def plain_logistic(x, y, c):
+    from tickloom.operators import models as M
+
+    scale = M.Scaled(x)
+    b = M.logistic(scale(x), y, c)
+    return lambda new: 1 / (1 + np.exp(-np.clip(scale(new) @ b, -30, 30)))
+
+
+def test_fits_on_beginnings_equal_plain_fits():
+    from tickloom.operators import walkforward as WF
+
+    x, y, r = series(np.random.default_rng(7), 700)
+    s = WF.Beginnings(x, y, r)
+    for end in (130, 192, 333, 480, 700):
+        assert np.allclose(s.ones[-50:] @ s.ridge(end, 18.0), plain_ridge(x[:end], r[:end], 18.0)(x[-50:]), rtol=1e-8, atol=1e-10)
+        assert np.allclose(WF.sigmoid(s.ones[-50:] @ s.logistic(end, 0.35, "a")), plain_logistic(x[:end], y[:end], 0.35)(x[-50:]), rtol=1e-6, atol=1e-8)
+
+
+def test_walk_forward_against_refits_from_scratch():
+    from tickloom.operators import models as M
+    from tickloom.operators import walkforward as WF
+
+    x, y, r = series(np.random.default_rng(8), 620)
+    names = [f"f{i}" for i in range(7)]
+    pdf = pd.DataFrame(x, columns=names).assign(symbol="A", horizon=5, dt=[day(i) for i in range(620)], y=y, forward_return=r)
+    got = WF.walk(pdf.sample(frac=1, random_state=1), names, 60)
+    assert got["dt"].tolist() == [day(i) for i in range(341, 620)] and got["refit"].tolist() == [(i - 341) // 60 for i in range(341, 620)]
+    for k, low in enumerate(range(341, 620, 60)):
+        part, known = got[got["refit"] == k], low - 4
+        assert (part["known_rows"] == known).all() and (part["known_until"] == day(known - 1)).all()
+        last = pdf.iloc[:known]
+        roles = M.split_roles(known, 5)
+        train = roles["train"][1]
+        p_oof, y_oof = [], []
+        for end, start, stop in M.inner_folds(train, 5):
+            p_oof.append(plain_logistic(x[:end], y[:end], 0.35)(x[start:stop]))
+            y_oof.append(y[start:stop])
+        core = plain_logistic(x[:train], y[:train], 0.35)
+        block = slice(*roles.get("calibration", (0, 0)))
+        curve = M._calibration(np.concatenate(p_oof) if p_oof else np.zeros(0), np.concatenate(y_oof) if y_oof else np.zeros(0, int), core(x[block]) if block.stop else np.zeros(0), y[block])
+        raw = plain_logistic(x[:known], y[:known], 0.35)(x[low : low + 60])
+        want = raw if curve is None else 1 / (1 + np.exp(-(curve[0] + curve[1] * raw)))
+        assert np.allclose(part["p"], want, rtol=1e-5, atol=1e-7) and np.allclose(part["m"], plain_ridge(x[:known], r[:known], 18.0)(x[low : low + 60]), rtol=1e-7, atol=1e-9)
+        use = slice(*roles["assessment"])
+        left = r[use] - plain_ridge(x[:train], r[:train], 18.0)(x[use])
+        assert part["sigma"].iloc[0] == pytest.approx(max(left.std(ddof=1), 0.35 * r[use].std(ddof=1)), rel=1e-7) and len(last) == known
+
+
+def test_walk_forward_knows_no_later_label():
+    from tickloom.operators import walkforward as WF
+
+    x, y, r = series(np.random.default_rng(9), 500)
+    names = [f"f{i}" for i in range(7)]
+    pdf = pd.DataFrame(x, columns=names).assign(symbol="A", horizon=20, dt=[day(i) for i in range(500)], y=y, forward_return=r)
+    later = pdf.copy()
+    later.loc[later.index >= 400 - 20 + 1, ["y", "forward_return"]] = [0, -1.0]
+    a, b = WF.walk(pdf, names, 100), WF.walk(later, names, 100)
+    same = a["dt"] < day(401)
+    assert same.sum() == 101 and np.array_equal(a[same][["p", "m", "auc"]], b[same][["p", "m", "auc"]])
+
+
+# extra-trees
+
+
+def panel(spark, n=3000, d=4):
+    rng = np.random.default_rng(10)
+    x = rng.normal(0, 1, (n, d))
+    y = (x[:, 0] + 0.5 * x[:, 1] > 0.3).astype(float)
+    rows = [("up", int(k), x[i].tolist(), float(y[i]), 1.0) for i, k in enumerate(rng.integers(-(2**62), 2**62, n))]
+    rows += [("move", r[1], r[2], r[2][2] * 2, 1.0) for r in rows]
+    return rows, spark.createDataFrame(rows, "model string, key long, x array<double>, y double, w double").repartition(5)
+
+
+def test_trees_take_the_best_of_their_cuts(spark):
+    from tickloom.operators import trees as T
+
+    rows, df = panel(spark)
+    forests = T.grow(df, {"up": 3, "move": 3}, 4, depth=3, leaf=10, seed=5)
+    for model, forest in forests.items():
+        own = [r for r in rows if r[0] == model]
+        keys, x, y = np.array([r[1] for r in own]), np.array([r[2] for r in own]), np.array([r[3] for r in own])
+        for t in range(3):
+            times = T.drawn(keys, t, 5)
+            inside = {1: times > 0}
+            assert abs(times.mean() - 1) < 0.1
+            for node in range(1, 16):
+                at = inside.get(node)
+                if at is None:
+                    continue
+                total = times[at].sum()
+                assert forest.value[t, node] == pytest.approx((times[at] * y[at]).sum() / total)
+                if node >= 8:
+                    assert forest.feature[t, node] == -1
+                    continue
+                cuts, best, score = T.draw_cuts(x[at].min(0), x[at].max(0), 0.65, (5, t, node)), -1, 1e-12
+                for f in range(4):
+                    left = at & (x[:, f] <= cuts[f])
+                    right = at & ~left
+                    if not np.isnan(cuts[f]) and min(times[left].sum(), times[right].sum()) >= 10:
+                        error = lambda s: (times[s] * (y[s] - np.average(y[s], weights=times[s])) ** 2).sum()
+                        if (gain := error(at) - error(left) - error(right)) > score + 1e-9:
+                            best, score = f, gain
+                assert forest.feature[t, node] == best
+                if best >= 0:
+                    assert forest.cut[t, node] == pytest.approx(cuts[best])
+                    inside |= {2 * node: at & (x[:, best] <= cuts[best]), 2 * node + 1: at & (x[:, best] > cuts[best])}
+    got = T.predict(df.where("model = 'up'"), forests, ["y"], 4).toPandas()
+    assert (abs(got["prediction"] - got["y"]) < 0.5).mean() > 0.85
+
+
+def test_missing_values_are_medians(spark):
+    from tickloom.operators import trees as T
+
+    df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None), (float("nan"), None), (100.0, None)], "a double, b double")
+    got = [r.x for r in T.imputed(df, ["a", "b"], F.coalesce(F.col("a") < 50, F.lit(True))).collect()]
+    assert got == [[1.0, 0.0], [3.0, 0.0], [1.0, 0.0], [1.0, 0.0], [100.0, 0.0]]

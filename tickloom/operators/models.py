@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip
+from tickloom.sources.storage import stored
 
 FEATURES = ["ret_5", "ret_20", "ma_dist_50", "vol_20", "drawdown_60", "range_position_60"]
 #: Weights of the regressors where too few rows tell them apart.
@@ -52,12 +53,12 @@ class Scaled:
         return np.column_stack([np.ones(len(x)), (np.where(np.isnan(x), self.median, x) - self.median) / self.width])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True, rounds: int = 25) -> np.ndarray:
-    """L2-penalised logistic regression by Newton steps; the intercept is free."""
+def logistic(x: np.ndarray, y: np.ndarray, c: float, balanced: bool = True, rounds: int = 25, start: np.ndarray | None = None) -> np.ndarray:
+    """L2-penalised logistic regression by Newton steps, from `start` if it is given; the intercept is free."""
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if balanced else np.ones(len(y))
     penalty = np.full(x.shape[1], 1 / c)
     penalty[0] = 1e-9
-    b = np.zeros(x.shape[1])
+    b = np.zeros(x.shape[1]) if start is None else start.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         grad = x.T @ (weight * (p - y)) + penalty * b
@@ -111,29 +112,78 @@ def linear_members(frame: DataFrame) -> DataFrame:
     return frame.select(*keep).groupBy("symbol", "horizon").applyInPandas(run, SCHEMA)
 
 
-def pooled_trees(frame: DataFrame, cut, trees: int = 20) -> DataFrame:
-    """Forest and boosted classifiers over all symbols, fitted on rows before the date `cut`, applied to the rest."""
-    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+def _vector(column: str):
+    from pyspark.ml.functions import array_to_vector
+
+    return array_to_vector(F.col(column)).alias("features")
 
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(frame).withColumn("label", F.col("y").cast("double"))
-    train, rest = data.where(F.col("dt") < cut), data.where(F.col("dt") >= cut)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=6, minInstancesPerNode=24, featureSubsetStrategy="0.65", seed=7, probabilityCol="pf", rawPredictionCol="rf", predictionCol="cf").fit(train)
-    boosted = GBTClassifier(maxIter=trees, stepSize=0.04, maxDepth=4, minInstancesPerNode=24, seed=7, predictionCol="cg").setProbabilityCol("pg").setRawPredictionCol("rg").fit(train)
-    out = boosted.transform(forest.transform(rest))
-    return out.select("symbol", "horizon", "dt", "y", "forward_return", vector_to_array("pf")[1].alias("p_forest"), vector_to_array("pg")[1].alias("p_boosted"))
 
+def pooled_members(rows: DataFrame, features: list[str], horizons: tuple[int, ...], extra: tuple[int, int] = (180, 160), forest: int = 120, rounds: int = 20) -> DataFrame:
+    """Predictions of the tree members of the classifiers and regressors, over all symbols, horizon by horizon, for the rows past each horizon's training rows.
 
-def importances(frame: DataFrame, cut, top: int = 8) -> DataFrame:
-    """The features that a pooled forest leans on, normalised."""
+    rows: symbol, horizon, dt, y, forward_return, train (whether a row's label is known before the cut), features; missing features are the training
+    rows' medians. extra: trees of the two extra-trees forests; forest: trees of the random forest; rounds: of the boosting, whose rounds follow each other.
+    """
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+    from pyspark.ml.classification import GBTClassifier
+
+    from tickloom.operators import trees as T
+
+    rows = stored(T.imputed(rows, features, F.col("train")).select("symbol", "horizon", "dt", "y", "forward_return", "train", "x", F.xxhash64("symbol", "horizon", "dt").alias("key")), "panel")
+    train, rest = rows.where("train"), rows.where("NOT train")
+    share = train.groupBy("horizon").agg(F.avg("y").alias("__up"))  # a row for each horizon
+    weighted = train.join(share, "horizon").withColumn("w", F.when(F.col("y") == 1, 0.5 / F.col("__up")).otherwise(0.5 / (1 - F.col("__up"))))
+    each = F.array(F.struct(F.lit("up").alias("kind"), F.col("y").cast("double").alias("t"), F.col("w").alias("v")), F.struct(F.lit("move").alias("kind"), F.col("forward_return").alias("t"), F.lit(1.0).alias("v")))
+    grown = weighted.select("horizon", "key", "x", F.inline(each)).select(F.concat_ws("_", "kind", F.col("horizon").cast("string")).alias("model"), "key", "x", F.col("t").alias("y"), F.col("v").alias("w"))
+    forests = T.grow(grown, {f"{k}_{h}": n for k, n in zip(("up", "move"), extra, strict=True) for h in horizons}, len(features))
+    keep = ["symbol", "horizon", "dt", "y", "forward_return"]
+    asked = rest.withColumn("model", F.explode(F.array(*[F.concat(F.lit(f"{k}_"), F.col("horizon").cast("string")) for k in ("up", "move")])))
+    seen = T.predict(asked, forests, keep, len(features))
+    out = seen.groupBy(*keep).agg(*[F.max(F.when(F.col("model").startswith(k), F.col("prediction"))).alias(n) for k, n in (("up", "p_extra_trees"), ("move", "r_extra_trees"))])
+    fitted = {
+        "p_boosting": (GBTClassifier(maxIter=rounds, stepSize=0.04, maxDepth=4, minInstancesPerNode=24, seed=42, labelCol="y"), vector_to_array("probability")[1]),
+        "r_boosting": (GBTRegressor(maxIter=rounds, stepSize=0.04, maxDepth=4, minInstancesPerNode=24, seed=42, labelCol="forward_return"), F.col("prediction")),
+        "r_forest": (RandomForestRegressor(numTrees=forest, maxDepth=6, minInstancesPerNode=12, featureSubsetStrategy="0.65", seed=42, labelCol="forward_return"), F.col("prediction")),
+    }
+    more = None
+    for h in horizons:
+        vectors = [part.where(F.col("horizon") == h).select(*keep, _vector("x")) for part in (train, rest)]
+        found = vectors[1]
+        for name, (model, value) in fitted.items():
+            found = model.fit(vectors[0]).transform(found).withColumn(name, value).drop("prediction", "probability", "rawPrediction")
+        more = found.drop("features") if more is None else more.unionByName(found.drop("features"))
+    return out.join(more.select("symbol", "horizon", "dt", *fitted), ["symbol", "horizon", "dt"])
+
+
+def pooled_ridge(rows: DataFrame, features: list[str], alpha: float = 18.0) -> DataFrame:
+    """symbol, horizon, dt, r_ridge of the rows past the training rows: a ridge regression over all symbols for each horizon, by Spark's normal equations."""
+    from pyspark.ml.feature import RobustScaler
+    from pyspark.ml.regression import LinearRegression
+
+    from tickloom.operators import trees as T
+
+    rows = stored(T.imputed(rows, features, F.col("train")).select("symbol", "horizon", "dt", "forward_return", "train", _vector("x")), "panel")
+    scaled = RobustScaler(inputCol="features", outputCol="scaled", withCentering=True).fit(rows.where("train")).transform(rows)
+    out = None
+    for r in rows.where("train").groupBy("horizon").agg(F.count("*").alias("n")).orderBy("horizon").toLocalIterator():  # a row for each horizon
+        own = scaled.where(F.col("horizon") == r["horizon"])
+        model = LinearRegression(featuresCol="scaled", labelCol="forward_return", predictionCol="r_ridge", regParam=alpha / r["n"], elasticNetParam=0.0, standardization=False, solver="normal").fit(own.where("train"))
+        found = model.transform(own.where("NOT train")).select("symbol", "horizon", "dt", "r_ridge")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def importances(rows: DataFrame, features: list[str], top: int = 8, trees: int = 60) -> DataFrame:
+    """The features that a pooled forest leans on, normalised; missing ones are the training rows' medians."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
 
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="skip").transform(frame.where(F.col("dt") < cut)).withColumn("label", F.col("y").cast("double"))
-    model = RandomForestClassifier(numTrees=10, maxDepth=5, seed=7).fit(data)
-    pairs = sorted(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True), key=lambda p: -p[1])[:top]
-    return frame.sparkSession.createDataFrame(pairs, "feature string, importance double")
+    from tickloom.operators import trees as T
+
+    data = T.imputed(rows, features, F.lit(True)).select(F.col("y").cast("double").alias("label"), _vector("x"))
+    model = RandomForestClassifier(numTrees=trees, maxDepth=5, seed=7).fit(data)
+    pairs = sorted(zip(features, model.featureImportances.toArray().tolist(), strict=True), key=lambda p: -p[1])[:top]
+    return rows.sparkSession.createDataFrame(pairs, "feature string, importance double")
 
 
 def brier_weights(members: DataFrame, by: list[str]) -> DataFrame:

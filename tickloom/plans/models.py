@@ -9,6 +9,7 @@ from tickloom.operators import features as X
 from tickloom.operators import labels as L
 from tickloom.operators import models as M
 from tickloom.operators import validation as V
+from tickloom.operators import walkforward as WF
 from tickloom.plans import radar as _radar  # noqa: F401  its common table expressions are used below
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
@@ -44,15 +45,47 @@ def m10_platt(spark, sf):
     return M.platt(rows, ["symbol", "horizon"])
 
 
+def panel(spark, sf, horizons=(1, 5, 20)):
+    """All features of all rows by horizon, with `train`: whether the label is known before the day that 78 % of the rows precede."""
+    bars = stored(B.brand_bars(spark, sf), "bars")
+    names = X.feature_names() + X.context_names()
+    frame = stored(X.feature_frame(bars, B.benchmark_of).select("symbol", "dt", *names), "features")
+    done = L.executions(bars, list(horizons)).where("forward_return IS NOT NULL").select("symbol", "dt", "horizon", "forward_return")
+    known = L.known_at(bars, max(horizons)).select("symbol", "dt", "label_dt")
+    rows = frame.join(done, ["symbol", "dt"]).join(known, ["symbol", "dt"]).where("label_dt IS NOT NULL")
+    cut = rows.agg(F.date_from_unix_date(F.percentile_approx(F.unix_date("dt"), 0.78).cast("int")).alias("cut"))  # one row
+    ahead = F.date_add("dt", F.col("horizon") * 2)
+    return rows.crossJoin(F.broadcast(cut)).select("symbol", "horizon", "dt", "forward_return", (F.col("forward_return") > 0).cast("int").alias("y"), (ahead < F.col("cut")).alias("train"), *names).where("train OR dt >= cut"), names
+
+
+#: What the registered queries grow, so that small tables take a minute or two; the operators' own defaults are 180, 160 and 120 trees.
+FEW = {"extra": (12, 12), "forest": 12, "rounds": 4}
+
+
 @query()
 def m04_m05_pooled_trees(spark, sf):
-    data = frame(spark, sf, (5,))
-    return M.pooled_trees(data, F.lit("2000-06-01").cast("date"), 10)
+    """Predictions of extra-trees, boosting and forest, classifiers and regressors, for all horizons, on all features."""
+    rows, names = panel(spark, sf)
+    return M.pooled_members(rows, names, (1, 5, 20), **FEW)
+
+
+@query()
+def m08_member_weights(spark, sf):
+    """Weights of the real regressors, ridge, forest, boosting and extra-trees, by their errors on the rows past the cut."""
+    rows, names = panel(spark, sf)
+    rows = stored(rows, "panel")
+    pooled = M.pooled_members(rows, names, (1, 5, 20), **FEW)
+    ridge = M.pooled_ridge(rows, names)
+    all_ = pooled.join(ridge, ["symbol", "horizon", "dt"])
+    each = F.array(*[F.struct(F.lit(k).alias("member"), F.col(f"r_{k}").alias("m")) for k in M.REGRESSOR_WEIGHTS])
+    weights = M.mae_weights(all_.select("horizon", F.col("forward_return").alias("r"), F.inline(each)), ["horizon"])
+    return weights.select("horizon", "member", R("mae").alias("mae"), R("weight").alias("weight"))
 
 
 @query()
 def w17_importances(spark, sf):
-    return M.importances(frame(spark, sf, (5,)), F.lit("2000-06-01").cast("date"))
+    rows, names = panel(spark, sf)
+    return M.importances(rows.where("train"), names, trees=24)
 
 
 MEMBERS = {"linear": "linear_probability", "factor": "probability_up", "coin": "0.5e0"}
@@ -172,3 +205,28 @@ def m18_two_stage_radar(spark, sf):
     chosen = stored(RD.shortlist(fast, 12).select("symbol"), "shortlist")  # read by each part of the second stage
     few = bars.join(F.broadcast(chosen), "symbol", "left_semi")
     return RD.prefer_ml(fast, RD.model_scan(few, fitted(few))).select("symbol", "horizon", "mode", R("deep_score").alias("deep_score"))
+
+
+def refitted(spark, sf, horizons=(1, 5, 20)):
+    """All features and labels, and the records of forecasts that are fitted anew every sixty rows."""
+    bars = stored(B.brand_bars(spark, sf), "bars")
+    names = X.feature_names() + [c for c in X.context_names()]
+    frame = X.feature_frame(bars, B.benchmark_of)
+    # what has no benchmark has no context: it is modelled by its own features
+    frame = frame.withColumns({c: F.when(B.benchmark_of(F.col("symbol")).isNull() | (F.col("symbol") == B.benchmark_of(F.col("symbol"))), F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in X.context_names()})
+    rows = stored(WF.labelled(bars, frame, names, horizons), "labelled")
+    return WF.records(rows, WF.forecasts(rows, names))
+
+
+@query()
+def m13_refitted_walk_forward(spark, sf):
+    """Every decision point of a walk-forward test with refits on all features, no cut at any symbol or horizon."""
+    return refitted(spark, sf).drop("fold")
+
+
+@query()
+def a02_refitted_report(spark, sf):
+    """The report by market, symbol, horizon and refit of the refitted forecasts."""
+    from tickloom.plans.validation import KEYS, SETS, rounded
+
+    return rounded(V.group_report(refitted(spark, sf), SETS, KEYS), [*KEYS, "level", "observations", "trades", "rejected"])
