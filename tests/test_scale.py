@@ -338,3 +338,89 @@ def test_missing_values_are_medians(spark):
     df = spark.createDataFrame([(1.0, None), (3.0, None), (None, None), (float("nan"), None), (100.0, None)], "a double, b double")
     got = [r.x for r in T.imputed(df, ["a", "b"], F.coalesce(F.col("a") < 50, F.lit(True))).collect()]
     assert got == [[1.0, 0.0], [3.0, 0.0], [1.0, 0.0], [1.0, 0.0], [100.0, 0.0]]
+
+
+# ledgers
+
+
+def test_canonical_text_is_the_json_of_sorted_keys(spark):
+    import json
+
+    rows = [("b\"\\x\n", 3, 0.1, day(1)), (None, None, None, None), ("é", -1, -2.5, day(2))]
+    df = spark.createDataFrame(rows, "name string, count int, value double, at date")
+    fields = {"name": "text", "count": "whole", "value": "number", "at": "date"}
+    got = [r.t for r in df.select(ledger.canonical(fields).alias("t")).collect()]
+    for text, (name, count, value, at) in zip(got, rows):
+        want = {"name": name, "count": count, "value": value, "at": None if at is None else str(at)}
+        assert json.loads(text) == want and list(json.loads(text)) == sorted(want) and ": " not in text
+    assert '"value":0.100000000000' in got[0]
+
+
+def test_chain_goes_on_from_its_heads(spark):
+    import hashlib
+
+    payload = lambda k, i: f'{{"k":"{k}{i}","previous_hash":"\u0000"}}'
+    rows = [(k, i, payload(k, i)) for k in "AB" for i in range(1, 60)] + [("C", i, payload("C", i)) for i in range(40, 50)]
+    df = spark.createDataFrame(rows, "ledger_id string, seq int, payload string").repartition(5)
+    first = ledger.chain_append(df.where("seq <= 30"))
+    whole = first.unionByName(ledger.chain_append(df.where("seq > 30"), ledger.chain_heads(first)))
+    got = {(r.ledger_id, r.seq): r for r in whole.collect()}
+    for k, low in (("A", 1), ("B", 1), ("C", 40)):
+        before = "GENESIS"
+        for i in range(low, 60 if low == 1 else 50):
+            assert got[k, i].previous_hash == before
+            before = hashlib.sha256(payload(k, i).replace("\u0000", before).encode()).hexdigest()
+            assert got[k, i].event_hash == before
+    for segment in (7, 10_000):
+        assert {r.ledger_id: r.issue for r in ledger.chain_audit(whole, segment).collect()} == dict.fromkeys("ABC")
+        bent = whole.withColumn("event_hash", F.when((F.col("ledger_id") == "A") & (F.col("seq") == 20), "x").otherwise(F.col("event_hash")))
+        gone = whole.where("NOT (ledger_id = 'B' AND seq = 14)")
+        assert {(r.ledger_id, r.seq, r.issue) for r in ledger.chain_audit(bent.where("ledger_id = 'A'"), segment).collect()} == {("A", 20, "HASH_MISMATCH")}
+        assert {(r.ledger_id, r.seq, r.issue) for r in ledger.chain_audit(gone.where("ledger_id = 'B'"), segment).collect()} == {("B", 15, "BROKEN_LINK")}
+
+
+def test_numbers_have_no_gaps(spark):
+    rng = random.Random(17)
+    rows = [(rng.choice("ab"), day(rng.randrange(9)), i) for i in range(200)]
+    got = ledger.numbered(spark.createDataFrame(rows, "k string, at date, i int"), ["k"], "at", ["i"]).collect()
+    for k in "ab":
+        own = sorted((r for r in got if r.k == k), key=lambda r: (r.at, r.i))
+        assert [r.seq for r in own] == list(range(1, len(own) + 1))
+
+
+def test_a_batch_is_taken_whole_or_not_at_all(spark):
+    rows = [("one", "s1", "L", day(1), 5), ("one", "s2", "L", day(1), 5), ("two", "s3", "L", day(1), 5), ("two", "s4", "L", day(2), None), ("three", "s1", "L", day(1), 5), ("three", "s5", "L", day(3), 20)]
+    df = spark.createDataFrame(rows, "batch_id string, signal_id string, ledger_id string, signal_date date, horizon int")
+    box = ledger.Intake(spark, "intake-test", {"HORIZON": F.col("horizon").isin(5, 20)})
+    assert {(r.batch_id, r["rows"], r.failed) for r in box.submit(df).collect()} == {("one", 2, ""), ("two", 2, "HORIZON"), ("three", 2, "")}
+    for _ in range(2):  # the same batches come again
+        assert sorted(r.signal_id for r in box.signals().collect()) == ["s1", "s2", "s5"]
+        assert sorted(r.snapshot for r in box.audits().collect()) == [day(1), day(3)]
+        box.submit(df.where("batch_id <> 'three'"))
+    box.submit(df.where("batch_id = 'two'").withColumn("horizon", F.lit(5)))  # mended
+    assert box.signals().count() == 5
+
+
+def test_watchlist_versions(spark):
+    kind = "symbol string, at date, state string"
+    one = spark.createDataFrame([("A", day(1), "LONG"), ("A", day(2), "LONG"), ("A", day(4), "SHORT"), ("B", day(3), None), ("C", day(1), "LONG")], kind)
+    two = spark.createDataFrame([("A", day(6), None), ("A", day(8), "LONG"), ("B", day(6), "LONG"), ("C", day(9), "LONG")], kind)
+    want = {("A", "LONG", day(1), day(4)), ("A", "SHORT", day(4), day(6)), ("A", "LONG", day(8), None), ("B", "LONG", day(6), None), ("C", "LONG", day(1), None)}
+    history = None
+    for part in (one, one, two, two, one):
+        history = ledger.watch_versions(history, part, ["symbol"])
+    assert {tuple(r) for r in history.select("symbol", "state", "valid_from", "valid_to").collect()} == want
+
+
+def test_role_columns_are_the_roles(spark):
+    from tickloom.operators import models as M
+
+    for h in (1, 5, 20):
+        rows = spark.range(240, 1500, 7).withColumns(M.role_columns(F.col("id"), h)).collect()
+        for r in rows:
+            roles = M.split_roles(r.id, h)
+            if roles is None:
+                assert r.train_end is None and r.assessment_start is None
+                continue
+            assert r.train_end == roles["train"][1] and r.assessment_start == roles["assessment"][0]
+            assert (r.calibration_start, r.calibration_end) == roles.get("calibration", (None, None))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.columns import clip
@@ -31,6 +31,20 @@ def split_roles(n: int, horizon: int) -> dict | None:
     return {"train": (0, train), "assessment": (split, n)}
 
 
+def role_columns(n: Column, horizon: int) -> dict[str, Column]:
+    """The same ranges as columns of a table with a row for each series: train_end, calibration_start and _end (null: none), assessment_start; null for short ones."""
+    split = F.least(F.greatest(F.lit(200), F.floor(n * F.lit(0.78))), n - 60)
+    middle = split + F.floor((n - split) / 2)
+    apart = n - split >= max(120, 4 * horizon + 40)
+    known = n >= 250
+    return {
+        "train_end": F.when(known, F.greatest(F.lit(100), split - horizon)),
+        "calibration_start": F.when(known & apart, split),
+        "calibration_end": F.when(known & apart, middle),
+        "assessment_start": F.when(known, F.when(apart, F.least(middle + horizon, n - 30)).otherwise(split)),
+    }
+
+
 def inner_folds(n: int, horizon: int, folds: int = 3) -> list[tuple[int, int, int]]:
     """(train end, start, end) of expanding walk-forward blocks; none if too few rows remain."""
     least = max(180, int(0.45 * n))

@@ -97,3 +97,29 @@ def primary_horizon(rows: DataFrame) -> DataFrame:
         F.col("input_issue").isNull().desc(), verdict.desc(), quality.desc(), F.abs(F.col("probability_up") - 0.5).desc(), F.abs("expected_return").desc(), preferred
     )
     return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def top_views(rows: DataFrame, views: dict[str, dict]) -> DataFrame:
+    """view, place and the columns of rows: several ranked lists in one pass over the rows.
+
+    views: by name the rows' condition (`where`), numbers of which the largest are first (`order`), how many (`first`), whether a symbol stands once
+    (`distinct`), and a condition that some rows are preferred for (`prefer`): where any row meets it, only such rows stay. Ties go to the first symbol
+    and horizon. A row goes to the views that it is in as one short record for each; the best of each symbol and the first of each
+    view are found inside tasks before anything is sent.
+    """
+    wide = max(len(v["order"]) for v in views.values())
+    last = F.lit(float("-inf"))
+    each = []
+    for name, v in views.items():
+        numbers = [*[F.coalesce(F.expr(o).cast("double"), last) for o in v["order"]], *[F.lit(0.0)] * (wide - len(v["order"]))]
+        prefer = F.coalesce(F.expr(v["prefer"]).cast("int"), F.lit(0)) if "prefer" in v else F.lit(0)
+        one = F.struct(F.lit(name).alias("view"), F.lit(v["first"]).alias("first"), F.lit(bool(v.get("distinct"))).alias("single"), prefer.alias("preferred"), F.array(*numbers).alias("order"))
+        each.append(F.when(F.coalesce(F.expr(v.get("where", "true")), F.lit(False)), one))
+    flat = rows.select(*rows.columns, F.explode(F.array_compact(F.array(*each))).alias("v")).select("v.*", *rows.columns)
+    rank = [F.desc("preferred"), *[F.col("order")[i].desc() for i in range(wide)], F.col("symbol"), F.col("horizon")]
+    own = F.when(F.col("single"), F.concat(F.lit("s"), F.col("symbol"))).otherwise(F.concat_ws("|", F.lit("r"), "symbol", F.col("horizon").cast("string")))
+    best = flat.withColumn("__own", own).withColumn("__r", F.row_number().over(Window.partitionBy("view", "__own").orderBy(*rank))).where("__r = 1").drop("__r", "__own")
+    most = max(v["first"] for v in views.values())
+    placed = best.withColumn("place", F.row_number().over(Window.partitionBy("view").orderBy(*rank))).where((F.col("place") <= most) & (F.col("place") <= F.col("first")))
+    any_ = F.max("preferred").over(Window.partitionBy("view"))
+    return placed.withColumn("__any", any_).where("preferred = __any").select("view", "place", *rows.columns)

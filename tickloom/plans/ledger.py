@@ -10,8 +10,9 @@ from tickloom.functions.columns import r6 as R
 from tickloom.operators import ledger as X
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import W, cte, r6, sql
-from tickloom.plans.validation import rounded
+from tickloom.plans.validation import records, rounded
 from tickloom.sources import bars as B
+from tickloom.sources.storage import stored
 
 CLASS = rules.CLASS[0]["asset_class"]
 cte(
@@ -118,15 +119,15 @@ def l06_state(spark, sf):
 
 @query(
     sql(
-        f"""SELECT ledger_id, n_pending, n_accepted, n_open, n_closed, n_skipped, mean_return, signal_days, 5 - n_open - n_accepted AS free_slots FROM (SELECT ledger_id, {', '.join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in ('PENDING', 'ACCEPTED', 'OPEN', 'CLOSED', 'SKIPPED'))}, {r6('avg(strategy_return)', 'mean_return')} FROM state_l GROUP BY ledger_id)
-    JOIN (SELECT ledger_id, count(DISTINCT event_date) FILTER (event_type = 'SIGNAL_OBSERVED') AS signal_days FROM events_l GROUP BY ledger_id) USING (ledger_id)""",
+        f"""SELECT ledger_id, n_pending, n_accepted, n_open, n_closed, n_skipped, signals, events, mean_return, median_return, hit_rate, signal_days, 5 - n_open - n_accepted AS free_slots FROM (SELECT ledger_id, {', '.join(f"count(*) FILTER (status = '{s}') AS n_{s.lower()}" for s in ('PENDING', 'ACCEPTED', 'OPEN', 'CLOSED', 'SKIPPED'))}, count(*) AS signals, {r6('avg(strategy_return)', 'mean_return')}, {r6("quantile_cont(strategy_return, 0.5) FILTER (status = 'CLOSED')", 'median_return')}, {r6('avg(CASE WHEN strategy_return > 0 THEN 1.0::DOUBLE WHEN strategy_return IS NOT NULL THEN 0.0::DOUBLE END)', 'hit_rate')} FROM state_l GROUP BY ledger_id)
+    JOIN (SELECT ledger_id, count(*) AS events, count(DISTINCT event_date) FILTER (event_type = 'SIGNAL_OBSERVED') AS signal_days FROM events_l GROUP BY ledger_id) USING (ledger_id)""",
         "state_l",
         "events_l",
     )
 )
 def l09_a16_ledger_health(spark, sf):
     out = X.health(events(spark, sf), 5)
-    return rounded(out, ["ledger_id", "n_pending", "n_accepted", "n_open", "n_closed", "n_skipped", "signal_days", "free_slots"])
+    return rounded(out, ["ledger_id", "n_pending", "n_accepted", "n_open", "n_closed", "n_skipped", "signals", "events", "signal_days", "free_slots"])
 
 
 @query(sql("SELECT ledger_id, event_type, count(*) AS n, count(DISTINCT signal_id) AS n_signals FROM events_l GROUP BY ALL", "events_l"))
@@ -136,43 +137,96 @@ def a17_event_counts(spark, sf):
 
 @query(sql("SELECT ledger_id, seq, event_type, signal_id FROM (SELECT *, row_number() OVER (PARTITION BY ledger_id ORDER BY seq DESC) AS r FROM events_l) WHERE r <= 30", "events_l"))
 def w16_last_events(spark, sf):
-    w = Window.partitionBy("ledger_id").orderBy(F.desc("seq"))
-    return events(spark, sf).withColumn("r", F.row_number().over(w)).where("r <= 30").select("ledger_id", "seq", "event_type", "signal_id")
+    rows = events(spark, sf)
+    last = rows.groupBy(F.col("ledger_id").alias("of")).agg(F.max("seq").alias("last"))  # numbers have no gaps
+    return rows.join(last, F.col("ledger_id") == F.col("of")).where("seq > last - 30").select("ledger_id", "seq", "event_type", "signal_id")
 
 
-def chained(spark, sf):
-    e = events(spark, sf).withColumn("payload", F.concat_ws("|", "event_type", "signal_id", F.col("event_date").cast("string")))
-    return X.chain_append(e)
+def json_sql(previous: str) -> str:
+    """An event as one JSON object with its keys in order, put together by hand."""
+    parts = []
+    for name in sorted([*X.EVENT_FIELDS, "previous_hash"]):
+        kind = X.EVENT_FIELDS.get(name, "hash")
+        value = {"number": f"printf('%.12f', {name})", "whole": f"CAST({name} AS VARCHAR)", "hash": previous}.get(kind, f"'\"' || CAST({name} AS VARCHAR) || '\"'")
+        parts.append(f"'\"{name}\":' || coalesce({value}, 'null')")
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
 
 
 @query()
 def l08_hash_chain(spark, sf):
-    return chained(spark, sf)
+    return X.chain_append(X.payloads(events(spark, sf)))
 
 
-PAYLOAD = "concat_ws('|', event_type, signal_id, CAST(event_date AS VARCHAR))"
+BEFORE, AFTER = (part for part in json_sql("MARK").split("coalesce(MARK, 'null')"))
+cte(
+    "chain_heads",
+    f"""SELECT ledger_id, CAST(len(todo) AS INTEGER) AS seq, (list_reduce(todo, lambda h, x: {{'p': x.p, 's': x.s, 'h': sha256(x.p || '"' || h.h || '"' || x.s)}}, {{'p': '', 's': '', 'h': 'GENESIS'}})).h AS event_hash
+    FROM (SELECT ledger_id, list({{'p': {BEFORE} '', 's': '' {AFTER}, 'h': ''}} ORDER BY seq) AS todo FROM events_l GROUP BY ledger_id)""",
+    "events_l",
+)
+
+
+@query(sql("SELECT * FROM chain_heads", "chain_heads"))
+def l08_chain_heads(spark, sf):
+    """The head of each ledger's chain after its events were appended in two runs, the second from the heads of the first."""
+    parts = X.payloads(stored(events(spark, sf), "events"))
+    first = stored(X.chain_append(parts.where("seq <= 200")), "chain")
+    second = X.chain_append(parts.where("seq > 200"), X.chain_heads(first))
+    return X.chain_heads(first.unionByName(second))
+
+
+PREV = "CASE WHEN seq = 1 THEN 'GENESIS' WHEN seq >= 40 AND ledger_id = 'US' THEN 'tampered' ELSE 'x' END"
+QUOTED = "'\"' || prev || '\"'"
 
 
 @query(
     sql(
-        f"""SELECT ledger_id, count(*) AS n_events, CAST(min(seq) FILTER (issue IS NOT NULL) AS INTEGER) AS seq, arg_min(issue, seq) FILTER (issue IS NOT NULL) AS issue FROM (SELECT *, CASE WHEN prev <> coalesce(lag(h) OVER (PARTITION BY ledger_id ORDER BY seq), 'GENESIS') THEN 'BROKEN_LINK' WHEN h <> sha256(prev || '|' || payload) THEN 'HASH_MISMATCH' END AS issue
-    FROM (SELECT *, sha256(prev || '|' || payload) AS h FROM (SELECT *, CASE WHEN seq = 1 THEN 'GENESIS' WHEN seq >= 40 AND ledger_id = 'US' THEN 'tampered' ELSE 'x' END AS prev, {PAYLOAD} AS payload FROM events_l))) GROUP BY ledger_id""",
+        f"""SELECT ledger_id, count(*) AS n_events, CAST(min(seq) FILTER (issue IS NOT NULL) AS INTEGER) AS seq, arg_min(issue, seq) FILTER (issue IS NOT NULL) AS issue FROM (SELECT *, CASE WHEN prev <> coalesce(lag(h) OVER (PARTITION BY ledger_id ORDER BY seq), 'GENESIS') THEN 'BROKEN_LINK' WHEN h <> sha256({json_sql(QUOTED)}) THEN 'HASH_MISMATCH' END AS issue
+    FROM (SELECT *, sha256({json_sql(QUOTED)}) AS h FROM (SELECT *, {PREV} AS prev FROM events_l))) GROUP BY ledger_id""",
         "events_l",
     )
 )
 def l07_chain_audit(spark, sf):
     """A chain whose links were all rewritten: the audit names the first event that doesn't hold."""
-    e = events(spark, sf).withColumn("payload", F.concat_ws("|", "event_type", "signal_id", F.col("event_date").cast("string")))
+    e = X.payloads(events(spark, sf))
     prev = F.when(F.col("seq") == 1, "GENESIS").when((F.col("seq") >= 40) & (F.col("ledger_id") == "US"), "tampered").otherwise("x")
-    e = e.withColumn("previous_hash", prev).withColumn("event_hash", F.sha2(F.concat_ws("|", "previous_hash", "payload"), 256))
+    e = e.withColumn("previous_hash", prev).withColumn("event_hash", F.sha2(F.replace(F.col("payload"), F.lit("\u0000"), F.col("previous_hash")), 256))
     return X.chain_audit(e)
 
 
+# intake by batches, a month of a ledger each
+
+CHECKS_SQL = {
+    "DIRECTION": "direction IN ('LONG', 'SHORT')",
+    "HORIZON": "horizon IN (1, 5, 20)",
+    "INDEX_SHORT_ON_13TH": "NOT (symbol LIKE '^%' AND direction = 'SHORT' AND day(signal_date) = 13)",
+    "SYMBOL": "symbol IS NOT NULL AND symbol <> ''",
+}
+BATCH = "ledger_id || '_' || strftime(signal_date, '%Y%m')"
+cte("batches", f"SELECT *, {BATCH} AS batch_id FROM done", "done")
+cte("verdicts", f"SELECT batch_id, count(*) AS rows, concat_ws(',', {', '.join(f"CASE WHEN NOT bool_and({c}) THEN '{n}' END" for n, c in sorted(CHECKS_SQL.items()))}) AS failed FROM batches GROUP BY batch_id", "batches")
+cte("taken_in", "SELECT b.* FROM batches b JOIN verdicts USING (batch_id) WHERE failed = ''", "batches", "verdicts")
+
+
+def intake(spark, sf):
+    """The intake after all batches came, and every third of them once more."""
+    batches = stored(done(spark, sf).withColumn("batch_id", F.concat_ws("_", "ledger_id", F.date_format("signal_date", "yyyyMM"))), "batches")
+    box = X.Intake(spark, "intake", {n: F.expr(c) for n, c in CHECKS_SQL.items()})
+    verdicts = box.submit(batches)
+    box.submit(batches.where("month(signal_date) IN (3, 6, 9, 12)"))
+    return box, verdicts
+
+
+@query(sql("SELECT * FROM verdicts", "verdicts"))
+def l01_intake_verdicts(spark, sf):
+    return intake(spark, sf)[1]
+
+
 # the gate as a fold over a ledger's signals in order: who holds which slot until when, what ended lately, and what was taken
 GATE_HELD, GATE_TAKEN = "STRUCT(symbol VARCHAR, until DATE)[]", "STRUCT(signal_id VARCHAR, slot INTEGER)[]"
 
 
-def gate_sql(slots):
+def gate_sql(slots, source="done"):
     none = f"'held': CAST(NULL AS {GATE_HELD}), 'gone': CAST(NULL AS {GATE_HELD}), 'taken': CAST(NULL AS {GATE_TAKEN})"
     signal = f"{{'signal_id': signal_id, 'symbol': symbol, 'dt': CAST(signal_date AS DATE), 'until': CAST(coalesce(exit_date, DATE '9999-12-31') AS DATE), {none}}}"
     empty = ", ".join(["{'symbol': '', 'until': DATE '1900-01-01'}"] * slots)
@@ -184,7 +238,7 @@ def gate_sql(slots):
     taken = f"CASE WHEN {take} THEN list_append(s.taken, {{'signal_id': t.signal_id, 'slot': CAST({free} AS INTEGER)}}) ELSE s.taken END"
     step = f"{{'signal_id': t.signal_id, 'symbol': t.symbol, 'dt': t.dt, 'until': t.until, 'held': {held}, 'gone': {gone}, 'taken': {taken}}}"
     return f"""SELECT ledger_id, p.signal_id, p.slot FROM (SELECT ledger_id, unnest((list_reduce(todo, lambda s, t: {step}, {first})).taken) AS p FROM
-    (SELECT ledger_id, list({signal} ORDER BY signal_date, symbol, signal_id) AS todo FROM done GROUP BY ledger_id))"""
+    (SELECT ledger_id, list({signal} ORDER BY signal_date, symbol, signal_id) AS todo FROM {source} GROUP BY ledger_id))"""
 
 
 cte("gate_taken", gate_sql(5), "done")
@@ -205,6 +259,28 @@ def f06_portfolio_gate(spark, sf):
     return X.gate_portfolios(done(spark, sf))
 
 
+cte("gate_in", gate_sql(5, "taken_in"), "taken_in")
+
+
+@query(
+    sql(
+        """SELECT ledger_id, 'SNAPSHOT_AUDIT' AS event_type, signal_date AS event_date, NULL::VARCHAR AS signal_id FROM (SELECT DISTINCT ledger_id, signal_date FROM taken_in)
+    UNION ALL SELECT ledger_id, 'SIGNAL_OBSERVED', signal_date, signal_id FROM taken_in
+    UNION ALL SELECT t.ledger_id, CASE WHEN g.slot IS NULL THEN 'POSITION_SKIPPED' ELSE 'POSITION_ACCEPTED' END, signal_date, t.signal_id FROM taken_in t LEFT JOIN gate_in g ON g.ledger_id = t.ledger_id AND g.signal_id = t.signal_id""",
+        "taken_in",
+        "gate_in",
+    )
+)
+def l04_intake_events(spark, sf):
+    """Events of what was taken in: an audit for each snapshot, every signal, and the gate's decision on it."""
+    box, _ = intake(spark, sf)
+    taken = stored(box.signals(), "taken")
+    audits = box.audits().select("ledger_id", F.lit("SNAPSHOT_AUDIT").alias("event_type"), F.col("snapshot").alias("event_date"), F.lit(None).cast("string").alias("signal_id"))
+    seen = taken.select("ledger_id", F.lit("SIGNAL_OBSERVED").alias("event_type"), F.col("signal_date").alias("event_date"), "signal_id")
+    gated = X.gate_portfolios(taken).select("ledger_id", F.when(F.col("decision") == "ACCEPTED", "POSITION_ACCEPTED").otherwise("POSITION_SKIPPED").alias("event_type"), F.col("signal_date").alias("event_date"), "signal_id")
+    return audits.unionByName(seen).unionByName(gated)
+
+
 @query(sql("SELECT a.signal_id FROM signals a WHERE EXISTS (SELECT 1 FROM done d WHERE d.symbol = a.symbol AND d.accepted AND d.exit_date = a.signal_date)", "signals", "done"))
 def j15_same_day_reentry(spark, sf):
     closed = done(spark, sf).where("accepted AND exit_date IS NOT NULL").select("symbol", F.col("exit_date").alias("signal_date"))
@@ -215,6 +291,7 @@ JOURNAL = {
     "hit_rate": "avg(CASE WHEN strategy_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (status = 'closed')",
     "average_return": "avg(strategy_return) FILTER (status = 'closed')",
     "median_return": "quantile_cont(strategy_return, 0.5) FILTER (status = 'closed')",
+    "expectancy": "avg(strategy_return) FILTER (status = 'closed')",
     "best_return": "max(strategy_return) FILTER (status = 'closed')",
     "worst_return": "min(strategy_return) FILTER (status = 'closed')",
     "profit_factor": "coalesce(sum(strategy_return) FILTER (strategy_return > 0), 0) / nullif(-sum(strategy_return) FILTER (strategy_return < 0), 0)",
@@ -228,7 +305,9 @@ def journal_query(name, by):
 
     run.__name__ = name
     keys = ", ".join(by)
-    query(sql(f"SELECT {keys}, count(*) AS total, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status <> 'closed') AS open, {', '.join(r6(e, n) for n, e in JOURNAL.items())} FROM jdone GROUP BY {keys}", "jdone"))(run)
+    order = f"(PARTITION BY {keys} ORDER BY signal_date, signal_id ROWS UNBOUNDED PRECEDING)"
+    falls = f"SELECT {keys}, min(wealth / top - 1) AS fall FROM (SELECT *, max(wealth) OVER {order} AS top FROM (SELECT *, exp(sum(ln(1 + strategy_return)) OVER {order}) AS wealth FROM jdone WHERE status = 'closed')) GROUP BY {keys}"
+    query(sql(f"SELECT {keys}, total, closed, open, {', '.join(JOURNAL)}, {r6('fall', 'max_drawdown')} FROM (SELECT {keys}, count(*) AS total, count(*) FILTER (status = 'closed') AS closed, count(*) FILTER (status <> 'closed') AS open, {', '.join(r6(e, n) for n, e in JOURNAL.items())} FROM jdone GROUP BY {keys}) LEFT JOIN ({falls}) USING ({keys})", "jdone"))(run)
 
 
 journal_query("a14_journal_summary", ["ledger_id"])
@@ -295,43 +374,110 @@ def l10_watchlist_active(spark, sf):
     return signals(spark, sf).groupBy("symbol", "horizon").agg(F.max_by("signal_id", F.struct("signal_date", "signal_id")).alias("signal_id")).select("signal_id")
 
 
+@query(
+    sql(
+        """SELECT symbol, horizon, state, valid_from, valid_to FROM (SELECT *, lead(valid_from) OVER (PARTITION BY symbol, horizon ORDER BY valid_from) AS valid_to FROM
+    (SELECT symbol, horizon, signal_date AS valid_from, state, lag(state) OVER w AS was, row_number() OVER w AS i FROM (SELECT *, CASE WHEN accepted THEN direction END AS state FROM signals) WINDOW w AS (PARTITION BY symbol, horizon ORDER BY signal_date))
+    WHERE i = 1 OR state IS DISTINCT FROM was) WHERE state IS NOT NULL""",
+        "signals",
+    )
+)
+def l10_watch_versions(spark, sf):
+    """The watchlist's history, kept by three batches of upserts and archivings, the second of which comes twice."""
+    items = stored(signals(spark, sf).select("symbol", "horizon", F.col("signal_date").alias("at"), F.when(F.col("accepted"), F.col("direction")).alias("state")), "items")
+    cuts, history = ("1994-06-01", "1997-01-01", "9999-12-31"), None
+    for low, high in zip(("0001-01-01", *cuts[:2]), cuts, strict=True):
+        part = items.where((F.col("at") >= low) & (F.col("at") < high))
+        history = stored(X.watch_versions(history, part, ["symbol", "horizon"]), "watchlist")
+        if high == cuts[1]:
+            history = stored(X.watch_versions(history, part, ["symbol", "horizon"]), "watchlist")
+    return history.select("symbol", "horizon", "state", "valid_from", "valid_to")
+
+
 THEN_NOW = """CASE WHEN n.symbol IS NULL THEN 'NO_CURRENT_ANALYSIS' WHEN t.direction = n.direction THEN 'STILL_CONFIRMED' ELSE 'REVERSED' END"""
-LATEST = "(SELECT symbol, arg_max(direction, signal_date) AS direction FROM signals GROUP BY symbol HAVING count(*) > 400)"
+LATEST = "(SELECT symbol, arg_max(direction, signal_date) AS direction FROM signals WHERE signal_date >= (SELECT max(signal_date) - 45 FROM signals) GROUP BY symbol)"
 
 
 @query(sql(f"SELECT t.signal_id, {THEN_NOW} AS comparison FROM signals t LEFT JOIN {LATEST} n USING (symbol)", "signals"))
 def j10_k06_watch_comparison(spark, sf):
     s = signals(spark, sf)
-    now = s.groupBy("symbol").agg(F.max_by("direction", "signal_date").alias("now"), F.count("*").alias("n")).where("n > 400")
+    last = s.agg(F.date_sub(F.max("signal_date"), 45).alias("since"))  # one row: an analysis of the last weeks is a current one
+    recent = s.crossJoin(F.broadcast(last)).where("signal_date >= since")
+    now = recent.groupBy("symbol").agg(F.max_by("direction", "signal_date").alias("now"))
     said = F.when(F.col("now").isNull(), "NO_CURRENT_ANALYSIS").when(F.col("direction") == F.col("now"), "STILL_CONFIRMED").otherwise("REVERSED")
     return s.join(now, "symbol", "left").select("signal_id", said.alias("comparison"))
 
 
+# every record against the latest analysis of its symbol and horizon; some have none, one of another horizon, or an invalid decision
+cte(
+    "watched",
+    """SELECT symbol || '|' || horizon || '|' || CAST(dt AS VARCHAR) AS item_id, symbol || '|' || CASE WHEN symbol LIKE '%.DE' THEN 20 ELSE horizon END AS key, symbol, horizon, dt, CASE WHEN NOT (symbol LIKE '^%' AND horizon = 1) THEN position END AS decision,
+    probability_up, expected_return, CASE WHEN abs(expected_return) > 0.01 THEN 'HIGH' ELSE 'LOW' END AS quality FROM records""",
+    "records",
+)
+cte("analysed", "SELECT * EXCLUDE (key), symbol || '|' || horizon AS key FROM watched WHERE symbol NOT LIKE '%-USD' QUALIFY row_number() OVER (PARTITION BY symbol, horizon ORDER BY dt DESC) = 1", "watched")
+
+
+@query(
+    sql(
+        f"""SELECT w.item_id, CASE WHEN a.key IS NULL THEN 'NO_CURRENT_ANALYSIS' WHEN a.horizon <> w.horizon THEN 'MISMATCH' ELSE CASE WHEN coalesce(w.decision * a.decision, 9) = 9 THEN 'DECISION_UNAVAILABLE' WHEN w.decision = a.decision THEN CASE w.decision WHEN 0 THEN 'UNCHANGED' ELSE 'STILL_CONFIRMED' END
+    WHEN w.decision = 0 THEN 'GAINED_CONFIRMATION' WHEN a.decision = 0 THEN 'WEAKENED' ELSE 'REVERSED' END END AS comparison, {r6('CASE WHEN a.horizon = w.horizon THEN a.probability_up - w.probability_up END', 'delta_probability_up')},
+    {r6('CASE WHEN a.horizon = w.horizon THEN a.expected_return - w.expected_return END', 'delta_expected_return')}, CASE WHEN a.horizon = w.horizon THEN CASE WHEN a.quality = w.quality THEN 'SAME' ELSE w.quality || '>' || a.quality END END AS quality_change
+    FROM watched w LEFT JOIN analysed a USING (key)""",
+        "watched",
+        "analysed",
+    )
+)
+def k06_watch_states(spark, sf):
+    key = lambda h: F.concat_ws("|", "symbol", h.cast("string"))
+    rows = records(spark, sf).select(
+        F.concat_ws("|", "symbol", F.col("horizon").cast("string"), F.col("dt").cast("string")).alias("item_id"), key(F.when(F.col("symbol").endswith(".DE"), 20).otherwise(F.col("horizon"))).alias("key"), "symbol", "horizon", "dt",
+        F.when(~(F.col("symbol").startswith("^") & (F.col("horizon") == 1)), F.col("position")).alias("decision"), "probability_up", "expected_return", F.when(F.abs("expected_return") > 0.01, "HIGH").otherwise("LOW").alias("quality"),
+    )
+    rows = stored(rows, "watched")
+    latest = rows.where("symbol NOT LIKE '%-USD'").groupBy("symbol", "horizon").agg(F.max_by(F.struct("decision", "probability_up", "expected_return", "quality"), "dt").alias("x")).select("symbol", "horizon", "x.*")
+    return rounded(X.compared(rows, latest.withColumn("key", key(F.col("horizon")))), ["item_id", "comparison", "quality_change"])
+
+
 # feed observations, made of the event stream
 
-RULES = {
-    "UNKNOWN_TYPE": "data_type NOT IN ('TRADE', 'QUOTE', 'BAR')",
-    "BAR_NEEDS_INTERVAL": "data_type = 'BAR' AND bar_interval IS NULL",
-    "END_OF_DAY_NEEDS_BAR": "delivery = 'END_OF_DAY' AND data_type <> 'BAR'",
-    "NOT_REALTIME_CAPABLE": "delivery = 'REALTIME' AND NOT capable",
-    "NEGATIVE_DELAY": "delay < 0",
+FEED = """CASE event_type WHEN 'click' THEN 'QUOTE' WHEN 'view' THEN 'BAR' WHEN 'purchase' THEN 'TRADE' ELSE 'OTHER' END AS data_type, CASE WHEN event_id % 3 = 0 THEN '1d' WHEN event_id % 3 = 1 THEN ' ' END AS bar_interval,
+CASE WHEN event_id % 4 = 0 THEN 'END_OF_DAY' WHEN event_id % 4 = 1 THEN 'REALTIME' WHEN event_id % 4 = 2 THEN 'DELAYED' ELSE 'SOON' END AS delivery, CASE WHEN user_id % 3 = 0 THEN 'YES' WHEN user_id % 3 = 1 THEN 'NO' ELSE 'MAYBE' END AS capable,
+CASE WHEN event_id % 11 = 0 THEN cast('NaN' AS double) WHEN event_id % 13 <> 0 THEN value - 5 END AS delay, CASE WHEN event_id % 5 = 0 THEN 'CLOSED' WHEN event_id % 5 = 1 THEN 'HALF' END AS bar_state,
+CASE WHEN event_id % 7 = 0 THEN ' ' ELSE event_type END AS instrument, CASE WHEN event_id % 17 = 0 THEN NULL ELSE 'feed' END AS source_name, CASE WHEN event_id % 19 = 0 THEN '' ELSE 'USD' END AS currency, CASE WHEN user_id % 5 = 0 THEN '' WHEN user_id % 5 = 1 THEN 'X' END AS venue,
+CASE WHEN event_id % 6 = 0 THEN 'RAW' WHEN event_id % 6 = 1 THEN 'NET' ELSE 'ADJUSTED' END AS basis, CASE WHEN event_id % 23 = 0 THEN NULL ELSE ts END AS retrieved, CASE WHEN event_id % 29 = 0 THEN ts - INTERVAL '1' DAY ELSE ts END AS checked"""
+#: The same rules said the other way round, what must hold.
+HOLDS = {
+    "BAR_INTERVAL": "data_type <> 'BAR' OR length(trim(coalesce(bar_interval, ''))) > 0",
+    "BAR_STATE": "data_type <> 'BAR' OR coalesce(bar_state IN ('CLOSED', 'IN_PROGRESS', 'UNKNOWN'), false)",
+    "CAPABILITY": "capable IN ('YES', 'NO', 'UNKNOWN')",
+    "CURRENCY": "length(trim(coalesce(currency, ''))) > 0",
+    "DATA_TYPE": "data_type IN ('TRADE', 'QUOTE', 'BAR')",
+    "DELAY": "delay IS NULL OR (NOT isnan(delay) AND delay >= 0)",
+    "DELIVERY": "delivery IN ('REALTIME', 'DELAYED', 'END_OF_DAY', 'UNKNOWN')",
+    "END_OF_DAY_BAR": "delivery <> 'END_OF_DAY' OR data_type = 'BAR'",
+    "INSTRUMENT": "length(trim(coalesce(instrument, ''))) > 0",
+    "ONLY_BAR": "data_type = 'BAR' OR (bar_interval IS NULL AND bar_state IS NULL)",
+    "PRICE_BASIS": "basis IN ('RAW', 'ADJUSTED', 'UNKNOWN')",
+    "REALTIME": "delivery <> 'REALTIME' OR capable <> 'NO'",
+    "RETRIEVED": "retrieved IS NOT NULL",
+    "RETRIEVED_AFTER_CHECK": "retrieved IS NULL OR retrieved <= checked",
+    "SOURCE": "length(trim(coalesce(source_name, ''))) > 0",
+    "VENUE": "venue IS NULL OR length(trim(venue)) > 0",
 }
-FEED = """CASE event_type WHEN 'click' THEN 'QUOTE' WHEN 'view' THEN 'BAR' WHEN 'purchase' THEN 'TRADE' ELSE 'OTHER' END AS data_type, CASE WHEN event_id % 3 = 0 THEN '1d' END AS bar_interval,
-CASE WHEN event_id % 4 = 0 THEN 'END_OF_DAY' WHEN event_id % 4 = 1 THEN 'REALTIME' ELSE 'DELAYED' END AS delivery, user_id % 2 = 0 AS capable, value - 5 AS delay"""
-CHECKS = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in RULES.items())
+CHECKS = ", ".join(f"CASE WHEN NOT ({rule}) THEN '{name}' END" for name, rule in HOLDS.items())
 
 
 @query(f"SELECT event_id, concat_ws(',', {CHECKS}) AS failed FROM (SELECT event_id, {FEED} FROM events)")
 def p21_feed_constraints(spark, sf):
     e = B.table(spark, sf, "events").selectExpr("event_id", *_split(FEED))
-    failed = F.array_compact(F.array(*[F.when(F.expr(rule), name) for name, rule in RULES.items()]))
-    return e.select("event_id", F.array_join(failed, ",").alias("failed"))
+    return e.select("event_id", F.array_join(X.feed_faults(), ",").alias("failed"))
 
 
 def _split(text):
     import re
 
-    return [x.strip() for x in re.split(r",\s(?=CASE|user_id|value)", text.replace("\n", " "))]
+    return [x.strip() for x in re.split(r",\s(?=CASE)", text.replace("\n", " "))]
 
 
 @query("SELECT event_id, CASE WHEN epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(ts) >= 0 THEN CAST(floor(epoch(TIMESTAMP '2024-01-20 00:00:00') - epoch(ts)) AS BIGINT) END AS age_s FROM events")

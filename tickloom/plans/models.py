@@ -161,22 +161,25 @@ def m12_predict(spark, sf):
     return M.shrink(rows).select("symbol", "horizon", *[R(c).alias(c) for c in ("probability_up", "expected_return", "lower_return", "upper_return")])
 
 
-def _roles(n, h):
-    return M.split_roles(n, h)
+SPLIT = "least(greatest(200, CAST(floor(0.78::DOUBLE * n) AS BIGINT)), n - 60)"
 
 
 @query(
     sql(
-        """SELECT symbol, n, CASE WHEN n < 250 THEN NULL ELSE greatest(100, least(greatest(200, CAST(floor(0.78 * n) AS BIGINT)), n - 60) - 5) END AS train_end,
-    CASE WHEN n < 250 THEN NULL ELSE least(greatest(200, CAST(floor(0.78 * n) AS BIGINT)), n - 60) END AS split FROM lengths""",
+        f"""SELECT symbol, n, horizon, CASE WHEN n >= 250 THEN greatest(100, s - horizon) END AS train_end, CASE WHEN n >= 250 AND n - s >= least_size THEN s END AS calibration_start,
+    CASE WHEN n >= 250 AND n - s >= least_size THEN s + (n - s) // 2 END AS calibration_end, CASE WHEN n >= 250 THEN CASE WHEN n - s >= least_size THEN least(s + (n - s) // 2 + horizon, n - 30) ELSE s END END AS assessment_start
+    FROM (SELECT symbol, n, horizon, {SPLIT} AS s, greatest(120, 4 * horizon + 40) AS least_size FROM lengths, hs)""",
         "lengths",
+        "hs",
     )
 )
 def m01_chronological_split(spark, sf):
-    n = F.col("n")
-    split = F.least(F.greatest(F.lit(200), F.floor(n * 0.78)), n - 60)
-    rows = B.brand_bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"))
-    return rows.select("symbol", "n", F.when(n >= 250, F.greatest(F.lit(100), split - 5)).alias("train_end"), F.when(n >= 250, split).alias("split"))
+    lengths = B.brand_bars(spark, sf).groupBy("symbol").agg(F.count("*").alias("n"))
+    out = None
+    for h in V.HORIZONS:
+        part = lengths.withColumns({"horizon": F.lit(h), **M.role_columns(F.col("n"), h)})
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def fitted(bars):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tickloom.functions import rules
 from tickloom.functions.columns import r6 as R
 from tickloom.operators import radar as X
+from tickloom.operators.contract import coverage_contract
 from tickloom.plans import prices as _prices  # noqa: F401  its common table expressions are used below
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.sources import bars as B
+from tickloom.sources.storage import stored
 
 cte("states", "SELECT t.*, r.* EXCLUDE (symbol), horizon FROM tech t JOIN risk r USING (symbol), (SELECT unnest([1, 5, 20]) AS horizon)", "tech", "risk")
 cte("fast", f"SELECT * FROM {rules.as_sql('states', rules.FAST)}", "states")
@@ -195,6 +197,77 @@ def w09_setup_leaders(spark, sf):
     return take(X.leaders(ml(spark, sf), 20, F.desc("setup_score")), [*KEY, "setup_score"])
 
 
+#: Snapshots of the scan: sound ones, and one with each kind of fault; in SQL as what differs from a sound snapshot.
+CASES = ["complete", "partial", "failed", "status", "schema", "total", "stranger", "unlisted", "twice", "lost", "mode", "horizon"]
+cte("cases", "SELECT unnest([" + ", ".join(f"'{c}'" for c in CASES) + "]) AS snapshot_id")
+cte("universe", "SELECT DISTINCT symbol FROM fast", "fast")
+cte("short", "SELECT symbol FROM universe WHERE symbol LIKE '%-USD'", "universe")
+cte("gone", "SELECT symbol, horizon FROM (SELECT symbol FROM universe WHERE symbol LIKE '%.WA'), (SELECT 20 AS horizon)", "universe")
+
+
+@query(
+    sql(
+        """SELECT snapshot_id, CASE snapshot_id WHEN 'complete' THEN 'COMPLETE' WHEN 'partial' THEN CASE WHEN (SELECT count(*) FROM gone) > 0 THEN 'PARTIAL' ELSE 'INVALID' END WHEN 'failed' THEN 'PARTIAL'
+    WHEN 'unlisted' THEN CASE WHEN (SELECT count(*) FROM gone) > 0 THEN 'INVALID' ELSE 'COMPLETE' END WHEN 'mode' THEN CASE WHEN (SELECT count(*) FROM short) > 0 THEN 'INVALID' ELSE 'COMPLETE' END ELSE 'INVALID' END AS state FROM cases""",
+        "cases",
+        "gone",
+        "short",
+    )
+)
+def o02_coverage_contract(spark, sf):
+    """The contract on snapshots of the scan that are complete, partial, or broken in one way each."""
+    rows = stored(fast(spark, sf).select("symbol", "horizon"), "scan")
+    cases = spark.createDataFrame([(c,) for c in CASES], "snapshot_id string")
+    of = lambda df: cases.crossJoin(df)  # noqa: E731  a dozen cases of one scan
+    universe = rows.select("symbol").distinct()
+    symbols, short = of(universe), of(universe.where("symbol LIKE '%-USD'"))
+    horizons = of(spark.createDataFrame([(1,), (5,), (20,)], "horizon int"))
+    own = horizons.where("NOT (snapshot_id = 'horizon' AND horizon = 20)")
+    gone = F.col("symbol").endswith(".WA") & (F.col("horizon") == 20) & F.col("snapshot_id").isin("partial", "unlisted")
+    fast_pairs, ml_pairs = symbols.join(horizons, "snapshot_id"), short.join(horizons, "snapshot_id")
+    pairs = None
+    for mode, df in (("fast", fast_pairs), ("ml", ml_pairs)):
+        for kind, part in (("expected", df), ("successful", df.where(~gone)), ("missing", df.where(gone & (F.col("snapshot_id") != "unlisted")))):
+            one = part.select("snapshot_id", F.lit(mode).alias("mode"), F.lit(kind).alias("kind"), "symbol", "horizon")
+            pairs = one if pairs is None else pairs.unionByName(one)
+    first = rows.agg(F.min("symbol").alias("symbol"))
+    pairs = pairs.unionByName(first.select(F.lit("twice").alias("snapshot_id"), F.lit("fast").alias("mode"), F.lit("expected").alias("kind"), "symbol", F.lit(1).alias("horizon")))
+    records = fast_pairs.where(~gone).join(ml_pairs.select("snapshot_id", "symbol", "horizon"), ["snapshot_id", "symbol", "horizon"], "left_anti").withColumn("mode", F.lit("FAST")).unionByName(ml_pairs.withColumn("mode", F.when(F.col("snapshot_id") == "mode", "GUESS").otherwise("ML")))
+    lost = records.join(first.withColumnRenamed("symbol", "__first"), F.col("symbol") == F.col("__first"), "left").where("NOT (snapshot_id = 'lost' AND __first IS NOT NULL AND horizon = 5)").drop("__first")
+    lost = lost.unionByName(spark.createDataFrame([("stranger", "nobody", 5, "FAST")], "snapshot_id string, symbol string, horizon int, mode string"))
+    total = rows.agg(F.count_distinct("symbol").alias("n"))
+    status = F.when(F.col("snapshot_id").isin("partial", "failed"), "partial").when(F.col("snapshot_id") == "status", "done").otherwise("complete")
+    heads = cases.crossJoin(total).select("snapshot_id", F.when(F.col("snapshot_id") == "schema", 7).otherwise(8).alias("schema_version"), status.alias("coverage_status"), (F.col("n") + (F.col("snapshot_id") == "total").cast("int")).alias("universe_total"), F.when(F.col("snapshot_id") == "failed", 2).otherwise(0).alias("n_errors"))
+    return coverage_contract(heads, symbols, horizons, own, short, pairs, lost)
+
+
+#: The lists of the radar page; `order`: largest first.
+VIEWS = {
+    "priority": {"where": "radar_action IN ('PRIORITY', 'WATCHLIST')", "order": ["deep_score", "setup_score", "edge_score", "risk_reward"], "first": 5, "distinct": True},
+    "movers": {"where": "radar_action NOT IN ('PRIORITY', 'WATCHLIST')", "order": ["greatest(abs(return_1d), abs(return_5d), abs(return_20d))", "radar_score", "deep_score"], "first": 5, "distinct": True},
+    "risk": {"where": "is_risk", "order": ["-edge_score", "-score"], "first": 5, "distinct": True},
+    "setups": {"order": ["deep_score", "setup_score", "edge_score", "radar_score"], "first": 25, "distinct": True},
+    "momentum": {"where": "horizon = 1", "order": ["radar_score"], "first": 18},
+    "reward": {"order": ["edge_score", "deep_score", "setup_score", "risk_reward"], "first": 20, "distinct": True},
+    **{f"horizon_{h}": {"where": f"horizon = {h}", "order": ["score"], "first": 12, "prefer": "is_confirmed"} for h in (1, 5, 20)},
+}
+
+
+def view_sql(name, v):
+    order = ", ".join([*[f"({o}) DESC NULLS LAST" for o in v["order"]], "symbol", "horizon"])
+    rows = f"SELECT * FROM ml WHERE {v.get('where', 'true')}"
+    if "prefer" in v:
+        rows = f"SELECT * FROM ({rows}) WHERE {v['prefer']} OR NOT EXISTS (SELECT 1 FROM ml WHERE {v.get('where', 'true')} AND {v['prefer']})"
+    if v.get("distinct"):
+        rows = f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {order}) = 1"
+    return f"SELECT '{name}' AS view, CAST(row_number() OVER (ORDER BY {order}) AS INTEGER) AS place, symbol, horizon FROM ({rows}) QUALIFY place <= {v['first']}"
+
+
+@query(sql(" UNION ALL ".join(f"({view_sql(n, v)})" for n, v in VIEWS.items()), "ml"))
+def w09_views(spark, sf):
+    return X.top_views(ml(spark, sf), VIEWS).select("view", "place", *KEY)
+
+
 POOL = "CASE WHEN is_confirmed THEN 0 WHEN radar_action IN ('PRIORITY', 'WATCHLIST') THEN 1 ELSE 2 END"
 
 

@@ -21,11 +21,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return typed_records(spark.read.option("header", True).csv(path))
 
 
-def newest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str | None:
-    """Path of the newest file below folder that fits the pattern; of equally new ones the last by name. Only file listings are read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    found = files.agg(F.max(F.struct("modificationTime", "path")).alias("f")).select("f.path").first()
-    return found["path"] if found else None
+def newest_run(spark: SparkSession, folder: str) -> str | None:
+    """Path of the newest finished run below folder, all parts of it; of equally new ones the last by name.
+
+    A run is finished once its writer has left its marker, `_SUCCESS`; the markers' times decide. Only file listings are read.
+    """
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = paths.Path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    marks = files.globStatus(paths.Path(f"{folder}/*/_SUCCESS")) or []
+    found = [(m.getModificationTime(), m.getPath().getParent().toString()) for m in marks]
+    return max(found)[1] if found else None
 
 
 def write_run(tables: dict[str, DataFrame], root: str, run_id: str, report: DataFrame | None = None) -> None:
