@@ -424,3 +424,16 @@ def test_role_columns_are_the_roles(spark):
                 continue
             assert r.train_end == roles["train"][1] and r.assessment_start == roles["assessment"][0]
             assert (r.calibration_start, r.calibration_end) == roles.get("calibration", (None, None))
+
+
+def test_a_strict_report_fails_on_prices(spark):
+    d = [day(i) for i in range(6)]
+    bars = spark.createDataFrame([("A", x, 10.0 + i) for i, x in enumerate(d)], "symbol string, dt date, open double")
+    trade = ("t1", "US|5", "US", 5, "A", 1, d[1], d[3], 11.0, 12.5, 1, 0.01, "SELECTED", "A", 0.1, 1, 1, 0.6, 0.01)
+    kind = "trade_id string, portfolio string, market string, horizon int, symbol string, slot int, entry_dt date, exit_dt date, entry_price double, exit_price double, position int, cost double, selection string, benchmark string, ret double, actual_up int, execution_up int, probability_up double, expected_return double"
+    audit = spark.createDataFrame([trade], kind)
+    with pytest.raises(reality.PriceIssues, match="PRICE_MISMATCH: 1, first t1"):
+        reality.portfolio_report(audit, audit, bars, 2, strict=True)
+    right = audit.withColumn("exit_price", F.lit(13.0))
+    assert reality.portfolio_report(right, right, bars, 2, strict=True).first().selected_trades == 1
+    assert reality.portfolio_report(audit, audit, bars, 2).first().price_issues == 1

@@ -105,11 +105,16 @@ def curve_summary(curve: DataFrame) -> DataFrame:
     )
 
 
+def _millionths(name: str) -> Column:
+    """The mean of numbers with six digits after the point, from a sum of whole numbers: the same in whatever order the rows come."""
+    return F.sum(F.round(F.col(name) * 1_000_000).cast("long")) / F.count(name) / 1_000_000
+
+
 def trade_summary(trades: DataFrame, by: list[str]) -> DataFrame:
     trades, x = stored(trades, "trades"), F.col("ret")
     report = trades.groupBy(*by).agg(
         F.count("*").alias("selected_trades"), F.avg(x).alias("mean_return"), F.avg((x > 0).cast("double")).alias("hit_rate"),
-        profit_factor(x).alias("profit_factor"), F.avg("actual_up").alias("actual_up_rate"), F.avg("execution_up").alias("execution_up_rate"), F.avg("probability_up").alias("avg_probability"), F.avg("expected_return").alias("avg_expected_return"),
+        profit_factor(x).alias("profit_factor"), F.avg("actual_up").alias("actual_up_rate"), F.avg("execution_up").alias("execution_up_rate"), _millionths("probability_up").alias("avg_probability"), _millionths("expected_return").alias("avg_expected_return"),
     )
     return with_median(report, trades, by)
 
@@ -135,12 +140,31 @@ def curves(trades: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
     return out
 
 
-def portfolio_report(records: DataFrame, audit: DataFrame, bars: DataFrame, slots: int) -> DataFrame:
+class PriceIssues(ValueError):
+    """Trades whose prices aren't those of the bars."""
+
+
+def report_parts(records: DataFrame, trades: DataFrame, keys: list[str]) -> DataFrame:
+    """part, value and the group summary of the records and their selected trades by each of the keys."""
+    out = None
+    for key in keys:
+        rows = group_summary(records, trades, [key])
+        rows = rows.select(F.lit(key).alias("part"), F.col(key).cast("string").alias("value"), *[c for c in rows.columns if c != key])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def portfolio_report(records: DataFrame, audit: DataFrame, bars: DataFrame, slots: int, strict: bool = False) -> DataFrame:
     """A row for each portfolio of the records, those without a selected trade too: signals, refusals, price issues, returns of trades and curves.
 
     audit: the selection with trade_id, portfolio, benchmark and the records' columns. Without a trade, returns and drawdowns are 0 and rates null.
+    A strict report isn't made, but fails, if any trade's prices aren't those of the bars.
     """
     trades = audit.where("selection = 'SELECTED'")
+    if strict:
+        found = price_issues(trades, bars).groupBy("issue").agg(F.count("*").alias("n"), F.min("trade_id").alias("first")).collect()  # a row for each kind
+        if found:
+            raise PriceIssues("; ".join(f"{r['issue']}: {r['n']}, first {r['first']}" for r in sorted(found)))
     counts = records.groupBy("portfolio").agg(F.count("*").alias("observations"), F.count_if(F.col("position") != 0).alias("raw_signals"))
     refused = audit.groupBy("portfolio").agg(*[F.count_if(F.col("selection") == x).alias(x.lower()) for x in ("SYMBOL_OVERLAP", "GLOBAL_POSITION_CAP")])
     issues = price_issues(trades, bars).join(trades.select("trade_id", "portfolio"), "trade_id").groupBy("portfolio").agg(F.count("*").alias("price_issues"))

@@ -204,8 +204,9 @@ TRADES = {
     "profit_factor": "coalesce(sum(ret) FILTER (ret > 0), 0) / nullif(-sum(ret) FILTER (ret < 0), 0)",
     "actual_up_rate": "avg(actual_up)",
     "execution_up_rate": "avg(execution_up)",
-    "avg_probability": "avg(probability_up)",
-    "avg_expected_return": "avg(expected_return)",
+    # numbers of six digits: their sums are whole, so that a mean on the edge of rounding is the same in any order of rows
+    "avg_probability": "sum(CAST(round(probability_up * 1000000) AS BIGINT)) / count(probability_up) / 1000000",
+    "avg_expected_return": "sum(CAST(round(expected_return * 1000000) AS BIGINT)) / count(expected_return) / 1000000",
 }
 
 
@@ -268,6 +269,21 @@ def f08_reality_report(spark, sf):
     return rounded(report, ["portfolio", "observations", "raw_signals", "symbol_overlap", "global_position_cap", "price_issues", "selected_trades"])
 
 
+def part_sql(key):
+    stats = ", ".join(r6(e, n) for n, e in TRADES.items())
+    return f"""SELECT '{key}' AS part, CAST({key} AS VARCHAR) AS value, observations, raw_signals, coalesce(selected_trades, 0) AS selected_trades, {', '.join(TRADES)} FROM (SELECT {key}, count(*) AS observations, count(*) FILTER (position <> 0) AS raw_signals FROM records GROUP BY {key})
+    LEFT JOIN (SELECT {key}, count(*) AS selected_trades, {stats} FROM trades GROUP BY {key}) USING ({key})"""
+
+
+@query(sql(" UNION ALL ".join(part_sql(k) for k in ("symbol", "horizon", "fold", "market")), "records", "trades"))
+def f08_report_parts(spark, sf):
+    """The report's parts by symbol, horizon, fold and market; the trades' prices are held against the bars first, strictly."""
+    rows, audit, bars = stored(records(spark, sf), "records"), audited(spark, sf), stored(B.brand_bars(spark, sf), "bars")
+    X.portfolio_report(portfolios(rows), benchmarked(audit), bars, SLOTS, strict=True)
+    parts = X.report_parts(rows, audit.where("selection = 'SELECTED'"), ["symbol", "horizon", "fold", "market"])
+    return rounded(parts, ["part", "value", "observations", "raw_signals", "selected_trades"])
+
+
 # calendars: the years of the tables
 
 YEARS = "(SELECT unnest(generate_series(1990, 2032)) AS y)"
