@@ -8,8 +8,8 @@ Documents: a source whose target is at least its size takes every document once;
 one more copy. Each document has a place on a line of hashes. Words are summed by source and hash bucket; the bucket in which a
 running sum passes the budget is cut into buckets again, and so on until it holds one document: all documents before it are
 taken. That threshold leaves a rest smaller than one document, which is the budget of the next threshold, further along the line and for
-documents that fit into the rest only. When no document fits any more, the smallest one left is taken too, alone or in exchange for the document
-that best makes up for it, if that brings the source nearer to its target. Thresholds are nested: one round's lies past that of the round before, and the filter at the end is a comparison of each document with
+documents that fit into the rest only. When no document fits any more, one that is left is taken too, alone or in exchange for a document that was
+taken, whichever of all such steps brings the source nearest to its target: a merge of the sizes of both kinds, each once, tells it. Thresholds are nested: one round's lies past that of the round before, and the filter at the end is a comparison of each document with
 the few thresholds of its source; nothing is sorted, and no task holds a source.
 
 The table of sources (one row each) is the one thing that a single task sees.
@@ -130,14 +130,25 @@ def thresholds(places: DataFrame, budgets: DataFrame, scratch: Scratch) -> DataF
     all_cuts = reduce(DataFrame.unionByName, rounds).groupBy("source").agg(F.collect_list("cut").alias("cuts"))
     rest = reduce(DataFrame.unionByName, rests).groupBy(F.col("source").alias("__rest")).agg(F.min("left").alias("left"), F.first("slack").alias("slack"))
     cuts = scratch.stage(all_cuts.join(rest, F.col("source").eqNullSafe(F.col("__rest"))).drop("__rest"), "threshold").withColumnRenamed("source", "__at")
-    met = places.join(cuts.where("left > slack"), F.col("source").eqNullSafe(F.col("__at"))).withColumn("has", F.exists("cuts", _takes)).where("size > 0")
-    smallest = met.where("NOT has").groupBy(F.col("__at").alias("__extra")).agg(F.min(F.struct("size", "h", "g")).alias("x"))
-    off = F.abs(F.col("left") - F.col("x.size") + F.col("size")).alias("off")
-    exchange = met.join(smallest, F.col("__at").eqNullSafe(F.col("__extra"))).groupBy("__extra").agg(F.first("x").alias("x"), F.first("left").alias("left"), F.min(F.when(F.col("has"), F.struct(off, "h", "g"))).alias("y"))
-    alone, least = F.col("x.size") - F.col("left"), F.coalesce(F.col("y.off"), F.col("left"))
-    one = F.struct(F.col("x.h").alias("low_h"), (F.col("x.g") - 1).alias("low_g"), F.col("x.h").alias("h"), (F.col("x.g") + 1).alias("g"), F.col("x.size").alias("most"))
-    swap = least < F.least(alone, F.col("left"))
-    extra = exchange.where(swap | (alone < F.col("left"))).select("__extra", one.alias("one"), F.when(swap, F.struct("y.h", "y.g")).alias("without"))
+    short = cuts.where("left > slack").select("__at", "cuts", "left")
+    met = places.join(short, F.col("source").eqNullSafe(F.col("__at"))).where("size > 0")
+    sizes = met.groupBy("__at", F.exists("cuts", _takes).alias("has"), "size").agg(F.min(F.struct("h", "g")).alias("at"), F.first("left").alias("left"))
+    whole = F.struct("size", F.col("at.h").alias("h"), F.col("at.g").alias("g"))
+    none = F.lit(None).cast("struct<size:bigint,h:bigint,g:bigint>")
+    nothing = F.struct(F.lit(0).cast("long").alias("size"), F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("g"))
+    asks = sizes.where("NOT has").select("__at", "left", (F.col("size") - F.col("left")).alias("wanted"), F.lit(1).alias("asks"), whole.alias("x"), none.alias("y"))
+    given = sizes.where("has").select("__at", "left", F.col("size").alias("wanted"), F.lit(0).alias("asks"), none.alias("x"), whole.alias("y"))
+    given = given.unionByName(short.select("__at", "left", F.lit(0).cast("long").alias("wanted"), F.lit(0).alias("asks"), none.alias("x"), nothing.alias("y")))
+    # a window sees a source's different sizes; each size that is left looks for the taken one, or none, that makes up for it best
+    by_size = Window.partitionBy("__at").orderBy("wanted", "asks")
+    under = F.last("y", ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    over = F.first("y", ignorenulls=True).over(by_size.rowsBetween(0, Window.unboundedFollowing))
+    merged = asks.unionByName(given).withColumns({"under": under, "over": over}).where("asks = 1")
+    steps = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("wanted") - F.col(c)["size"]).alias("off"), F.col("x"), F.col(c).alias("y"))) for c in ("under", "over")]))
+    best = merged.withColumn("step", F.array_min(steps)).groupBy(F.col("__at").alias("__extra")).agg(F.min("step").alias("step"), F.first("left").alias("left")).where("step.off < left")
+    x, y = F.col("step.x"), F.col("step.y")
+    one = F.struct(x["h"].alias("low_h"), (x["g"] - 1).alias("low_g"), x["h"].alias("h"), (x["g"] + 1).alias("g"), x["size"].alias("most"))
+    extra = best.select("__extra", one.alias("one"), F.when(y["size"] > 0, F.struct(y["h"].alias("h"), y["g"].alias("g"))).alias("without"))
     cuts = cuts.join(extra, F.col("__at").eqNullSafe(F.col("__extra")), "left")
     return cuts.select(F.col("__at").alias("source"), F.when(F.col("one").isNull(), F.col("cuts")).otherwise(F.concat("cuts", F.array("one"))).alias("cuts"), "without")
 
