@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,6 +168,15 @@ def test_nearest(spark):
     assert got[150] == [7, 100, 101, 102, 103] and got[100] == [7, 101, 102, 103, 104]
 
 
+def test_nearest_pairs_leave_a_block_once():
+    x = np.array([[1.0, 0.0], [0.8, 0.6], [0.6, 0.8]], np.float16)
+    vectors = pa.table({"id": [1, 2, 3], "vec": [r.tobytes() for r in x], "worst": pa.array([-2.0] * 3, pa.float32())})
+    links = pa.table({"pivot": [1, 1, 1, 9, 9, 9], "node": [1, 2, 3] * 2, "fresh": [True] * 6})
+    got = nearest._compare(links, vectors).to_pylist()
+    assert sorted((r["u"], r["v"]) for r in got) == [(1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)]
+    assert nearest._compare(links.slice(0, 1), vectors).num_rows == 0
+
+
 def test_nearest_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = [(r.rank, r.vec_id) for r in nearest.nearest(df, F.col("id") == 0, 5).orderBy("rank").collect()]

@@ -33,7 +33,8 @@ FEW_NEW, ROUNDS = 0.02, 8
 REVERSE = 20
 #: In the search a node leads to all its neighbours and to so many of those that have it as neighbour, the most similar first.
 BACK = 60
-LIST, EXPANDED = 144, 24
+#: Nodes of a query's list, and how many of them it leaves by in one round: a round costs shuffles, whatever their rows.
+LIST, EXPANDED = 144, 72
 _SEED = 20240229
 
 
@@ -158,12 +159,19 @@ def _compare(links: pa.Table, vectors: pa.Table) -> pa.Table:
         us.append(ids[here[a]])
         vs.append(ids[here[b]])
         sims.append(sim[a, b])
-    return pa.Table.from_batches([_edges(np.concatenate(us), np.concatenate(vs), np.concatenate(sims))])
+    u, v, sim = np.concatenate(us), np.concatenate(vs), np.concatenate(sims)
+    # several pivots bring the same pair: it leaves the block once
+    order = np.lexsort((-sim, v, u))
+    u, v, sim = u[order], v[order], sim[order]
+    first = np.append(True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]))[: len(u)]
+    return pa.Table.from_batches([_edges(u[first], v[first], sim[first])])
 
 
 def build_graph(nodes: DataFrame, count: int, scratch: Scratch, k: int = NEIGHBOURS) -> DataFrame:
     """nodes has node, vec and codes; the graph has u, v, sim: about the k nearest of each u."""
-    graph = _best(_first_graph(_blocked(nodes), k).distinct(), k).withColumn("fresh", F.lit(True))
+    # dealt by u once: both the grouping by u and v and the choice of the best need no other shuffle
+    pairs = _first_graph(_blocked(nodes), k).repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"))
+    graph = _best(pairs, k).withColumn("fresh", F.lit(True))
     graph = scratch.stage(graph, "graph_0")
     # where each node's work is done: with nodes that share its first code, in parts of about BLOCK
     coded = nodes.select("node", F.col("codes")[0].alias("code"))
@@ -173,13 +181,13 @@ def build_graph(nodes: DataFrame, count: int, scratch: Scratch, k: int = NEIGHBO
         worst = graph.groupBy("u").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0).cast("float")).alias("worst"))
         order = Window.partitionBy("v").orderBy(F.desc("fresh"), F.desc("sim"), "u")
         back = graph.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= REVERSE)
-        meet = graph.select("u", "v", "fresh").unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+        meet = graph.select("u", "v", "fresh").unionByName(back.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")).repartition("u").groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
         links = meet.select(F.col("u").alias("pivot"), F.col("v").alias("node"), "fresh").join(home, "pivot")
         carried = nodes.select("node", "vec").join(worst, F.col("node") == F.col("u")).select("node", "vec", "worst")
         sent = links.select("block", "node").distinct().join(carried, "node").select(F.col("block").alias("into"), F.col("node").alias("id"), "vec", "worst")
-        found = links.groupBy("block").cogroup(sent.groupBy("into")).applyInArrow(_compare, "u bigint, v bigint, sim float").distinct()
+        found = links.groupBy("block").cogroup(sent.groupBy("into")).applyInArrow(_compare, "u bigint, v bigint, sim float")
         both = graph.withColumn("old", F.lit(True)).select("u", "v", "sim", "old").unionByName(found.withColumn("old", F.lit(False)))
-        both = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), (~F.max("old")).alias("fresh"))
+        both = both.repartition("u").groupBy("u", "v").agg(F.max("sim").alias("sim"), (~F.max("old")).alias("fresh"))
         graph = scratch.stage(_best(both, k), f"graph_{turn + 1}")
         scratch.drop(f"graph_{turn}")
         if graph.where("fresh").count() <= FEW_NEW * k * count:
@@ -191,31 +199,37 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, entries: Data
     """query, node, sim: the list of each query at the end. queries: query, qvec; entries: query, node."""
     order = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
     back = graph.withColumn("r", F.row_number().over(order)).where(F.col("r") <= BACK).select(F.col("v").alias("u"), F.col("u").alias("v"))
-    links = scratch.stage(graph.select("u", "v").union(back).distinct(), "links")
+    # one row a node; its number of links is bounded
+    links = scratch.stage(graph.select("u", "v").union(back).groupBy("u").agg(F.collect_set("v").alias("vs")), "links")
     vectors = nodes.select("node", "vec")
 
-    def scored(rows: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                sim = np.array([np.dot(np.frombuffer(q, np.float16).astype(np.float32), np.frombuffer(v, np.float16).astype(np.float32)) for q, v in zip(b.column("qvec").to_pylist(), b.column("vec").to_pylist(), strict=True)], np.float32)
-                yield pa.RecordBatch.from_arrays([b.column("query"), b.column("node"), pa.array(sim, pa.float32())], names=["query", "node", "sim"])
+    @F.pandas_udf("float")
+    def similarity(q, v):
+        import pandas as pd
 
-        joined = rows.join(vectors, "node").join(queries, "query").select("query", "node", "qvec", "vec")
-        return joined.mapInArrow(run, "query bigint, node bigint, sim float").withColumn("seen", F.lit(False))
+        return pd.Series([np.dot(np.frombuffer(a, np.float16).astype(np.float32), np.frombuffer(b, np.float16).astype(np.float32)) for a, b in zip(q, v, strict=True)], dtype=np.float32)
 
-    top = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
-    found = scratch.stage(scored(entries.distinct()).withColumn("r", F.row_number().over(top)).where(F.col("r") <= LIST).drop("r"), "found_0")
-    turn = 0
+    best = Window.partitionBy("query").orderBy(F.desc("sim"), "node")
+    next_ = Window.partitionBy("query").orderBy("seen", F.desc("sim"), "node")
+
+    def listed(fresh: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """The best nodes of each query, and which it leaves by next (go)."""
+        met = fresh.join(vectors, "node").join(queries, "query")
+        rows = met.select("query", "node", similarity("qvec", "vec").alias("sim"), F.lit(False).alias("seen"))
+        if known is not None:
+            rows = rows.unionByName(known.select("query", "node", "sim", (F.col("seen") | F.col("go")).alias("seen")))
+        rows = rows.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LIST)
+        return rows.withColumn("go", ~F.col("seen") & (F.row_number().over(next_) <= EXPANDED)).drop("r")
+
+    found, turn = scratch.stage(listed(entries.distinct()), "found_0"), 0
     while True:
-        ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("seen", F.desc("sim"), "node")))
-        now = ranked.where((F.col("r") <= EXPANDED) & ~F.col("seen")).select("query", "node")
+        now = found.where("go")
         if now.isEmpty():
-            return found
-        near = now.join(links, F.col("node") == F.col("u")).select("query", F.col("v").alias("node")).distinct()
-        fresh = scored(near.join(found.select("query", "node"), ["query", "node"], "left_anti"))
-        visited = ranked.select("query", "node", "sim", (F.col("seen") | (F.col("r") <= EXPANDED)).alias("seen"))
-        merged = visited.unionByName(fresh).withColumn("r", F.row_number().over(top)).where(F.col("r") <= LIST).drop("r")
-        found = scratch.stage(merged, f"found_{turn + 1}")
+            return found.select("query", "node", "sim")
+        near = now.join(links, F.col("node") == F.col("u")).select("query", F.explode("vs").alias("node"), F.lit(True).alias("new"))
+        # met before or by another way: all of a query's rows are in one task, so that counting them out needs no other shuffle
+        met = near.unionByName(found.select("query", "node", F.lit(False).alias("new"))).repartition("query").groupBy("query", "node").agg(F.min("new").alias("new"))
+        found = scratch.stage(listed(met.where("new").select("query", "node"), found), f"found_{turn + 1}")
         scratch.drop(f"found_{turn}")
         turn += 1
 
