@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.sources.storage import stored
+
 BARS = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
@@ -64,7 +66,8 @@ def bars_from_trades(ticks: DataFrame) -> DataFrame:
 
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars_from_trades(trades(spark, sf_dir))
+    """Bars of the instruments, written: a query reads them many times, and the trades behind them grow where the bars don't."""
+    return stored(bars_from_trades(trades(spark, sf_dir)), "bars")
 
 
 def clean_bars(raw: DataFrame, seq: str, min_bars: int = MIN_BARS) -> tuple[DataFrame, DataFrame]:
