@@ -437,3 +437,14 @@ def test_a_strict_report_fails_on_prices(spark):
     right = audit.withColumn("exit_price", F.lit(13.0))
     assert reality.portfolio_report(right, right, bars, 2, strict=True).first().selected_trades == 1
     assert reality.portfolio_report(audit, audit, bars, 2).first().price_issues == 1
+
+
+@pytest.mark.parametrize("name", ["f08_report_parts", "p03_decision_state"])
+def test_trades_become_bars_once_in_a_query(spark, monkeypatch, name):
+    from tickloom.plans import catalog
+    from tickloom.sources import bars
+
+    plain, read = bars.trades, []
+    monkeypatch.setattr(bars, "trades", lambda *a, **k: read.append(1) or plain(*a, **k))
+    found = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and not any("lineitem" in f for f in found.inputFiles())

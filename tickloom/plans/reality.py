@@ -9,6 +9,7 @@ from tickloom.functions import rules
 from tickloom.functions.columns import r6 as R
 from tickloom.operators import calendars as C
 from tickloom.operators import reality as X
+from tickloom.operators import validation as V
 from tickloom.plans.registry import query
 from tickloom.plans.sqltext import cte, r6, sql
 from tickloom.plans.validation import records, rounded
@@ -61,9 +62,9 @@ def portfolios(rows):
     return rows.withColumn("portfolio", F.concat_ws("|", "market", F.col("horizon").cast("string")))
 
 
-def audited(spark, sf):
+def audited(spark, sf, rows=None):
     """The greedy selection of every active signal, each market and horizon a portfolio of SLOTS slots; written once, since its readers are many."""
-    rows = portfolios(records(spark, sf))
+    rows = portfolios(records(spark, sf) if rows is None else rows)
     audit = X.selection_audit(rows, ["portfolio"], SLOTS, also=rows.columns)
     return stored(audit.withColumn("trade_id", F.concat_ws("|", "symbol", F.col("dt").cast("string"), F.col("horizon").cast("string"))), "selection")
 
@@ -265,7 +266,9 @@ TOTALS = ", ".join(f"{r6(f'coalesce({n}_totals.{c}, 0)', f'{n}_{c}')}" for n in
     )
 )
 def f08_reality_report(spark, sf):
-    report = X.portfolio_report(portfolios(records(spark, sf)), benchmarked(audited(spark, sf)), B.brand_bars(spark, sf), SLOTS)
+    bars = B.brand_bars(spark, sf)
+    rows = stored(V.records(bars), "records")
+    report = X.portfolio_report(portfolios(rows), benchmarked(audited(spark, sf, rows)), bars, SLOTS)
     return rounded(report, ["portfolio", "observations", "raw_signals", "symbol_overlap", "global_position_cap", "price_issues", "selected_trades"])
 
 
@@ -278,7 +281,9 @@ def part_sql(key):
 @query(sql(" UNION ALL ".join(part_sql(k) for k in ("symbol", "horizon", "fold", "market")), "records", "trades"))
 def f08_report_parts(spark, sf):
     """The report's parts by symbol, horizon, fold and market; the trades' prices are held against the bars first, strictly."""
-    rows, audit, bars = stored(records(spark, sf), "records"), audited(spark, sf), stored(B.brand_bars(spark, sf), "bars")
+    bars = B.brand_bars(spark, sf)
+    rows = stored(V.records(bars), "records")
+    audit = audited(spark, sf, rows)
     X.portfolio_report(portfolios(rows), benchmarked(audit), bars, SLOTS, strict=True)
     parts = X.report_parts(rows, audit.where("selection = 'SELECTED'"), ["symbol", "horizon", "fold", "market"])
     return rounded(parts, ["part", "value", "observations", "raw_signals", "selected_trades"])
