@@ -13,7 +13,7 @@ from tickloom.llm.decontamination import contaminated
 from tickloom.llm.language_id import fit, predict
 from tickloom.llm.near_dedup import near_duplicates
 from tickloom.llm.packing import packed_documents
-from tickloom.llm.shared import Scratch, one_row_per_id
+from tickloom.llm.shared import Scratch, one_row_per_id, without_id_in
 from tickloom.llm.substring_dedup import repeated_passages, without_passages
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -38,7 +38,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = one_row_per_id(docs.select(*COLUMNS))
     gone = near_duplicates(docs, n=5, percent=80).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return without_id_in(docs, gone).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

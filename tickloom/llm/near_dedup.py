@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices, with_id_in
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 BANDS, BAND_ROWS = 28, 5
@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = scratch.stage(pairs.select("cls", *_ordered("cls", "pivot"), "shared"), "candidates")
 
     needed = members.select("cls").distinct()
-    texts = docs.select(F.col("doc_id").alias("cls"), "text").join(needed, "cls", "left_semi")
+    texts = with_id_in(docs.select(F.col("doc_id").alias("cls"), "text"), needed, "cls")
     sets = scratch.stage(_packed_sets(texts, n), "sets")
 
     best = pairs.groupBy("cls").agg(F.max(F.struct("shared", (-F.col("a")).alias("a"), "b")).alias("m")).select((-F.col("m.a")).alias("a"), F.col("m.b").alias("b")).distinct()

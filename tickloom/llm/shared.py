@@ -8,12 +8,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that a task holds as arrays at once; a longer single text is still taken whole.
 CHUNK_BYTES = 1 << 19
 BATCH_ROWS = 500
+#: Bits of the marks by which rows are chosen before a join: 2 MB.
+MARK_BITS = 1 << 24
 #: Folders of sessions without executors of their own, by application.
 _LOCAL: dict[str, str] = {}
 
@@ -87,6 +89,40 @@ def one_row_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return single.unionByName(first.select("__row.*"))
 
 
+def perhaps_in(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df with __perhaps: false only where df's key is none of those in ids' first column; an exact join decides the others.
+
+    So that a join by which few rows are found doesn't shuffle all texts. The marks are a bitmap of hashes: MARK_BITS at most, whatever the
+    number of ids, sent to all tasks; with more ids more rows are true that needn't be.
+    """
+    kind = df.schema[key].dataType
+
+    def place(column: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(column.cast(kind)), F.lit(MARK_BITS))
+        return F.shiftright(bit, 15).alias("__block"), F.pmod(bit, F.lit(1 << 15)).alias("__bit")
+
+    marks = ids.select(*place(F.col(ids.columns[0]))).repartition("__block").groupBy("__block").agg(F.bitmap_construct_agg("__bit").alias("__marks"))
+    block, bit = place(F.col(key))
+    held = df.withColumns({"__block": block, "__bit": bit}).join(F.broadcast(marks), "__block", "left")
+    byte = F.conv(F.hex(F.expr("substring(__marks, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    set_ = F.expr("shiftleft(1, cast(__bit % 8 as int))")
+    return held.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(byte.bitwiseAND(set_) != 0, F.lit(False)).alias("__perhaps"))
+
+
+def with_id_in(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is in ids' first column."""
+    some = perhaps_in(df, ids, key).where("__perhaps").drop("__perhaps")
+    return some.join(ids.select(F.col(ids.columns[0]).alias("__id")).distinct(), F.col(key) == F.col("__id"), "left_semi")
+
+
+def without_id_in(df: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of df whose key is not in ids' first column; rows with a null key stay."""
+    marked = perhaps_in(df, ids, key)
+    some = marked.where("__perhaps").drop("__perhaps")
+    rest = some.join(ids.select(F.col(ids.columns[0]).alias("__id")), F.col(key) == F.col("__id"), "left_anti")
+    return marked.where("NOT __perhaps").drop("__perhaps").unionByName(rest)
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after the session's Arrow batches were bounded to BATCH_ROWS rows, unless the session names a number of its own.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, perhaps_in, slices, with_id_in
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 SHINGLE = 5
@@ -36,6 +36,8 @@ CONTEXTS = 1
 _SLACK = 16
 #: Tokens past the end of equal ones that tell whether a passage goes on behind an edit: an edited word changes five.
 _EDIT = 12
+#: Tokens of pairs that are compared at once.
+CHUNK_TOKENS = 1 << 17
 _U = np.uint64
 
 
@@ -176,22 +178,8 @@ def verified(own: np.ndarray, other: np.ndarray, width: int) -> list[tuple[int,
 
 def around(own: np.ndarray, other: np.ndarray, first: int, last: int, there: int, width: int) -> list[tuple[int, int, float]]:
     """Passages about the places of own from first to last, which meet other from `there` on: as verified() finds them, looking
-    no further than they reach.
-
-    Most pairs are decided by the run of equal tokens that the places lie in: where no token past its ends is near the other
-    text's, it is the passage, or too short for one. The others, with edits, are verified, farther and farther from the places.
+    no further than they reach: farther and farther from the places.
     """
-    back = min(first, there)
-    ahead = min(len(own) - first, len(other) - there)
-    if ahead > last - first:
-        differs = np.flatnonzero(own[first - back : first + ahead] != other[there - back : there + ahead])
-        i = int(np.searchsorted(differs, back))
-        if i == len(differs) or differs[i] > back + last - first:
-            low = int(differs[i - 1]) + 1 if i else 0
-            high = int(differs[i]) if i < len(differs) else back + ahead
-            a, b, c, d = first - back + low, first - back + high, there - back + low, there - back + high
-            if not _goes_on(own[max(0, a - _EDIT) : a], other[max(0, c - _EDIT - 2) : c + 2]) and not _goes_on(own[b : b + _EDIT], other[max(0, d - 2) : d + _EDIT + 2]):
-                return [(a, b, 1.0)] if b - a >= width else []
     reach = 4 * width
     while True:
         a, b = max(0, first - reach), min(len(own), last + 1 + reach)
@@ -202,8 +190,49 @@ def around(own: np.ndarray, other: np.ndarray, first: int, last: int, there: int
         reach *= 4
 
 
-def _goes_on(own: np.ndarray, other: np.ndarray) -> bool:
-    return not set(own.tolist()).isdisjoint(other.tolist())
+def plain_runs(own: list[np.ndarray], other: list[np.ndarray], first: np.ndarray, last: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether each pair is decided by the run of equal tokens that its places lie in, and the run's first token and end in own.
+
+    It is where no token past the run's ends is near the other text's: then it is the passage, or too short for one. Most pairs
+    are decided so, all of a batch at once; the others, with edits, are left to around().
+    """
+    sizes, sizes_there = (np.array([len(x) for x in part], np.int64) for part in (own, other))
+    at, at_there = (np.concatenate(([0], np.cumsum(n)))[:-1] for n in (sizes, sizes_there))
+    x, y = (np.concatenate([*part, np.zeros(1, np.uint32)]) for part in (own, other))
+    back, ahead = np.minimum(first, there), np.minimum(sizes - first, sizes_there - there)
+    span = last - first
+    length = np.maximum(back + ahead, 0)
+    begin = np.concatenate(([0], np.cumsum(length)))
+    inside = np.arange(begin[-1]) - np.repeat(begin[:-1], length)
+    differs = np.flatnonzero(x[np.repeat(at + first - back, length) + inside] != y[np.repeat(at_there + there - back, length) + inside])
+    bound = np.concatenate(([-1], differs, [begin[-1]]))
+    i = np.searchsorted(differs, begin[:-1] + back)
+    low = np.maximum(bound[i] + 1 - begin[:-1], 0)
+    high = np.minimum(bound[i + 1] - begin[:-1], length)
+    a, b, c, d = first - back + low, first - back + high, there - back + low, there - back + high
+    ok = (ahead > span) & (high > back + span)
+
+    def apart(place, place_there, offset, offset_there):
+        here, away = place[:, None] + offset, place_there[:, None] + offset_there
+        own_in, other_in = (here >= 0) & (here < sizes[:, None]), (away >= 0) & (away < sizes_there[:, None])
+        here, away = np.where(own_in, at[:, None] + here, 0), np.where(other_in, at_there[:, None] + away, 0)
+        same = (x[here][:, :, None] == y[away][:, None, :]) & own_in[:, :, None] & other_in[:, None, :]
+        return ~same.any((1, 2))
+
+    ok &= apart(a, c, np.arange(-_EDIT, 0), np.arange(-_EDIT - 2, 2)) & apart(b, d, np.arange(_EDIT), np.arange(-2, _EDIT + 2))
+    return ok, a, b
+
+
+def _parts(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Limits of runs of items whose sizes add up to `most`; a larger one is a run of its own."""
+    low = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if sizes:
+        yield low, len(sizes)
 
 
 def _member(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -363,7 +392,7 @@ def _tokens(docs: DataFrame, ids: DataFrame) -> DataFrame:
             packed = pa.array([small[a:b].tobytes() for a, b in zip(ptr[:-1], ptr[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id"), packed], names=["id", "tokens"])
 
-    return docs.join(ids.distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, tokens binary")
+    return with_id_in(docs, ids).select(F.col("doc_id").alias("id"), "text").mapInArrow(run, f"id {kind}, tokens binary")
 
 
 def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFrame:
@@ -373,10 +402,19 @@ def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFra
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            places = zip(*(batch.column(c).to_pylist() for c in ("begin", "begin_there", "shift", "first_at", "last_at")), strict=True)
-            for i, (own, other, (begin, there, shift, first, last)) in enumerate(zip(batch.column("own"), batch.column("other"), places, strict=True)):
-                x, y = np.frombuffer(own.as_buffer(), np.uint32), np.frombuffer(other.as_buffer(), np.uint32)
-                rows += [(i, begin + a, begin + b + SHINGLE - 1, s) for a, b, s in around(x, y, first - begin, last - begin, first - shift - there, width)]
+            begin, there, shift, first, last = (batch.column(c).to_numpy().astype(np.int64) for c in ("begin", "begin_there", "shift", "first_at", "last_at"))
+            own, other = ([np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(c)] for c in ("own", "other"))
+            first, last, meets = first - begin, last - begin, first - shift - there
+            for low, high in _parts([len(x) + len(y) for x, y in zip(own, other, strict=True)], CHUNK_TOKENS):
+                part = slice(low, high)
+                plain, starts, ends = plain_runs(own[part], other[part], first[part], last[part], meets[part])
+                for i in range(low, high):
+                    if plain[i - low]:
+                        a, b = int(starts[i - low]), int(ends[i - low])
+                        spans = [(a, b, 1.0)] if b - a >= width else []
+                    else:
+                        spans = around(own[i], other[i], int(first[i]), int(last[i]), int(meets[i]), width)
+                    rows += [(i, int(begin[i]) + a, int(begin[i]) + b + SHINGLE - 1, s) for a, b, s in spans]
             if rows:
                 i, a, b, s = zip(*rows, strict=True)
                 at = pa.array(i)
@@ -414,9 +452,9 @@ def without_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -
     """docs, the words of the passages cut from the texts; documents of which no word is left go."""
     spans = passages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first_word", "end_word"))).alias("__spans")).withColumnRenamed("doc_id", "__id")
 
-    # only documents with a passage are rewritten, so that the others don't pass through Python
+    # only documents with a passage are shuffled and rewritten
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left")
+    marked = perhaps_in(docs, spans.select("__id"))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -439,8 +477,9 @@ def without_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -
             out.append(b"".join(parts).decode("utf-8", "surrogatepass").strip())
         return pd.Series(out, dtype=object)
 
-    same = joined.where("__spans IS NULL").select(*columns)
-    less = joined.where("__spans IS NOT NULL").withColumn(text, cut(F.col(text), F.col("__spans"))).select(*columns).where(F.trim(text) != "")
+    same = marked.where("NOT __perhaps").select(*columns)
+    joined = marked.where("__perhaps").join(spans, F.col("doc_id") == F.col("__id"), "left")
+    less = joined.withColumn(text, cut(F.col(text), F.col("__spans"))).where(F.col("__spans").isNull() | (F.trim(text) != "")).select(*columns)
     return same.unionByName(less)
 
 

@@ -98,10 +98,21 @@ class TokenCounter:
         return out
 
 
+def _whole(spark: SparkSession, path: str) -> frozenset[str]:
+    """proven_whole(path), found in a task: the tokenizer takes memory that the driver's process would not give back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(proven_whole(path)), pa.string())], names=["piece"])
+
+    return frozenset(spark.range(0, 1, 1, 1).mapInArrow(run, "piece string").toArrow().column("piece").to_pylist())  # at most the vocabulary
+
+
 def count_tokens(df: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The kept columns of df and n_tokens long, in place of a column of that name; `path` is a byte-level BPE tokenizer file that every worker can read."""
     spark = df.sparkSession
-    whole = spark.sparkContext.broadcast(proven_whole(path))  # at most the vocabulary
+    whole = spark.sparkContext.broadcast(_whole(spark, path))  # at most the vocabulary
     keep = [c for c in (df.columns if keep is None else keep) if c not in (text, "n_tokens")]
     names = [f"c{i}" for i in range(len(keep))]  # any column names
     source = bounded_batches(df).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`")).toDF(*names, "__text")
