@@ -37,7 +37,7 @@ def brand_symbol(brand: Column) -> Column:
 
 
 def trades(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
-    """symbol, dt, px, volume and a total order of the day's trades; px is the damped unit price."""
+    """symbol, dt, px, volume, a total order of the day's trades and the order they belong to; px is the damped unit price."""
     line = table(spark, sf_dir, "lineitem")
     if by == "brand":
         parts = table(spark, sf_dir, "part").select("p_partkey", brand_symbol(F.col("p_brand")).alias("symbol"))
@@ -48,21 +48,35 @@ def trades(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
         line = line.join(places, line.l_suppkey == places.s_suppkey)
     px = F.round(F.pow(F.col("l_extendedprice") / F.col("l_quantity"), 0.02), 6)
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
-    out = line.select("symbol", F.to_date("l_shipdate").alias("dt"), px.alias("px"), F.col("l_quantity").alias("volume"), order.alias("ord"))
+    out = line.select("symbol", F.to_date("l_shipdate").alias("dt"), px.alias("px"), F.col("l_quantity").alias("volume"), order.alias("ord"), F.col("l_orderkey").alias("order"))
     if by == "brand":  # crypto trades on all days, the other markets on weekdays
         out = out.where(F.col("symbol").endswith("-USD") | ~F.dayofweek("dt").isin(1, 7))
     return out
 
 
 def bars_from_trades(ticks: DataFrame) -> DataFrame:
-    """One row per symbol and day. Extremes by order are partial aggregates: a busy symbol is no single task's work."""
-    return ticks.groupBy("symbol", "dt").agg(
-        F.min_by("px", "ord").alias("open"),
-        F.max("px").alias("high"),
-        F.min("px").alias("low"),
-        F.max_by("px", "ord").alias("close"),
-        F.sum("volume").alias("volume"),
+    """One row per symbol and day. Extremes are partial aggregates: a busy symbol is no single task's work.
+
+    Those by the order of trades, whose state is a struct, can't be aggregated by hashing, only after a sort of all trades. So a first pass
+    finds the rest by hashing, with each day's first and last order; the order of trades decides among the trades of these alone.
+    """
+    key = F.col("order")
+    days = stored(
+        ticks.groupBy("symbol", "dt").agg(
+            F.max("px").alias("high"),
+            F.min("px").alias("low"),
+            F.sum("volume").alias("volume"),
+            F.when(~F.max(key.isNull()), F.min(key)).alias("first"),  # null comes before all
+            F.max(key).alias("last"),
+        ),
+        "days",
     )
+    # two orders for each symbol and day, however many trades there are
+    ends = days.select(F.explode(F.array("first", "last")).alias("__order")).distinct()
+    few = ticks.join(F.broadcast(ends), key.eqNullSafe(F.col("__order")), "left_semi")
+    prices = few.groupBy(F.col("symbol").alias("__symbol"), F.col("dt").alias("__dt")).agg(F.min_by("px", "ord").alias("open"), F.max_by("px", "ord").alias("close"))
+    bars = days.join(prices, F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("dt").eqNullSafe(F.col("__dt")))
+    return bars.select("symbol", "dt", "open", "high", "low", "close", "volume")
 
 
 def brand_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
