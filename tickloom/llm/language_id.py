@@ -173,7 +173,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
     df, n = document_frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    shares = labelled.sparkSession.createDataFrame([(k, min(1.0, per_language / v)) for k, v in counts.items()], "__lang string, __share double")
+    # as Arrow: a list of rows is read by Python workers of their own, which stay
+    shares = labelled.sparkSession.createDataFrame(pa.table({"__lang": pa.array(languages, pa.string()), "__share": [min(1.0, per_language / counts[k]) for k in languages]}))
     sample = _sampled(rows, shares, text, lang, key)
     # the driver holds the sample's n-grams once, as they came; a row's weights are made when they are needed
     at, times = (sample.column(c).combine_chunks() for c in ("buckets", "counts"))

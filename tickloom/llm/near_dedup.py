@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.components import components
-from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices, with_id_in
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, slices, tidied, with_id_in
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 BANDS, BAND_ROWS = 28, 5
@@ -125,7 +125,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             keep = [_similar(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -189,7 +189,7 @@ def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets:
         return df.groupBy("key", "band", salt).agg(F.collect_list(F.struct("cls", "component", *fields)).alias(name))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             key, cls = [], []
             for k, band, x, y in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "few", "every")), strict=True):
                 found = {c for i, j in _likely(x, y, band, least) for c in (x[i]["cls"], y[j]["cls"])}
@@ -199,7 +199,7 @@ def _open_links(members: DataFrame, labels: DataFrame, signed: DataFrame, sets:
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = _Groups()
-        for batch in batches:
+        for batch in tidied(batches):
             a, b = [], []
             for band, x, y in zip(*(batch.column(c).to_pylist() for c in ("band", "left", "right")), strict=True):
                 for i, k in _likely(x, y, band, least):

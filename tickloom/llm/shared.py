@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -134,9 +135,23 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one, or when the reader stops, the memory that the task no longer needs goes back to the system.
+
+    Spark keeps a worker for other tasks, and there are more of them than tasks at a time: each would go on holding the most that it ever had.
+    """
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # arrays of numpy; only the GNU library keeps them
+        if trim:
+            trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about `size` bytes of text each, and their texts (null as empty); one part's texts are held at a time."""
-    for batch in batches:
+    for batch in tidied(batches):
         low = held = 0
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
         for i, n in enumerate([*lengths, size + 1]):

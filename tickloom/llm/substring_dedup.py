@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, perhaps_in, slices, with_id_in
+from tickloom.llm.shared import Scratch, bounded_batches, one_row_per_id, perhaps_in, slices, tidied, with_id_in
 from tickloom.llm.words import mix, seeded, shingles_of, words_of
 
 SHINGLE = 5
@@ -313,7 +313,7 @@ def _by_context(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             keys = []
             for side, name in enumerate(("before", "after")):
                 cuts = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(name)]
@@ -362,7 +362,7 @@ def _cover_first(wanted: DataFrame) -> DataFrame:
     kind = wanted.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             out = []
             for spans in batch.column("spans").to_pylist():
                 covered, flags = np.zeros(max(s["high"] for s in spans) + 1, bool), [False] * len(spans)
@@ -400,7 +400,7 @@ def _verified_spans(wanted: DataFrame, tokens: DataFrame, width: int) -> DataFra
     kind = wanted.schema["doc_id"].dataType.simpleString()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             rows = []
             begin, there, shift, first, last = (batch.column(c).to_numpy().astype(np.int64) for c in ("begin", "begin_there", "shift", "first_at", "last_at"))
             own, other = ([np.frombuffer(v.as_buffer(), np.uint32) for v in batch.column(c)] for c in ("own", "other"))
