@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 from tickloom.llm.language_id import fit
+from tickloom.llm.substring_dedup import _by_context, without_passages
 
 _TASK = """
 import re
@@ -47,3 +48,47 @@ def test_shares_of_languages_need_no_python_workers_of_their_own(spark, monkeypa
     monkeypatch.setattr(SparkSession, "_createFromLocal", by_rows)
     model = fit(docs)
     assert model.languages == ["de", "en"] and model.predict(["der die das", "the and of"])[0] == ["de", "en"]
+
+
+def _python_in_a_stage(plan) -> int:
+    """The most operators of one stage that send rows to Python: so many workers a task needs at once."""
+    most = 0
+
+    def walk(node) -> int:
+        nonlocal most
+        below = node.children()
+        n = sum(walk(below.apply(i)) for i in range(below.size())) + any(k in node.nodeName() for k in ("Python", "Arrow", "Pandas"))
+        most = max(most, n)
+        return 0 if "Exchange" in node.nodeName() else n
+
+    walk(plan)
+    return most
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_passages_are_cut_once_by_one_worker_a_task(spark, fixed_plans):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c e"), (3, "a b"), (4, None), (None, "a b")], "doc_id long, text string")
+    passages = spark.createDataFrame([(2, 0, 3), (3, 0, 2)], "doc_id long, first_word int, end_word int")
+    left = without_passages(docs, passages)
+    assert _python_in_a_stage(left._jdf.queryExecution().executedPlan()) == 1
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(1, "a b c d"), (2, "e"), (4, None), (None, "a b")], key=str)
+
+
+def test_contexts_need_one_worker_a_task(spark, fixed_plans, tmp_path):
+    # tables read from files, as they are small enough to be broadcast
+    spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(90))) for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.createDataFrame([(7, i, 50, 40, 30, 0, i == 0) for i in range(4)], "g long, doc_id long, at int, back int, ahead int, j int, first boolean").write.parquet(f"{tmp_path}/left")
+    docs, left = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("docs", "left"))
+    finer = _by_context(left, docs, 46)
+    assert _python_in_a_stage(finer._jdf.queryExecution().executedPlan()) == 1
+    # the first document's window by both contexts, the others' also in their group without it; equal texts have equal contexts
+    groups = {}
+    for r in finer.collect():
+        groups.setdefault(r["g"], []).append(r["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1, 2, 3], [0, 1, 2, 3], [1, 2, 3]]

@@ -327,7 +327,8 @@ def _by_context(left: DataFrame, docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), listed], names=["doc_id", "at", "contexts"])
 
     places = left.select("doc_id", "at").distinct()
-    cut = places.join(_tokens(docs, left.select("doc_id")), F.col("doc_id") == F.col("id"))
+    # both sides are shuffled, also small ones: a task whose tokens come from Python in the same stage would need two workers
+    cut = places.join(_tokens(docs, left.select("doc_id")).hint("merge"), F.col("doc_id") == F.col("id"))
     before = F.expr(f"substring(tokens, 4 * greatest(at - {width - 1}, 0) + 1, 4 * (at - greatest(at - {width - 1}, 0) + 1))")
     cut = cut.select("doc_id", "at", before.alias("before"), F.expr(f"substring(tokens, 4 * at + 1, {4 * width})").alias("after"))
     contexts = cut.mapInArrow(run, f"doc_id {kind}, at int, contexts array<bigint>")
@@ -479,6 +480,8 @@ def without_passages(docs: DataFrame, passages: DataFrame, text: str = "text") -
 
     same = marked.where("NOT __perhaps").select(*columns)
     joined = marked.where("__perhaps").join(spans, F.col("doc_id") == F.col("__id"), "left")
+    # as non-deterministic, since Spark else cuts twice, for the condition and for the result, each in a worker of its own that stays
+    cut = cut.asNondeterministic()
     less = joined.withColumn(text, cut(F.col(text), F.col("__spans"))).where(F.col("__spans").isNull() | (F.trim(text) != "")).select(*columns)
     return same.unionByName(less)
 
